@@ -547,7 +547,7 @@ _PHONE_RULE = [(0, "phone-param", "column", "@phone", "autocorrect", "Phone numb
             ELSE left(after, length(before)) END AS written, length(after) > length(before) AS truncated,
         replace(text, before, CASE WHEN length(after) <= length(before) THEN rpad(after, length(before)::INT, ' ')
             ELSE left(after, length(before)) END) AS corrected_text
-        FROM (SELECT seq, replace(sql_text, '070', CASE WHEN seq % 4 = 0 THEN '070 - ' ELSE '070' END) AS text,
+        FROM (SELECT seq, replace(sql_text, '''070', CASE WHEN seq % 4 = 0 THEN '''070 - ' ELSE '''070' END) AS text,
             concat(CASE WHEN seq % 4 = 0 THEN '070 - ' ELSE '070' END, lpad(substr(user_name, 2), 7, '0')) AS before,
             concat(CASE WHEN seq % 4 = 0 THEN '+4670-' ELSE '+4670' END, lpad(substr(user_name, 2), 7, '0')) AS after
             FROM query_log WHERE seq % 10 = 8)""",
@@ -555,7 +555,7 @@ _PHONE_RULE = [(0, "phone-param", "column", "@phone", "autocorrect", "Phone numb
 def _(spark, sf_dir):
     calls = V.rpc_calls(V.query_log(spark, sf_dir))
     spaced = F.when(F.col("seq") % 4 == 0, F.lit("070 - ")).otherwise(F.lit("070"))
-    calls = calls.withColumn("sql_text", F.replace("sql_text", F.lit("070"), spaced))
+    calls = calls.withColumn("sql_text", F.replace("sql_text", F.lit("'070"), F.concat(F.lit("'"), spaced)))
     found = rpc.fixed_width_corrections(calls, shred.rpc_params(calls), V.rules(spark, _PHONE_RULE), truncate=True)
     return found.select("seq", "name", "before", "after", "written", "truncated", "corrected_text")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stmtgauge.functions import statements as S
 from stmtgauge.functions.text import nonempty, strip, unquote, utf16_units
 from stmtgauge.operators.normalize import suggest_normalizations
+from stmtgauge.operators.once import once
 from stmtgauge.operators.policy import RuleSet, decision_of, rule_index
 from stmtgauge.operators.running import running_total
 
@@ -55,14 +56,15 @@ def statement_decisions(events: DataFrame, rules: DataFrame, env: str | None = N
     )
 
 
-def _cell_tokens(raw: Column, columns: Column) -> Column:
-    """Rows of tokens to check: all VALUES rows when each has one token per column, else the single list if it fits."""
-    rows = S.multirow_tokens(raw)
-    single = S.written_tokens(strip(raw))
-    n = F.size(columns)
-    return F.when((n > 0) & F.forall(rows, lambda r: F.size(r) == n), rows).otherwise(
-        F.when((n > 0) & (F.size(single) == n), F.array(single))
-    )
+def _with_cells(statements: DataFrame) -> DataFrame:
+    """Add ``__cells``, rows of tokens to check, and ``__many``: all VALUES rows when each has one token per column, else
+    the single list if it fits, else NULL."""
+    raw, n = F.col("sql_text"), F.size("__columns")
+    lists = once(statements, {"__listed": S.multirow_tokens(raw), "__single": S.written_tokens(strip(raw))})
+    many = (n > 0) & F.coalesce(F.forall("__listed", lambda r: F.size(r) == n), F.lit(False))
+    one = (n > 0) & (F.size("__single") == n)
+    cells = F.when(many, F.col("__listed")).when(one, F.array("__single"))
+    return once(lists, {"__many": many, "__cells": cells}).drop("__listed", "__single")
 
 
 def cell_corrections(
@@ -79,14 +81,14 @@ def cell_corrections(
         found = found.where(F.coalesce(F.col("__by_pattern.action") != "block", F.lit(True)))
     passed = [c for c in ("ts", "spid") if c in events.columns]
     sql = strip(F.col("sql_text"))
-    shred = found.select(
-        "seq", *passed, "sql_text", "__by_pattern",
-        S.written_table(sql).alias("__table"), S.written_columns(sql).alias("__columns"),
-    ).where(F.col("__table").isNotNull())
-    shred = shred.withColumn("__rows", _cell_tokens(F.col("sql_text"), F.col("__columns")))
+    named = once(
+        found.select("seq", *passed, "sql_text", "__by_pattern"),
+        {"__table": S.written_table(sql), "__columns": S.written_columns(sql)},
+    ).where(F.col("__table").isNotNull())
+    shred = _with_cells(named)
     # The statement's own match is found before the cells are spread out, so its text is not repeated per cell.
     shred = ruleset.match_table(shred, F.col("__table"), "__by_table").drop("sql_text")
-    rows = shred.select("*", F.posexplode("__rows").alias("row", "__row")).drop("__rows")
+    rows = shred.select("*", F.posexplode("__cells").alias("row", "__row")).drop("__cells", "__many")
     cells = rows.select("*", F.posexplode("__row").alias("pos", "__token")).drop("__row")
     cells = cells.select(
         "seq", *passed, "row", "pos", "__by_pattern", "__by_table",
@@ -119,23 +121,20 @@ def corrected_statements(events: DataFrame, corrections: DataFrame, compat: bool
     )
     changed = events.select("seq", "sql_text").join(per_statement, F.col("seq") == F.col("__seq"))
     sql = strip(F.col("sql_text"))
-    changed = changed.withColumn("__columns", S.written_columns(sql)).withColumn(
-        "__cells", _cell_tokens(F.col("sql_text"), F.col("__columns"))
-    )
+    changed = _with_cells(once(changed, {"__columns": S.written_columns(sql)}))
     after = lambda i, j: F.try_element_at(F.col("__after"), place(i, j))
     texts = F.transform(
         "__cells",
         lambda row, i: F.transform(row, lambda token, j: S.rewritten_token(token, after(i, j), compat)),
     )
-    changed = changed.withColumn("__texts", texts)
+    changed = once(changed, {"__texts": texts})
     raw, columns = F.col("sql_text"), F.col("__columns")
-    rows = S.multirow_tokens(raw)
-    many = F.forall(rows, lambda r: F.size(r) == F.size(columns))
     single = F.get(F.col("__texts"), F.lit(0))
-    corrected = F.when(many, S.rebuilt_rows(raw, F.col("__texts"))).otherwise(
+    corrected = F.when(F.col("__many"), S.rebuilt_rows(raw, F.col("__texts"))).otherwise(
         F.coalesce(S.rebuilt_insert(raw, single), S.rebuilt_update(raw, columns, single))
     )
-    return changed.select("seq", "sql_text", corrected.alias("corrected")).where(F.col("corrected").isNotNull())
+    rebuilt = once(changed, {"corrected": corrected})
+    return rebuilt.select("seq", "sql_text", "corrected").where(F.col("corrected").isNotNull())
 
 
 def apply_thresholds(log: DataFrame, rules: DataFrame, start_counters: DataFrame | None = None) -> DataFrame:

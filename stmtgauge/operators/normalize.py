@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stmtgauge.functions import normalizers as N
+from stmtgauge.operators.once import once
 
 SUGGESTION_TYPE = "struct<kind:string,normalized:string,hint:string>"
 
@@ -24,24 +25,25 @@ def _forms(value_col: str) -> N.Forms:
 
 def normalize_as(df: DataFrame, value_col: str, kind: str, out: str = "normalized") -> DataFrame:
     """Add ``out``: the value normalized as one given kind, NULL where it is not of that kind."""
-    return _with_forms(df, value_col).withColumn(out, N.normalized(kind, _forms(value_col))).drop(*_TMP)
+    return once(_with_forms(df, value_col), {out: N.normalized(kind, _forms(value_col))}).drop(*_TMP)
 
 
 def suggest_kind(df: DataFrame, value_col: str, out: str = "kind") -> DataFrame:
     """Add only the kind of the first normalization that applies: enough for counting, cheaper than the full struct."""
-    return _with_forms(df, value_col).withColumn(out, N.first_kind(_forms(value_col))).drop(*_TMP)
+    return once(_with_forms(df, value_col), {out: N.first_kind(_forms(value_col))}).drop(*_TMP)
 
 
 def suggest_normalizations(df: DataFrame, value_col: str, out: str = "suggestion") -> DataFrame:
     """Add ``out``: struct (kind, normalized, hint) of the first kind that applies, else NULL."""
     forms = _forms(value_col)
-    # The kind gets a projection of its own: the long chain of tests runs once, then one branch renders.
-    found = _with_forms(df, value_col).withColumn("__kind", N.first_kind(forms))
+    # The long chain of tests runs once, then the branch of the found kind renders, once.
+    found = once(_with_forms(df, value_col), {"__kind": N.first_kind(forms)})
     kind = F.col("__kind")
+    rendered = once(found, {"__normalized": F.when(kind.isNotNull(), N.normalized_as(kind, forms))})
     value = F.struct(
-        kind.alias("kind"), N.normalized_as(kind, forms).alias("normalized"), N.hint_of(kind).alias("hint")
+        kind.alias("kind"), F.col("__normalized").alias("normalized"), N.hint_of(kind).alias("hint")
     )
-    return found.withColumn(out, F.when(kind.isNotNull(), value)).drop(*_TMP)
+    return rendered.withColumn(out, F.when(kind.isNotNull(), value)).drop(*_TMP, "__normalized")
 
 
 def normalize_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:

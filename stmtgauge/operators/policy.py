@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtgauge.functions.text import nonempty
+from stmtgauge.operators.once import once
 
 COMPILED_LIMIT = 64
 PATTERN_LIMIT = 256
@@ -134,7 +135,7 @@ class RuleSet:
                 for r in sorted(rows, key=lambda r: r.m.ord)
             ]
             match = F.coalesce(*tests) if tests else F.lit(None).cast(MATCH_TYPE)
-            return df.withColumn("__key", low).withColumn(out, match).drop("__key")
+            return once(df.withColumn("__key", low), {out: match}).drop("__key")
         return _match_by_pieces(df, low, patterns, out, key)
 
     def _compiled(self, df, keys, out, target, predicate) -> DataFrame:
@@ -143,7 +144,7 @@ class RuleSet:
         ]
         if not tests:
             return df.withColumn(out, F.lit(None).cast(MATCH_TYPE))
-        return df.withColumns(keys).withColumn(out, F.coalesce(*tests)).drop(*keys)
+        return once(df.withColumns(keys), {out: F.coalesce(*tests)}).drop(*keys)
 
     @staticmethod
     def _lookup(df: DataFrame, key: Column, rules: DataFrame, selector: Column, out: str) -> DataFrame:

@@ -9,6 +9,7 @@ from stmtgauge.functions import statements as S
 from stmtgauge.functions.text import strip, unquote
 from stmtgauge.operators import shred
 from stmtgauge.operators.normalize import suggest_kind
+from stmtgauge.operators.once import once
 
 
 def write_counts(events: DataFrame) -> DataFrame:
@@ -43,10 +44,9 @@ def field_facts(events: DataFrame) -> DataFrame:
     shredded = (
         events.select(strip(F.col("sql_text")).alias("__sql"))
         .where(F.lower("__sql").rlike("insert|update"))
-        .select("__sql", S.insert_table(sql).alias("__i"), S.update_table(sql).alias("__u"))
-        .withColumn("__first", F.coalesce("__i", "__u"))
-        .where(F.col("__first").isNotNull())
     )
+    shredded = once(shredded, {"__i": S.insert_table(sql), "__u": S.update_table(sql)})
+    shredded = shredded.withColumn("__first", F.coalesce("__i", "__u")).where(F.col("__first").isNotNull())
     facts = F.concat(
         writes(F.col("__i"), S.insert_columns(sql)), writes(F.col("__u"), S.update_columns(sql)), values
     )

@@ -9,6 +9,7 @@ from stmtgauge.functions.binary import utf16_lenient
 from stmtgauge.functions.text import utf16_units
 from stmtgauge.operators.correct import as_log
 from stmtgauge.operators.normalize import suggest_normalizations
+from stmtgauge.operators.once import once
 from stmtgauge.operators.policy import RuleSet, decision_of
 
 # Fixed values.
@@ -62,11 +63,12 @@ def fixed_width_corrections(
     fits = need <= room
     written = F.when(fits, F.concat(after, F.repeat(F.lit(" "), room - need))).when(F.lit(truncate), cut)
     change = F.struct(
-        "pos", "name", F.col("before"), after.alias("after"), written.alias("written"), (~fits).alias("truncated"),
+        "pos", "name", F.col("before"), after.alias("after"), F.col("written"), (~fits).alias("truncated"),
         F.col("d.rule_id").alias("rule_id"), F.col("d.reason").alias("reason"),
     )
+    fixed = once(fixed, {"written": written})
     per_call = (
-        fixed.select("seq", (action == "block").alias("block"), F.when(written.isNotNull(), change).alias("change"))
+        fixed.select("seq", (action == "block").alias("block"), F.when(F.col("written").isNotNull(), change).alias("change"))
         .groupBy(F.col("seq").alias("__seq"))
         .agg(F.max("block").alias("__block"), F.sort_array(F.collect_list("change")).alias("__changes"))
         .where(~F.col("__block") & (F.size("__changes") > 0))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stmtgauge.functions import statements as S
 from stmtgauge.functions.text import plain_name, split_commas_outside_quotes, strip, unquote
+from stmtgauge.operators.once import once
 
 KEEP = ("seq",)
 
@@ -24,7 +25,7 @@ def _stripped(df: DataFrame, keep: Sequence[str]) -> DataFrame:
 def written_columns(df: DataFrame, keep: Sequence[str] = KEEP) -> DataFrame:
     """(table, pos, column) of each INSERT, else of each UPDATE."""
     sql = F.col("__sql")
-    found = _stripped(df, keep).select(*keep, S.written_table(sql).alias("table"), S.written_columns(sql).alias("__c"))
+    found = once(_stripped(df, keep), {"table": S.written_table(sql), "__c": S.written_columns(sql)})
     return found.select(*keep, "table", F.posexplode("__c").alias("pos", "column"))
 
 
@@ -83,26 +84,22 @@ def bulk_loads(df: DataFrame, keep: Sequence[str] = KEEP) -> DataFrame:
 def merges(df: DataFrame, keep: Sequence[str] = KEEP) -> DataFrame:
     """(target, updated columns, inserted columns) of MERGE statements."""
     sql = F.col("__sql")
-    return _stripped(df, keep).where(sql.rlike(S.MERGE_TARGET)).select(
-        *keep,
-        plain_name(F.regexp_extract(sql, S.MERGE_TARGET, 1)).alias("target"),
-        S.merge_updated(sql).alias("updated"),
-        S.merge_inserted(sql).alias("inserted"),
-    )
+    facts = {
+        "target": plain_name(F.regexp_extract(sql, S.MERGE_TARGET, 1)),
+        "updated": S.merge_updated(sql),
+        "inserted": S.merge_inserted(sql),
+    }
+    return once(_stripped(df, keep).where(sql.rlike(S.MERGE_TARGET)), facts).drop("__sql")
 
 
 def selects(df: DataFrame, keep: Sequence[str] = KEEP) -> DataFrame:
     """(table, expressions, star) of SELECT statements with a table."""
     sql = F.col("__sql")
-    found = _stripped(df, keep).where(S.is_select(sql)).select(
-        *keep, S.select_table(sql).alias("table"), S.select_list(sql).alias("__list")
-    )
-    return found.where(F.col("table").isNotNull()).select(
-        *keep,
-        "table",
-        S.select_expressions(F.col("__list")).alias("expressions"),
-        (F.col("__list") == "*").alias("star"),
+    found = once(
+        _stripped(df, keep).where(S.is_select(sql)), {"table": S.select_table(sql), "__list": S.select_list(sql)}
     )
+    facts = {"expressions": S.select_expressions(F.col("__list")), "star": F.col("__list") == "*"}
+    return once(found.where(F.col("table").isNotNull()), facts).drop("__sql", "__list")
 
 
 def rpc_params(df: DataFrame, text_col: str = "sql_text", keep: Sequence[str] = KEEP) -> DataFrame:
