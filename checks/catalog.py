@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import duck as K
+from checks import streams
 from checks import views as V
 from stmtgauge.functions import binary as B
 from stmtgauge.functions import statements as S
@@ -15,7 +16,8 @@ from stmtgauge.functions.text import plain_name, strip
 from stmtgauge.operators import correct, metrics, normalize, packets, policy, profiles, rpc, shred
 from stmtgauge.operators import decisions as D
 from stmtgauge.plans import reports
-from stmtgauge.sources.storage import materialize
+from stmtgauge.sources.storage import fresh_folder, materialize
+from stmtgauge.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -658,11 +660,11 @@ def _profiles(spark, sf_dir) -> DataFrame:
 _KINDS = "(SELECT field, string_agg(concat(kind, ':', n), ', ' ORDER BY kind) AS kinds FROM profile_kinds GROUP BY field)"
 
 
-@register(
-    "field_profiles",
-    f"""SELECT p.field, n_writes AS count, n_nulls AS nulls, coalesce(kinds, '') AS kinds FROM profiles AS p
-        LEFT JOIN {_KINDS} AS k ON k.field = p.field""",
-)
+SQL_OF_PROFILES = f"""SELECT p.field, n_writes AS count, n_nulls AS nulls, coalesce(kinds, '') AS kinds FROM profiles AS p
+    LEFT JOIN {_KINDS} AS k ON k.field = p.field"""
+
+
+@register("field_profiles", SQL_OF_PROFILES)
 def _(spark, sf_dir):
     entries = F.transform(F.array_sort(F.map_entries("suggestions")), lambda e: F.concat_ws(":", e["key"], e["value"]))
     return _profiles(spark, sf_dir).select("field", "count", "nulls", F.array_join(entries, ", ").alias("kinds"))
@@ -1036,3 +1038,72 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     table = materialize(_profiles(spark, sf_dir), "profiles")
     return reports.profile_summary(spark, table).select("line")
+
+
+# -- streams ---------------------------------------------------------------------------------------------------------
+@register("stream_decisions", "SELECT seq, action, rule_id FROM statement_decisions")
+def _(spark, sf_dir):
+    texts = streams.log_stream(spark, sf_dir).where(F.col("sql_text") != "").select("seq", "sql_text")
+    found = jobs.stream_decisions(texts, V.rules(spark)).select("seq", "decision.action", "decision.rule_id")
+    return streams.run_to_table(found)
+
+
+@register(
+    "stream_counters",
+    """SELECT key, count(*) AS n FROM (SELECT concat('rule:', rule_id, ':', action) AS key FROM statement_decisions
+        WHERE rule_id IS NOT NULL) GROUP BY key""",
+)
+def _(spark, sf_dir):
+    log = correct.statement_decisions(streams.log_stream(spark, sf_dir), V.rules(spark))
+    table = streams.run_to_table(jobs.stream_counters(log), "update")
+    return streams.latest(table, "key")
+
+
+@register("stream_threshold_gates", f"SELECT seq, rule_id, hits, min_hits, enforced FROM {_GATES}")
+def _(spark, sf_dir):
+    job = lambda state, sink: jobs.threshold_gate(V.rules(spark), state, sink)
+    return streams.run_batches(streams.decision_stream(spark, sf_dir), job, "gates")
+
+
+@register(
+    "stream_reassembly",
+    """SELECT seq % 2 AS conn_id, CASE WHEN starts_with(sql_text, 'dbo.') THEN 3 ELSE 1 END::BIGINT AS type,
+        seq * 2 + 1 AS end_seq, seq % 1000 AS spid, sql_text AS text FROM query_log WHERE sql_text <> ''""",
+)
+def _(spark, sf_dir):
+    arriving = V.packets_of(streams.log_stream(spark, sf_dir))
+    found = streams.run_batches(arriving, jobs.reassembly, "messages")
+    return found.select("conn_id", big("type"), "end_seq", big("spid"), "text")
+
+
+@register("stream_latency_p95", _quantile_sql())
+def _(spark, sf_dir):
+    stream = jobs.stream_quantile(streams.event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value")
+    found = streams.latest(streams.run_to_table(stream, "update"), "window_start", "window_end")
+    return found.select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "count", F.round("quantile", 6).alias("quantile")
+    )
+
+
+@register(
+    "stream_bytes_rate",
+    """SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS window_start, round(sum(length(props)) / 60.0, 6)::DOUBLE AS per_second
+        FROM events GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    sizes = streams.event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.length("props").alias("size"))
+    found = streams.latest(streams.run_to_table(jobs.stream_rate(sizes, "ts", "size"), "update"), "window_start")
+    return found.select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), F.round("per_second", 6).alias("per_second")
+    )
+
+
+@register("incremental_profiles", SQL_OF_PROFILES)
+def _(spark, sf_dir):
+    state, report = fresh_folder(spark, "state"), fresh_folder(spark, "reports")
+    stream = streams.log_stream(spark, sf_dir).select("ts", "sql_text")
+    jobs.run_incremental(stream, jobs.profile_batches(state, report), fresh_folder(spark, "checkpoint"))
+    written = spark.read.parquet(f"{state}/profiles")
+    newest = written.where(F.col("batch") == written.agg(F.max("batch")).first()[0])
+    entries = F.transform(F.array_sort(F.map_entries("suggestions")), lambda e: F.concat_ws(":", e["key"], e["value"]))
+    return newest.select("field", "count", "nulls", F.array_join(entries, ", ").alias("kinds"))

@@ -240,8 +240,12 @@ def sql_view(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFra
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets_of(query_log(spark, sf_dir))
+
+
+def packets_of(log: DataFrame) -> DataFrame:
     """Two packets per statement on two interleaved connections; only the second ends the message."""
-    texts = query_log(spark, sf_dir).where(F.coalesce("sql_text", F.lit("")) != "")
+    texts = log.where(F.coalesce("sql_text", F.lit("")) != "")
     data = F.encode("sql_text", "UTF-16LE")
     half = (F.length("sql_text") / 2).cast("int") * 2
     number = lambda c, width: F.unhex(F.lpad(F.hex(c), width * 2, "0"))

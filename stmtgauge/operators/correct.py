@@ -15,6 +15,7 @@ from stmtgauge.operators.normalize import suggest_normalizations
 from stmtgauge.operators.once import once
 from stmtgauge.operators.policy import RuleSet, decision_of, rule_index
 from stmtgauge.operators.running import running_total
+from stmtgauge.operators.small import broadcast_if_small
 
 LOG_TYPES = {
     "seq": "bigint", "step": "int", "row": "int", "pos": "int", "ts": "timestamp", "spid": "int", "action": "string",
@@ -147,7 +148,7 @@ def apply_thresholds(log: DataFrame, rules: DataFrame, start_counters: DataFrame
         F.col("id").alias("rule_id"), F.coalesce("rule.min_hits_to_enforce", F.lit(0)).alias("min_hits")
     )
     hits = log.where(F.col("rule_id").isNotNull() & F.col("action").isin(*HIT_ACTIONS) & (F.col("step") != 2))
-    hits = hits.select(*LOG_ORDER, "rule_id", "action").join(index, "rule_id")
+    hits = hits.select(*LOG_ORDER, "rule_id", "action").join(broadcast_if_small(index), "rule_id")
     is_block = (F.col("step") == 0) & (F.col("action") == "block")
     # Only rules with a threshold need a count: the others enforce at once.
     free = hits.where(is_block & (F.col("min_hits") <= 0)).select(
@@ -163,7 +164,7 @@ def apply_thresholds(log: DataFrame, rules: DataFrame, start_counters: DataFrame
             .groupBy("rule_id")
             .agg(F.sum("n").alias("__earlier"))
         )
-        counted = counted.join(earlier, "rule_id", "left").withColumn(
+        counted = counted.join(broadcast_if_small(earlier), "rule_id", "left").withColumn(
             "hits", F.col("hits") + F.coalesce("__earlier", F.lit(0))
         )
     gated = counted.select(

@@ -25,31 +25,33 @@ def decode_packets(packets: DataFrame) -> DataFrame:
     ).drop("bytes")
 
 
-def numbered_packets(packets: DataFrame) -> DataFrame:
-    """Batch and call packets with ``message`` (how many messages of its connection and type ended before) and
-    ``complete`` (its message has an end)."""
-    keys = ["conn_id", "type"]
-    parts = (
+PART_SCHEMA = "conn_id BIGINT, type INT, seq BIGINT, spid INT, payload BINARY, eom INT"
+
+
+def message_parts(packets: DataFrame) -> DataFrame:
+    """Batch and call packets, with their end-of-message bit (``PART_SCHEMA``)."""
+    eom = F.col("status").bitwiseAND(B.END_OF_MESSAGE)
+    return (
         decode_packets(packets)
         .where(F.col("type").isin(SQL_BATCH, RPC))
-        .select("conn_id", "type", "seq", "spid", "payload", F.col("status").bitwiseAND(B.END_OF_MESSAGE).alias("eom"))
-    )
-    numbered = running_total(parts, keys, "seq", [], F.col("eom"), "__ends").withColumn(
-        "message", F.col("__ends") - F.col("eom")
-    )
-    ended = parts.groupBy(*keys).agg(F.sum("eom").alias("__all"))
-    return (
-        numbered.join(ended, keys).withColumn("complete", F.col("message") < F.col("__all")).drop("__ends", "__all")
+        .select("conn_id", "type", "seq", "spid", "payload", eom.alias("eom"))
     )
 
 
-def reassemble_messages(packets: DataFrame) -> DataFrame:
-    """(conn_id, type, end_seq, spid, payload, text) of every message that has ended.
+def number_parts(parts: DataFrame) -> DataFrame:
+    """Add ``message`` (how many messages of the same connection and type ended before) and ``complete`` (the message has
+    an end)."""
+    numbered = running_total(parts, ["conn_id", "type"], "seq", [], F.col("eom"), "__ends", total="__all")
+    message = F.col("__ends") - F.col("eom")
+    return numbered.select(*parts.columns, message.alias("message"), (message < F.col("__all")).alias("complete"))
+
+
+def join_parts(numbered: DataFrame) -> DataFrame:
+    """(conn_id, type, end_seq, spid, payload, text) of every complete message.
 
-    Groups hold one message each; packets of a message without an end are left out before grouping.
+    Groups hold one message each; parts of a message without an end are left out before grouping.
     """
-    complete = numbered_packets(packets).where("complete")
-    messages = complete.groupBy("conn_id", "type", "message").agg(
+    messages = numbered.where("complete").groupBy("conn_id", "type", "message").agg(
         F.max("seq").alias("end_seq"),
         F.max_by("spid", "seq").alias("spid"),
         F.expr("listagg(payload, X'') within group (order by seq)").alias("payload"),
@@ -58,3 +60,8 @@ def reassemble_messages(packets: DataFrame) -> DataFrame:
         B.utf16_lenient(F.col("payload"))
     )
     return messages.select("conn_id", "type", "end_seq", "spid", "payload", text.alias("text"))
+
+
+def reassemble_messages(packets: DataFrame) -> DataFrame:
+    """Messages of a packet table; see :func:`join_parts`."""
+    return join_parts(number_parts(message_parts(packets)))

@@ -4,9 +4,9 @@ Rules are a table (see ``sources.rules.RULE_SCHEMA``); the first enabled rule th
 same result:
 
 * ``compiled``: few rules become literals of one ``coalesce(when ...)`` expression; no join at all.
-* ``join``: each predicate becomes a left join on its key with the first rule per key, so no event is multiplied. Spark
-  broadcasts the rule side by its measured size, else shuffles both sides and splits skewed keys. Pattern rules are a
-  substring test: a bounded list is tested in place, a longer one goes through an equi-join on three-letter pieces.
+* ``join``: each predicate becomes a left join on its key with the first rule per key, so no event is multiplied. The
+  rule side is broadcast when its measured size allows, else Spark shuffles both sides and splits skewed keys. Pattern
+  rules are a substring test: a bounded list is tested in place, a longer one goes through an equi-join on three-letter pieces.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from stmtgauge.functions.text import nonempty
 from stmtgauge.operators.once import once
+from stmtgauge.operators.small import BROADCAST_BYTES, broadcast_if_small, byte_size
 
 COMPILED_LIMIT = 64
 PATTERN_LIMIT = 256
@@ -73,10 +74,12 @@ def last_segment(column: Column) -> Column:
 
 @dataclass
 class RuleSet:
-    """Active rules prepared for matching. ``rows`` is set when they are few enough to compile."""
+    """Active rules prepared for matching. ``rows`` is set when they are few enough to compile, ``small`` when they may
+    be broadcast."""
 
     rules: DataFrame
     rows: list | None
+    small: bool = False
 
     @classmethod
     def prepare(cls, rules: DataFrame, env: str | None = None, form: str = "auto") -> RuleSet:
@@ -85,13 +88,11 @@ class RuleSet:
         )
         if form not in ("auto", "compiled", "join"):
             raise ValueError(f"unknown form: {form}")
-        if form == "join":
-            return cls(active, None)
-        rows = active.limit(COMPILED_LIMIT + 1).collect()
-        if len(rows) > COMPILED_LIMIT:
-            if form == "compiled":
-                raise ValueError(f"more than {COMPILED_LIMIT} active rules: use form='join'")
-            return cls(active, None)
+        rows = [] if form == "join" else active.limit(COMPILED_LIMIT + 1).collect()
+        if form == "compiled" and len(rows) > COMPILED_LIMIT:
+            raise ValueError(f"more than {COMPILED_LIMIT} active rules: use form='join'")
+        if form == "join" or len(rows) > COMPILED_LIMIT:
+            return cls(active, None, byte_size(active) <= BROADCAST_BYTES)
         return cls(active, sorted(rows, key=lambda r: r.m.ord))
 
     def of(self, target: str) -> DataFrame:
@@ -136,6 +137,8 @@ class RuleSet:
             ]
             match = F.coalesce(*tests) if tests else F.lit(None).cast(MATCH_TYPE)
             return once(df.withColumn("__key", low), {out: match}).drop("__key")
+        if df.isStreaming:
+            raise ValueError(f"more than {PATTERN_LIMIT} pattern rules on a stream: decide inside foreachBatch")
         return _match_by_pieces(df, low, patterns, out, key)
 
     def _compiled(self, df, keys, out, target, predicate) -> DataFrame:
@@ -146,10 +149,10 @@ class RuleSet:
             return df.withColumn(out, F.lit(None).cast(MATCH_TYPE))
         return once(df.withColumns(keys), {out: F.coalesce(*tests)}).drop(*keys)
 
-    @staticmethod
-    def _lookup(df: DataFrame, key: Column, rules: DataFrame, selector: Column, out: str) -> DataFrame:
+    def _lookup(self, df: DataFrame, key: Column, rules: DataFrame, selector: Column, out: str) -> DataFrame:
         """Left join with the first rule per key: one match at most, so the number of rows stays."""
         first = rules.groupBy(selector.alias("__rule_key")).agg(F.min("m").alias(out))
+        first = F.broadcast(first) if self.small else first
         return (
             df.withColumn("__key", key)
             .join(first, F.col("__key") == F.col("__rule_key"), "left")
@@ -245,7 +248,7 @@ def rule_index(rules: DataFrame) -> DataFrame:
 
 def lookup_rules(df: DataFrame, rules: DataFrame, rule_id: str = "rule_id") -> DataFrame:
     """Add ``rule``: the rule with the given id, NULL when there is none."""
-    index = rule_index(rules).withColumnRenamed("id", "__id")
+    index = broadcast_if_small(rule_index(rules).withColumnRenamed("id", "__id"))
     return df.join(index, F.col(rule_id) == F.col("__id"), "left").drop("__id")
 
 

@@ -74,6 +74,28 @@ def field_profiles(events: DataFrame, count_nulls: bool = True) -> DataFrame:
     )
 
 
+def merge_profiles(previous: DataFrame, batch: DataFrame) -> DataFrame:
+    """Profiles of two disjoint sets of events as one."""
+    both = previous.unionByName(batch)
+    flat = both.select("field", F.explode(F.map_entries("suggestions")).alias("e"))
+    per_kind = flat.groupBy("field", F.col("e.key").alias("kind")).agg(F.sum("e.value").alias("n"))
+    sums = both.select("field", "count", "nulls", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("bigint").alias("n"))
+    kinds = per_kind.select("field", F.lit(0).alias("count"), F.lit(0).alias("nulls"), "kind", "n")
+    return sums.unionByName(kinds).groupBy("field").agg(
+        F.sum("count").alias("count"),
+        F.sum("nulls").alias("nulls"),
+        F.map_from_entries(
+            F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "n"))))
+        ).alias("suggestions"),
+    )
+
+
+def merge_usage(previous: DataFrame, batch: DataFrame) -> DataFrame:
+    """SELECT usage of two disjoint sets of events as one."""
+    both = previous.unionByName(batch)
+    return both.groupBy("table", "expression").agg(F.sum("n").alias("n"), F.sum("star").alias("star"))
+
+
 def total_suggestions(suggestions: Column) -> Column:
     return F.aggregate(F.map_values(suggestions), F.lit(0).cast("bigint"), lambda a, n: a + n)
 

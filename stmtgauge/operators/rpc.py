@@ -11,6 +11,7 @@ from stmtgauge.operators.correct import as_log
 from stmtgauge.operators.normalize import suggest_normalizations
 from stmtgauge.operators.once import once
 from stmtgauge.operators.policy import RuleSet, decision_of
+from stmtgauge.operators.small import broadcast_if_small
 
 # Fixed values.
 VALUE_CHARS = 80
@@ -54,8 +55,10 @@ def fixed_width_corrections(
     parameters, so they are gathered per call.
     """
     found = RuleSet.prepare(rules, env, form).match_column(params, F.col("name"), "__by_column")
-    found = found.withColumn("d", decision_of("__by_column"))
-    action = F.col("d.action")
+    found = found.withColumn("d", decision_of("__by_column")).select(
+        "seq", "pos", "name", "value", "d.action", "d.rule_id", "d.reason"
+    )
+    action = F.col("action")
     fixed = suggest_normalizations(found.withColumn("before", F.when(action == "autocorrect", F.col("value"))), "before", "s")
     after, before = F.col("s.normalized"), F.col("before")
     room, need = utf16_units(before), utf16_units(after)
@@ -64,7 +67,7 @@ def fixed_width_corrections(
     written = F.when(fits, F.concat(after, F.repeat(F.lit(" "), room - need))).when(F.lit(truncate), cut)
     change = F.struct(
         "pos", "name", F.col("before"), after.alias("after"), F.col("written"), (~fits).alias("truncated"),
-        F.col("d.rule_id").alias("rule_id"), F.col("d.reason").alias("reason"),
+        "rule_id", "reason",
     )
     fixed = once(fixed, {"written": written})
     per_call = (
@@ -115,7 +118,7 @@ def param_types(params: DataFrame, types: DataFrame) -> DataFrame:
     )
     named = params.withColumn("proc", F.coalesce("proc", F.lit(DEFAULT_PROC)))
     joined = named.join(
-        first,
+        broadcast_if_small(first),
         (F.lower(named["proc"]) == F.col("__proc")) & (F.lower(F.ltrim(named["name"], F.lit("@"))) == F.col("__param")),
         "left",
     )

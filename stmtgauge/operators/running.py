@@ -12,10 +12,12 @@ _BEFORE = (Window.unboundedPreceding, -1)
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], value: Column, out: str
+    df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], value: Column, out: str, total: str = ""
 ) -> DataFrame:
     """Add ``out``: sum of ``value`` over the rows of the same keys up to and including this one.
 
+    With ``total`` also add the sum over all rows of the keys.
+
     ``order`` is a BIGINT column; ``ties`` order rows that share it. A plain running window would send a hot key to one
     task. Here windows run inside blocks of 2^16 consecutive order values; totals of earlier blocks come from two more
     levels of the same kind over per-block sums, which are pre-aggregated before their shuffle. No window group holds
@@ -29,10 +31,12 @@ def running_total(
     blocks = blocks.withColumn("__super", F.shiftright("__block", _BITS))
     supers = blocks.groupBy(*keys, "__super").agg(F.sum("__sum").alias("__sum"))
 
+    totals = {total: F.sum("__sum").over(Window.partitionBy(*keys))} if total else {}
     before_super = supers.select(
         *keys,
         "__super",
         F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__super").rowsBetween(*_BEFORE)).alias("__before2"),
+        *[c.alias(name) for name, c in totals.items()],
     )
     inside_super = Window.partitionBy(*keys, "__super").orderBy("__block").rowsBetween(*_BEFORE)
     before_block = (
@@ -42,6 +46,7 @@ def running_total(
             *keys,
             "__block",
             (F.coalesce("__before1", F.lit(0)) + F.coalesce("__before2", F.lit(0))).alias("__before"),
+            *totals,
         )
     )
     return (

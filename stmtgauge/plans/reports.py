@@ -149,6 +149,20 @@ def insight_context(spark: SparkSession, day: str, decisions: DataFrame, profile
     )
 
 
+def insight_fallback(spark: SparkSession, day: str) -> DataFrame:
+    """Standing advice for a day on which nobody wrote insights."""
+    # The advice.
+    return _fixed(
+        spark,
+        1,
+        f"# Insights – {day}",
+        "",
+        "- Increase validation on fields with repeated autocorrect events.",
+        "- Address top missingness columns via UI hints.",
+        "- Align phone/country formats across services.",
+    )
+
+
 def profile_context(profiles: DataFrame) -> DataFrame:
     """Facts to write a profile summary from."""
     return _profile_lines(profiles, 1, PROFILE_CONTEXT_ROWS, "- %s: count=%d nulls=%d suggestions=%d")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtgauge.sources.rules import _exists
+from stmtgauge.sources.storage import if_present
 
 PROFILE_SCHEMA = "field STRING, count BIGINT, nulls BIGINT, suggestions MAP<STRING, BIGINT>"
 SELECT_SCHEMA = "table STRING, star BIGINT, columns MAP<STRING, BIGINT>"
@@ -21,16 +21,15 @@ def write_snapshot(df: DataFrame, path: str, snapshot_date: str) -> None:
 def read_snapshot(spark: SparkSession, path: str, snapshot_date: str, schema: str = PROFILE_SCHEMA) -> DataFrame:
     """A snapshot, empty when there is none of that date."""
     folder = f"{path.rstrip('/')}/snapshot_date={snapshot_date}"
-    if not _exists(spark, folder):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(folder)
+    found = if_present(lambda: spark.read.schema(schema).parquet(folder))
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def read_profiles_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Profiles and SELECT usage of a JSON snapshot: ``{"profiles": .., "selects": ..}`` or the profiles alone."""
-    if not _exists(spark, path):
+    text = if_present(lambda: spark.read.text(path, wholetext=True))
+    if text is None:
         return spark.createDataFrame([], PROFILE_SCHEMA), spark.createDataFrame([], SELECT_SCHEMA)
-    text = spark.read.text(path, wholetext=True)
     nested = F.array_contains(F.json_object_keys("value"), "profiles")
     profiles = F.when(nested, F.get_json_object("value", "$.profiles")).otherwise(F.col("value"))
     selects = F.when(nested, F.get_json_object("value", "$.selects"))

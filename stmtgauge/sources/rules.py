@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtgauge.operators.policy import admit_rules
+from stmtgauge.sources.storage import if_present
 
 RULE_FIELDS = (
     "id STRING, target STRING, selector STRING, action STRING, reason STRING, confidence DOUBLE, enabled BOOLEAN, "
@@ -17,11 +18,6 @@ _RAW_FIELDS = tuple(part.split()[0] for part in RULE_FIELDS.replace("ARRAY<STRIN
 _OLD_FIELDS = ("id", "target", "selector", "action", "reason", "confidence", "enabled")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
 def read_raw_rules(spark: SparkSession, path: str) -> DataFrame:
     """(ord, one text column per field): every field as JSON text, NULL when absent, for ``policy.validate_rules``."""
     text = spark.read.text(path, wholetext=True)
@@ -38,9 +34,9 @@ def read_rules(spark: SparkSession, path: str, compat: bool = False) -> DataFram
 
     ``compat`` also drops rules with fields beyond the older format.
     """
-    if not _exists(spark, path):
+    text = if_present(lambda: spark.read.text(path, wholetext=True))
+    if text is None:
         return spark.createDataFrame([], RULE_SCHEMA)
-    text = spark.read.text(path, wholetext=True)
     entries = text.select(F.posexplode(F.from_json("value", "ARRAY<STRING>")).alias("ord", "raw"))
     if compat:
         keys = F.json_object_keys("raw")
@@ -53,9 +49,10 @@ def read_rules(spark: SparkSession, path: str, compat: bool = False) -> DataFram
 def read_param_types(spark: SparkSession, path: str) -> DataFrame:
     """(proc, param, type) of ``{proc: {param: type}}``; names in lower case, at-signs removed from parameters."""
     schema = "proc STRING, param STRING, type STRING"
-    if not _exists(spark, path):
+    text = if_present(lambda: spark.read.text(path, wholetext=True))
+    if text is None:
         return spark.createDataFrame([], schema)
-    parsed = spark.read.text(path, wholetext=True).select(
+    parsed = text.select(
         F.explode(F.from_json("value", "MAP<STRING, MAP<STRING, STRING>>")).alias("proc", "params")
     )
     return parsed.select(F.lower("proc").alias("proc"), F.explode("params").alias("param", "type")).select(
