@@ -552,7 +552,7 @@ _PHONE_RULE = [(0, "phone-param", "column", "@phone", "autocorrect", "Phone numb
         FROM (SELECT seq, replace(sql_text, '''070', CASE WHEN seq % 4 = 0 THEN '''070 - ' ELSE '''070' END) AS text,
             concat(CASE WHEN seq % 4 = 0 THEN '070 - ' ELSE '070' END, lpad(substr(user_name, 2), 7, '0')) AS before,
             concat(CASE WHEN seq % 4 = 0 THEN '+4670-' ELSE '+4670' END, lpad(substr(user_name, 2), 7, '0')) AS after
-            FROM query_log WHERE seq % 10 = 8)""",
+            FROM query_log WHERE starts_with(sql_text, 'dbo.'))""",
 )
 def _(spark, sf_dir):
     calls = V.rpc_calls(V.query_log(spark, sf_dir))

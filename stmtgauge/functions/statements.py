@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from stmtgauge.functions.text import (
     extract,
+    extract_any,
     is_quoted,
+    let,
     plain_name,
     split_commas,
     split_commas_outside_quotes,
@@ -51,20 +53,16 @@ def update_table(sql: Column) -> Column:
 
 def insert_columns(sql: Column) -> Column:
     """Column names of an INSERT, NULL when there is none."""
-    return F.when(
-        sql.rlike(INSERT_COLUMNS),
-        F.transform(F.split(F.regexp_extract(sql, INSERT_COLUMNS, 2), ","), strip_name),
-    )
+    names = F.transform(F.split(extract(sql, INSERT_COLUMNS, 2), ","), strip_name)
+    return names
 
 
 def update_columns(sql: Column) -> Column:
     """Left-hand sides of an UPDATE ... SET, NULL when there is none."""
-    return F.when(
-        sql.rlike(UPDATE_SET),
-        F.transform(
-            F.split(F.regexp_extract(sql, UPDATE_SET, 2), ","), lambda part: strip_name(F.split_part(part, F.lit("="), F.lit(1)))
-        ),
+    names = F.transform(
+        F.split(extract(sql, UPDATE_SET, 2), ","), lambda part: strip_name(F.split_part(part, F.lit("="), F.lit(1)))
     )
+    return names
 
 
 def written_table(sql: Column) -> Column:
@@ -85,18 +83,15 @@ def _assignment(part: Column) -> tuple[Column, Column]:
 
 def insert_tokens(sql: Column) -> Column:
     """Raw tokens of the first VALUES list, quotes kept; the list ends at the first closing parenthesis."""
-    return extract_array(sql, INSERT_VALUES, 2, split_commas_outside_quotes)
+    return split_commas_outside_quotes(extract(sql, INSERT_VALUES, 2))
 
 
 def update_tokens(sql: Column) -> Column:
-    parts = extract_array(sql, UPDATE_SET, 2, split_commas_outside_quotes)
-    return F.transform(
+    parts = split_commas_outside_quotes(extract(sql, UPDATE_SET, 2))
+    values = F.transform(
         F.filter(parts, lambda part: F.contains(part, F.lit("="))), lambda part: strip(_assignment(part)[1])
     )
-
-
-def extract_array(sql: Column, pattern: str, group: int, splitter) -> Column:
-    return F.when(sql.rlike(pattern), splitter(F.regexp_extract(sql, pattern, group)))
+    return values
 
 
 def written_tokens(sql: Column) -> Column:
@@ -111,18 +106,14 @@ def plain_pairs(sql: Column) -> Column:
     """
     pair = lambda c, t: F.struct(c.alias("column"), t.alias("token"))
     none = F.array().cast("array<struct<column:string,token:string>>")
-    names = F.transform(F.split(F.regexp_extract(sql, INSERT_VALUES, 1), ","), strip_name)
-    tokens = split_commas(F.regexp_extract(sql, INSERT_VALUES, 2))
-    zipped = F.filter(
+    names = F.transform(F.split(extract(sql, INSERT_VALUES, 1), ","), strip_name)
+    tokens = split_commas(extract(sql, INSERT_VALUES, 2))
+    inserted = F.filter(
         F.zip_with(names, tokens, pair), lambda p: p["column"].isNotNull() & p["token"].isNotNull()
     )
-    inserted = F.when(sql.rlike(INSERT_VALUES), zipped).otherwise(none)
-    parts = F.filter(F.split(F.regexp_extract(sql, UPDATE_SET, 2), ","), lambda p: F.contains(p, F.lit("=")))
-    updated = F.when(
-        sql.rlike(UPDATE_SET),
-        F.transform(parts, lambda p: pair(strip_name(_assignment(p)[0]), strip(_assignment(p)[1]))),
-    ).otherwise(none)
-    return F.concat(inserted, updated)
+    parts = F.filter(F.split(extract(sql, UPDATE_SET, 2), ","), lambda p: F.contains(p, F.lit("=")))
+    updated = F.transform(parts, lambda p: pair(strip_name(_assignment(p)[0]), strip(_assignment(p)[1])))
+    return F.concat(F.coalesce(inserted, none), F.coalesce(updated, none))
 
 
 def token_is_null(token: Column) -> Column:
@@ -131,12 +122,16 @@ def token_is_null(token: Column) -> Column:
 
 
 # -- multi-row VALUES ----------------------------------------------------------------------------------------------
-def value_groups(tail: Column) -> Column:
+def value_groups(text: Column) -> Column:
     """Texts of the outermost parenthesised groups; quotes do not protect parentheses.
 
     Without nesting and without a stray closing parenthesis a regex finds them. Otherwise the text is folded piece by
     piece with a depth counter, to any depth.
     """
+    return let(text, _groups)
+
+
+def _groups(tail: Column) -> Column:
     flat = F.regexp_extract_all(tail, F.lit(r"\(([^()]*)\)"), F.lit(1))
     start = F.struct(
         F.lit(0).alias("depth"), F.lit("").alias("text"), _no_texts().alias("groups")
@@ -155,14 +150,14 @@ def value_groups(tail: Column) -> Column:
 
     pieces = F.regexp_extract_all(tail, F.lit(r"[()]|[^()]+"), F.lit(0))
     nested = F.aggregate(pieces, start, step, lambda state: state["groups"])
-    irregular = tail.rlike(r"\([^()]*\(") | tail.rlike(r"(?:^|\))[^()]*\)")
+    irregular = tail.rlike(r"\([^()]*\(|(?:^|\))[^()]*\)")
     return F.when(irregular, nested).otherwise(flat)
 
 
 def multirow_tokens(sql: Column) -> Column:
     """Rows of raw tokens of INSERT ... VALUES (..),(..), NULL when there is no group."""
-    rows = F.transform(value_groups(F.regexp_extract(sql, INSERT_ROWS, 1)), split_commas_outside_quotes)
-    return F.when(sql.rlike(INSERT_ROWS), F.when(F.size(rows) > 0, rows))
+    groups = F.filter(F.array(value_groups(extract(sql, INSERT_ROWS, 1))), lambda g: F.size(g) > 0)
+    return F.transform(F.get(groups, F.lit(0)), split_commas_outside_quotes)
 
 
 # -- bulk load, merge, select --------------------------------------------------------------------------------------
@@ -190,7 +185,7 @@ def select_table(sql: Column) -> Column:
 
 def select_list(sql: Column) -> Column:
     """Text of the select list; no match counts as ``*``."""
-    return F.coalesce(strip(extract(sql, SELECT_LIST, 1)), F.lit("*"))
+    return F.coalesce(strip(extract_any(sql, SELECT_LIST, 1)), F.lit("*"))
 
 
 def select_expressions(select_text: Column) -> Column:
@@ -256,7 +251,7 @@ def rpc_params(text: Column) -> Column:
     names = F.regexp_extract_all(text, F.lit(RPC_PARAM), F.lit(1))
     windows = F.regexp_extract_all(text, F.lit(RPC_PARAM), F.lit(2))
     pairs = F.zip_with(
-        names, windows, lambda n, w: F.struct(n.alias("name"), extract(w, RPC_VALUE, 1).alias("value"))
+        names, windows, lambda n, w: F.struct(n.alias("name"), extract_any(w, RPC_VALUE, 1).alias("value"))
     )
     return F.filter(pairs, lambda p: p["value"].isNotNull())
 

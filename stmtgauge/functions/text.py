@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,12 +13,23 @@ WHITESPACE = (
     "        　"
 )
 
-_NUL = "\x00"
+_ASCII_WHITESPACE = "".join(c for c in WHITESPACE if ord(c) < 128)
+
+# One piece of a comma list: runs without quote or comma, and quoted runs, then a comma or the end. Possessive, so the
+# matcher neither backtracks nor recurs on long texts.
+_PIECE = r"((?:[^',]++|'[^']*+(?:'|\z))*+)(?:,|\z)"
+
+
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind from both ends (``trim`` alone removes spaces only)."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    # The long list is slow to search, and of no use for a text of ASCII characters only.
+    ascii_only = F.octet_length(c) == F.char_length(c)
+    return F.when(ascii_only, F.btrim(c, F.lit(_ASCII_WHITESPACE))).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
 def no_space(c: Column) -> Column:
@@ -49,7 +62,12 @@ def nonempty(c: Column) -> Column:
 
 
 def extract(c: Column, pattern: str, group: int) -> Column:
-    """Regex group or NULL when the pattern does not match (``regexp_extract`` gives '')."""
+    """Regex group or NULL when the pattern does not match, for groups that are never empty when it does."""
+    return let(F.regexp_extract(c, pattern, group), nonempty)
+
+
+def extract_any(c: Column, pattern: str, group: int) -> Column:
+    """As :func:`extract` for groups that may be empty, at the price of a second run of the regex."""
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
@@ -61,21 +79,11 @@ def split_commas(c: Column) -> Column:
 def split_commas_outside_quotes(c: Column) -> Column:
     """Comma split in which a single quote toggles 'inside'.
 
-    A last piece without any character is dropped, other pieces are stripped. The text is cut at its quotes, so every
-    even piece lies outside; commas there become a two-character mark that cannot occur otherwise (a NUL of the text is
-    escaped first). Linear in the text and free of regex recursion, so long literals are safe.
+    A last piece without any character is dropped, other pieces are stripped.
     """
-    escaped = F.replace(c, F.lit(_NUL), F.lit(_NUL + "z"))
-    marked = F.array_join(
-        F.transform(
-            F.split(escaped, "'"),
-            lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit(","), F.lit(_NUL + ","))).otherwise(part),
-        ),
-        "'",
-    )
-    pieces = F.split(F.regexp_replace(marked, r"\x00,\z", ""), r"\x00,")
-    cleaned = F.transform(pieces, lambda p: strip(F.replace(p, F.lit(_NUL + "z"), F.lit(_NUL))))
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(cleaned)
+    # The search finds one more, empty piece at the end of every text.
+    found = F.regexp_extract_all(c, F.lit(_PIECE), F.lit(1))
+    return let(found, lambda pieces: F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), strip))
 
 
 def utf16_units(c: Column) -> Column:

@@ -14,5 +14,6 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     one row stops that: filters stay above it, and everything above reads finished values.
     """
     kept = [c for c in df.columns if c not in columns]
-    row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select(*kept, F.inline(F.array(row)))
+    computed = df.select(*kept, *[c.alias("__once_" + name) for name, c in columns.items()])
+    row = F.struct(*[F.col("__once_" + name).alias(name) for name in columns])
+    return computed.select(*kept, F.inline(F.array(row)))

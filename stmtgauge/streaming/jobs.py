@@ -15,8 +15,7 @@ from stmtgauge.operators.policy import decide
 from stmtgauge.plans import reports
 from stmtgauge.sources.profiles import PROFILE_SCHEMA
 from stmtgauge.sources.reports import write_report
-from stmtgauge.sources.storage import materialize
-from stmtgauge.streaming.state import read_state, write_state
+from stmtgauge.streaming.state import kept, read_state, write_state
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -58,12 +57,11 @@ def threshold_gate(rules: DataFrame, state_path: str, sink: Sink) -> Sink:
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        log = materialize(batch, "decisions")
-        before = read_state(spark, state_path, batch_id, COUNTER_SCHEMA)
-        sink(correct.apply_thresholds(log, rules, before), batch_id)
-        after = before.unionByName(_hit_counts(log)).groupBy("rule_id", "action").agg(F.sum("n").alias("n"))
-        write_state(after, state_path, batch_id)
+        with kept(batch) as log:
+            before = read_state(batch.sparkSession, state_path, batch_id, COUNTER_SCHEMA)
+            sink(correct.apply_thresholds(log, rules, before), batch_id)
+            after = before.unionByName(_hit_counts(log)).groupBy("rule_id", "action").agg(F.sum("n").alias("n"))
+            write_state(after, state_path, batch_id)
 
     return run
 
@@ -72,12 +70,11 @@ def reassembly(state_path: str, sink: Sink) -> Sink:
     """For ``foreachBatch`` on arriving packets: messages that end in the batch; other parts wait as state."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        waiting = read_state(spark, state_path, batch_id, packets.PART_SCHEMA)
-        parts = materialize(waiting.unionByName(packets.message_parts(batch)), "parts")
-        numbered = packets.number_parts(parts)
-        sink(packets.join_parts(numbered), batch_id)
-        write_state(numbered.where(~F.col("complete")).select(*parts.columns), state_path, batch_id)
+        waiting = read_state(batch.sparkSession, state_path, batch_id, packets.PART_SCHEMA)
+        parts = waiting.unionByName(packets.message_parts(batch))
+        with kept(packets.number_parts(parts)) as numbered:
+            sink(packets.join_parts(numbered), batch_id)
+            write_state(numbered.where(~F.col("complete")).select(*parts.columns), state_path, batch_id)
 
     return run
 
@@ -90,16 +87,14 @@ def profile_batches(state_path: str, report_path: str) -> Sink:
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        events = materialize(batch.select("ts", "sql_text"), "events")
-        old = read_state(spark, f"{state_path}/profiles", batch_id, PROFILE_SCHEMA)
-        new = write_state(
-            profiles.merge_profiles(old, profiles.field_profiles(events)), f"{state_path}/profiles", batch_id
-        )
-        old_usage = read_state(spark, f"{state_path}/usage", batch_id, USAGE_SCHEMA)
-        usage = write_state(
-            profiles.merge_usage(old_usage, profiles.select_usage(events)), f"{state_path}/usage", batch_id
-        )
-        day = events.agg(F.date_format(F.max("ts"), "yyyy-MM-dd")).first()[0] or ""
+        with kept(batch.select("ts", "sql_text")) as events:
+            old = read_state(spark, f"{state_path}/profiles", batch_id, PROFILE_SCHEMA)
+            merged = profiles.merge_profiles(old, profiles.field_profiles(events))
+            new = write_state(merged, f"{state_path}/profiles", batch_id)
+            old_usage = read_state(spark, f"{state_path}/usage", batch_id, USAGE_SCHEMA)
+            merged_usage = profiles.merge_usage(old_usage, profiles.select_usage(events))
+            usage = write_state(merged_usage, f"{state_path}/usage", batch_id)
+            day = events.agg(F.date_format(F.max("ts"), "yyyy-MM-dd")).first()[0] or ""
         lines = reports.daily_report(spark, day, new, usage, old if batch_id else None)
         write_report(lines, f"{report_path}/batch={batch_id}")
 

@@ -7,6 +7,9 @@ handled by one stateful task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stmtgauge.sources.storage import if_present
@@ -31,3 +34,13 @@ def write_state(df: DataFrame, path: str, batch_id: int) -> DataFrame:
     folder = _folder(path, batch_id)
     df.write.mode("overwrite").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a batch result for the steps that share it; partitions lost with an executor are computed again."""
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
