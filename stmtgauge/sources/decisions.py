@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtgauge.operators.correct import LOG_TYPES
-from stmtgauge.sources.events import with_arrival_order
-
-_CORRUPT = "_corrupt_record"
+from stmtgauge.sources.events import parse_json_lines, with_arrival_order
 
 
 def append_decisions(df: DataFrame, path: str) -> None:
@@ -23,10 +21,14 @@ def read_decisions(spark: SparkSession, path: str, day: str | None = None) -> Da
     Rows from single-file logs without ``seq`` get their arrival order.
     """
     fields = ", ".join(f"`{name}` {kind}" for name, kind in LOG_TYPES.items())
-    schema = f"{fields}, ts_date DATE, {_CORRUPT} STRING"
-    df = spark.read.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT).json(path)
-    if day:
-        df = df.where(F.col("ts_date") == F.lit(day).cast("date"))
-    df = with_arrival_order(df.withColumnRenamed("seq", "__logged"))
-    kept = df.where(F.col(_CORRUPT).isNull()).withColumn("seq", F.coalesce("__logged", "seq"))
-    return kept.withColumn("ts_date", F.coalesce("ts_date", F.to_date("ts"))).drop(_CORRUPT, "__logged")
+    lines = spark.read.text(path)
+    wanted = F.col("ts_date") == F.lit(day).cast("date")
+    by_day = "ts_date" in lines.columns
+    if day and by_day:
+        lines = lines.where(wanted)
+    ordered = with_arrival_order(lines).withColumnRenamed("seq", "__arrival")
+    rows = parse_json_lines(ordered, fields).withColumn("seq", F.coalesce("seq", "__arrival")).drop("__arrival")
+    if by_day:
+        return rows
+    rows = rows.withColumn("ts_date", F.to_date("ts"))
+    return rows.where(wanted) if day else rows

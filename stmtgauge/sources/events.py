@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stmtgauge.operators.small import broadcast_if_small
+
 EVENT_FIELDS = """timestamp STRING, event STRING, database STRING, user STRING, client_app STRING, client_host STRING,
     sql_text STRING, duration_ms BIGINT, row_count BIGINT, cpu_time_ms BIGINT, error BIGINT"""
 POLICY_EVENT_FIELDS = "database STRING, user STRING, sql_text STRING, table STRING, column STRING, value STRING"
@@ -17,34 +19,49 @@ _FILE_BITS = 41
 _LINE_MASK = (1 << 33) - 1
 
 
+def _plain_path(path: Column) -> Column:
+    """One spelling for ``file:///x`` and ``file:/x``."""
+    return F.regexp_replace(path, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+
 def with_arrival_order(df: DataFrame) -> DataFrame:
     """Add ``seq`` to a file scan: files by path, then lines, as one BIGINT and without sorting anything.
 
     ``seq`` = file number * 2^41 + byte offset of the split + line number in the scan task. A line has at least one
-    byte and a full split is alone in its task, so the sum never reaches the next split of the file.
+    byte and a full split is alone in its task, so the sum never reaches the next split of the file. The list of files
+    is what the scan holds on the driver anyway.
     """
-    spark = df.sparkSession
     files = [(path, n) for n, path in enumerate(sorted(df.inputFiles()))]
-    numbers = spark.createDataFrame(files, "__path STRING, __file BIGINT")
+    numbers = df.sparkSession.createDataFrame(files, "path STRING, __file BIGINT")
+    numbers = broadcast_if_small(numbers.select(_plain_path(F.col("path")).alias("__path"), "__file"))
     placed = df.select(
         "*",
-        F.col("_metadata.file_path").alias("__path"),
+        _plain_path(F.col("_metadata.file_path")).alias("__path"),
         (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(_LINE_MASK)).alias("__place"),
     )
     seq = F.shiftleft(F.col("__file"), _FILE_BITS) + F.col("__place")
     return placed.join(numbers, "__path").withColumn("seq", seq).drop("__path", "__file", "__place")
 
 
+def parse_json_lines(lines: DataFrame, fields: str) -> DataFrame:
+    """Replace the text column ``value`` by the fields of its JSON object; other lines are skipped."""
+    options = {"columnNameOfCorruptRecord": _CORRUPT}
+    parsed = lines.select(
+        *[c for c in lines.columns if c != "value"],
+        F.from_json("value", f"{fields}, {_CORRUPT} STRING", options).alias("__j"),
+    )
+    sound = parsed.where(F.col("__j").isNotNull() & F.col(f"__j.{_CORRUPT}").isNull())
+    return sound.select(*[c for c in parsed.columns if c != "__j"], "__j.*").drop(_CORRUPT)
+
+
 def read_json_lines(spark: SparkSession, path: str, fields: str, streaming: bool = False) -> DataFrame:
     """JSON lines with a fixed schema; lines that are no JSON object are skipped.
 
     A batch gets ``seq``, its arrival order. A stream has none: there ``seq`` is a field the producer writes.
     """
-    producer = ", seq BIGINT" if streaming else ""
-    reader = (spark.readStream if streaming else spark.read).schema(f"{fields}{producer}, {_CORRUPT} STRING")
-    df = reader.option("columnNameOfCorruptRecord", _CORRUPT).json(path)
-    placed = df if streaming else with_arrival_order(df)
-    return placed.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    if streaming:
+        return parse_json_lines(spark.readStream.text(path), f"{fields}, seq BIGINT")
+    return parse_json_lines(with_arrival_order(spark.read.text(path)), fields)
 
 
 def read_query_events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
