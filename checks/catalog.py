@@ -431,6 +431,15 @@ def _(spark, sf_dir):
     return policy.decide(texts, V.patterns_many(spark, 400)).select("seq", "decision.action", "decision.rule_id")
 
 
+@register(
+    "decide_with_patterns_by_pieces",
+    f"""SELECT seq, action, rule_id FROM ({K.matched('events_of_statements', 'tbl', 'col', 'sql_text')})""",
+)
+def _(spark, sf_dir):
+    texts = V.query_log(spark, sf_dir).where(F.col("sql_text") != "").select("seq", "sql_text")
+    return policy.decide(texts, V.patterns_many(spark, 5000)).select("seq", "decision.action", "decision.rule_id")
+
+
 @register(
     "lookup_rules",
     """SELECT d.seq, d.rule_id, r.selector, r.min_hits::BIGINT AS min_hits FROM statement_decisions AS d

@@ -17,7 +17,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(V.QUERY_LOG, events=event_stream(spark, sf_dir))
+    return V.finished(spark.sql(V.QUERY_LOG, events=event_stream(spark, sf_dir)))
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:

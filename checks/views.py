@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtgauge.operators import correct, rpc, shred
+from stmtgauge.operators.once import once
 from stmtgauge.sources.rules import RULE_SCHEMA
 from stmtgauge.sources.storage import read_table
 
@@ -118,7 +119,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(QUERY_LOG, **tables(spark, sf_dir, "events"))
+    return finished(spark.sql(QUERY_LOG, **tables(spark, sf_dir, "events")))
+
+
+def finished(log: DataFrame) -> DataFrame:
+    """Statements as a stored log would hold them: their text is built once, not again in every step that reads it."""
+    return once(log, {"sql_text": F.col("sql_text")})
 
 
 def rules(spark: SparkSession, rows: list | None = None) -> DataFrame:
@@ -147,7 +153,7 @@ def patterns_many(spark: SparkSession, n: int) -> DataFrame:
 def dirty_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = ", ".join(f"struct('{family}' AS family, {expr} AS value)" for family, expr in DIRTY_FAMILIES)
     sql = f"SELECT k, f.family, f.value FROM (SELECT c_custkey AS k, explode(array({items})) AS f FROM {{customer}})"
-    return spark.sql(sql, **tables(spark, sf_dir, "customer"))
+    return once(spark.sql(sql, **tables(spark, sf_dir, "customer")), {"value": F.col("value")})
 
 
 def doc_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,23 +6,25 @@ same result:
 * ``compiled``: few rules become literals of one ``coalesce(when ...)`` expression; no join at all.
 * ``join``: each predicate becomes a left join on its key with the first rule per key, so no event is multiplied. The
   rule side is broadcast when its measured size allows, else Spark shuffles both sides and splits skewed keys. Pattern
-  rules are a substring test: a bounded list is tested in place, a longer one goes through an equi-join on three-letter pieces.
+  rules are a substring test: a list of bounded length is tested in place, a longer one goes through an equi-join on
+  three-letter pieces.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stmtgauge.functions.text import nonempty
+from stmtgauge.functions.text import let, nonempty
 from stmtgauge.operators.once import once
 from stmtgauge.operators.small import BROADCAST_BYTES, broadcast_if_small, byte_size
 
 COMPILED_LIMIT = 64
-PATTERN_LIMIT = 256
-PATTERN_CHARS = 64 * 1024
+PATTERN_LIMIT = 4096
+PATTERN_CHARS = 256 * 1024
 
 # Verdict when no rule matches.
 DEFAULT_ACTION, DEFAULT_REASON, DEFAULT_CONFIDENCE = "allow", "no matching rule", 1.0
@@ -130,16 +132,20 @@ class RuleSet:
         patterns = self.of("pattern")
         rows = patterns.limit(PATTERN_LIMIT + 1).collect()
         if len(rows) <= PATTERN_LIMIT and sum(len(r.selector) for r in rows) <= PATTERN_CHARS:
-            found = F.col("__key")
-            tests = [
-                F.when(F.contains(found, F.lit(r.selector)), _literal_match(r.m))
-                for r in sorted(rows, key=lambda r: r.m.ord)
-            ]
-            match = F.coalesce(*tests) if tests else F.lit(None).cast(MATCH_TYPE)
-            return once(df.withColumn("__key", low), {out: match}).drop("__key")
+            return self._listed(df, low, sorted(rows, key=lambda r: r.m.ord), out)
         if df.isStreaming:
             raise ValueError(f"more than {PATTERN_LIMIT} pattern rules on a stream: decide inside foreachBatch")
-        return _match_by_pieces(df, low, patterns, out, key)
+        return _match_by_pieces(df, low, patterns, out, key, self.small)
+
+    @staticmethod
+    def _listed(df: DataFrame, low: Column, rows: list, out: str) -> DataFrame:
+        """First of the listed patterns; the list is one constant array, so the plan stays small."""
+        entries = json.dumps([{**r.m.asDict(), "selector": r.selector} for r in rows])
+        listed = F.from_json(F.lit(entries), f"array<{MATCH_TYPE[:-1]},selector:string>>")
+        text = F.col("__key")
+        hits = F.filter(listed, lambda p: F.contains(text, p["selector"]))
+        first = let(F.get(hits, F.lit(0)), lambda p: _fields_of(p))
+        return once(df.withColumn("__key", low), {out: F.when(text.isNotNull(), first)}).drop("__key")
 
     def _compiled(self, df, keys, out, target, predicate) -> DataFrame:
         tests = [
@@ -160,6 +166,11 @@ class RuleSet:
         )
 
 
+def _fields_of(p: Column) -> Column:
+    names = ("ord", "id", "action", "reason", "confidence")
+    return F.when(p.isNotNull(), F.struct(*[p[n].alias(n) for n in names]))
+
+
 def _literal_match(m) -> Column:
     return F.struct(
         F.lit(m.ord).alias("ord"),
@@ -175,7 +186,9 @@ def _pieces(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def _match_by_pieces(df: DataFrame, low: Column, patterns: DataFrame, out: str, key: str) -> DataFrame:
+def _match_by_pieces(
+    df: DataFrame, low: Column, patterns: DataFrame, out: str, key: str, small: bool = False
+) -> DataFrame:
     """First pattern contained in the text, for rule lists too long to test one by one.
 
     A text that contains a selector contains each piece of it. Every selector is filed under the piece it shares with
@@ -197,7 +210,7 @@ def _match_by_pieces(df: DataFrame, low: Column, patterns: DataFrame, out: str,
     texts = df.select(F.col(key).alias("__id"), low.alias("__text")).where(F.col("__text").isNotNull())
     candidates = texts.select("__id", "__text", F.explode(_pieces(F.col("__text"), size)).alias("piece"))
     matched = (
-        candidates.join(filed, "piece")
+        candidates.join(F.broadcast(filed) if small else filed, "piece")
         .where(F.contains(F.col("__text"), F.col("selector")))
         .groupBy("__id")
         .agg(F.min("m").alias(out))

@@ -99,7 +99,9 @@ def test_forms_match_the_plain_loop(spark, seed, monkeypatch):
     assert decisions(policy.decide(frame, table, "p", "join")) == expected
 
 
-def test_many_patterns_by_pieces(spark):
+@pytest.mark.parametrize("limit", [4096, 100])
+def test_many_patterns(spark, monkeypatch, limit):
+    monkeypatch.setattr(policy, "PATTERN_LIMIT", limit)
     rng = random.Random(9)
     letters = "abcÅ d"
     rules = [rule(i, f"r{i}", "pattern", "".join(rng.choice(letters) for _ in range(rng.randint(3, 6)))) for i in range(400)]
