@@ -694,15 +694,12 @@ def _(spark, sf_dir):
 
 @register(
     "select_summary",
-    """SELECT s.tbl AS table_name, star, coalesce(used, '') AS used FROM
-        (SELECT tbl, count_if(lst = '*')::BIGINT AS star FROM selects GROUP BY tbl) AS s LEFT JOIN
-        (SELECT tbl, string_agg(concat(e, ':', n), ', ' ORDER BY e) AS used FROM (SELECT tbl, e, count(*) AS n FROM
-            (SELECT tbl, unnest(expressions) AS e FROM selects) GROUP BY tbl, e) GROUP BY tbl) AS u ON u.tbl = s.tbl""",
+    """SELECT tbl AS table_name, e AS expression, count(*) AS n, 0::BIGINT AS star FROM
+            (SELECT tbl, unnest(expressions) AS e FROM selects) GROUP BY 1, 2
+        UNION ALL SELECT tbl, NULL, 0, count_if(lst = '*')::BIGINT FROM selects GROUP BY tbl""",
 )
 def _(spark, sf_dir):
-    entries = F.transform(F.array_sort(F.map_entries("columns")), lambda e: F.concat_ws(":", e["key"], e["value"]))
-    found = profiles.select_summary(V.query_log(spark, sf_dir))
-    return found.select(F.col("table").alias("table_name"), "star", F.array_join(entries, ", ").alias("used"))
+    return profiles.select_usage(V.query_log(spark, sf_dir)).withColumnRenamed("table", "table_name")
 
 
 def _two_profiles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

@@ -114,7 +114,10 @@ def select_stars(events: DataFrame) -> DataFrame:
 
 
 def select_usage(events: DataFrame) -> DataFrame:
-    """(table, expression, n, star): both counts in one pass; the row without expression carries the stars."""
+    """(table, expression, n, star): both counts in one pass; the row without expression carries the stars.
+
+    Long form on purpose: a table may be read with any number of expressions, too many for one map in one task.
+    """
     found = shred.selects(events, keep=()).select(
         "table",
         F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("expressions"))).alias("expression"),
@@ -126,15 +129,6 @@ def select_usage(events: DataFrame) -> DataFrame:
     )
 
 
-def select_summary(events: DataFrame) -> DataFrame:
-    """(table, star, columns): SELECT usage per table, expressions with their counts as a map."""
-    used = F.col("expression").isNotNull()
-    return select_usage(events).groupBy("table").agg(
-        F.sum("star").alias("star"),
-        F.map_from_entries(F.collect_list(F.when(used, F.struct("expression", "n")))).alias("columns"),
-    )
-
-
 # -- rankings ------------------------------------------------------------------------------------------------------
 def top_nulls(profiles: DataFrame, n: int = 10) -> DataFrame:
     return profiles.select("field", "count", "nulls").orderBy(F.desc("nulls"), "field").limit(n)

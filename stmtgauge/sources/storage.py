@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_LOCAL_FOLDERS: dict[str, str | None] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,8 +19,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="stmtgauge-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
+        app = spark.sparkContext.applicationId
+        folder = _LOCAL_FOLDERS.setdefault(app, None) or tempfile.mkdtemp(prefix="stmtgauge-")
+        _LOCAL_FOLDERS[app] = folder
     return folder
 
 
