@@ -271,9 +271,9 @@ _PARTS = """(SELECT *, n // 2 AS half FROM (SELECT seq, sql_text, length(sql_tex
 
 @register(
     "packet_headers",
-    f"""SELECT seq % 2 AS conn_id, seq * 2 + part AS seq, CASE WHEN starts_with(sql_text, 'dbo.') THEN 3 ELSE 1 END AS type,
+    f"""SELECT seq % 2 AS conn_id, seq * 2 + part AS seq, CASE WHEN starts_with(sql_text, 'dbo.') THEN 3 ELSE 1 END::BIGINT AS type,
         part AS status, 8 + 2 * CASE part WHEN 0 THEN half ELSE n - half END AS length, seq % 1000 AS spid, part + 1 AS packet,
-        0 AS "window", CASE WHEN starts_with(sql_text, 'dbo.') THEN 'RPC' ELSE 'SQL Batch' END AS type_name
+        0::BIGINT AS "window", CASE WHEN starts_with(sql_text, 'dbo.') THEN 'RPC' ELSE 'SQL Batch' END AS type_name
         FROM {_PARTS}, range(2) AS r(part)""",
 )
 def _(spark, sf_dir):

@@ -24,6 +24,13 @@ def _fixed(spark: SparkSession, section: int, *lines: str) -> DataFrame:
     return spark.createDataFrame(rows, "section INT, place BIGINT, name STRING, sub INT, line STRING")
 
 
+def _heading_if_any(df: DataFrame, section: int, *lines: str) -> DataFrame:
+    """Headings of a section that is left out when ``df`` has no row."""
+    texts = F.array(*[F.lit(line) for line in lines])
+    heads = df.limit(1).select(F.posexplode(texts).alias("sub", "line"))
+    return _entries(heads, section, F.lit(-(10**9)), F.lit(""), F.col("line"), F.col("sub"))
+
+
 def _entries(df: DataFrame, section: int, place: Column, name: Column, line: Column, sub: Column | None = None) -> DataFrame:
     return df.select(
         F.lit(section).alias("section"),
@@ -79,7 +86,7 @@ def daily_report(
         _null_lines(P.top_nulls(profiles), 1, "- %s: nulls=%d / count=%d"),
         _fixed(spark, 2, "", "## Format Issues & Suggestions"),
         issues,
-        _fixed(spark, 3, "", "## SELECT Analysis"),
+        _heading_if_any(usage, 3, "", "## SELECT Analysis"),
         selects,
         _fixed(spark, 4, "", "## Drift & Errors"),
     ]
