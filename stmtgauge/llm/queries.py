@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from stmtgauge.llm.byte_bpe import op7_byte_bpe
+from stmtgauge.llm.embedding_dedup import op1_embedding_dedup
 from stmtgauge.llm.mixing import op2_mixing
 from stmtgauge.llm.sharding import op4_sharding
 from stmtgauge.llm.simhash import op9_simhash
 from stmtgauge.llm.substring import op6_substring_dedup
 from stmtgauge.llm.token_counts import op3_token_counts
 from stmtgauge.llm.token_files import op5_token_files
+from stmtgauge.llm.topk import OP8_SQL, op8_top_products
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
     "op4_sharding": op4_sharding,
     "op5_token_files": op5_token_files,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_top_products": op8_top_products,
     "op9_simhash": op9_simhash,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_top_products": OP8_SQL}
