@@ -66,10 +66,10 @@ def source_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, cap: f
 
 
 def mixed(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = SEED
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = SEED, row: str | None = None
 ) -> DataFrame:
-    """How often each document is taken: ``doc_id``, ``text_hash``, ``source``, ``size``, ``source_size``, ``target``,
-    ``copies`` and ``taken`` (= copies x size).
+    """How often each document is taken: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` and
+    ``taken`` (= copies x size); ``row``, if a BIGINT column of ``docs`` is named, identifies the row.
 
     A source whose target is ``e`` times its size and a rest is taken ``e`` times as a whole (complete epochs); the rest
     is drawn without replacement: document ``d`` of weight ``w`` has the key ``-ln(u) / w`` with ``u`` a seeded hash of
@@ -86,6 +86,7 @@ def mixed(
         "source",
         "text",
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
+        (F.col(row) if row else F.lit(0)).cast("bigint").alias("row"),
     )
     sized = materialize(measured(spread(narrow)).drop("text"), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -120,10 +121,20 @@ def mixed(
     taken = picked.join(more, ["s", "rank"], "left")
     copies = F.col("epochs") + F.when(F.col("drawn") | F.coalesce("extra", F.lit(False)), 1).otherwise(0)
     return taken.withColumn("copies", copies.cast("int")).select(
-        "doc_id", "text_hash", "source", "size", "source_size", "target", "copies",
+        "doc_id", "row", "source", "size", "source_size", "target", "copies",
         (F.col("copies") * F.col("size")).cast("bigint").alias("taken"),
     )
 
 
+def mixture(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them. Texts are written once with a row number, and shuffled once
+    to meet their number of copies."""
+    named = docs.withColumnsRenamed({"__row": "__row_given"}).withColumn("__row", F.monotonically_increasing_id())
+    held = materialize(named, "documents")
+    copies = mixed(held, row="__row").where("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__n"))
+    taken = held.join(copies, "__row").withColumn("__n", F.explode(F.sequence(F.lit(1), "__n")))
+    return taken.drop("__row", "__n").withColumnsRenamed({"__row_given": "__row"}).select(*docs.columns)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stmtgauge.llm.byte_bpe import op7_byte_bpe
 from stmtgauge.llm.embedding_dedup import op1_embedding_dedup
+from stmtgauge.llm.line_quality import op10_line_quality
 from stmtgauge.llm.mixing import op2_mixing
 from stmtgauge.llm.sharding import op4_sharding
 from stmtgauge.llm.simhash import op9_simhash
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_top_products": op8_top_products,
     "op9_simhash": op9_simhash,
+    "op10_line_quality": op10_line_quality,
 }
 SQL: dict[str, str] = {"op8_top_products": OP8_SQL}

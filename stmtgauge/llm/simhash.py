@@ -230,7 +230,8 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def components_of(fp: DataFrame) -> DataFrame:
-    """Add ``component_id`` to rows with ``doc_id`` and ``fp``."""
+    """Add ``component_id`` and ``root`` (which names the group even if no id of it is known) to rows with ``doc_id``
+    and ``fp``."""
     # Nodes need an id: fingerprints of null ids alone get one above all others, which is taken away again.
     distinct = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
     nameless = F.col("least").isNull()
@@ -239,10 +240,26 @@ def components_of(fp: DataFrame) -> DataFrame:
     ids = distinct.where(~nameless).select("fp", F.col("least").alias("id"))
     lost = distinct.where(nameless).select("fp", (F.monotonically_increasing_id() + (top + 1)).alias("id"))
     found = fingerprint_components(materialize(ids.unionByName(lost), "fingerprints"))
-    found = found.select("fp", F.when(F.col("root") <= top, F.col("root")).alias("component_id"))
+    found = found.select("fp", "root", F.when(F.col("root") <= top, F.col("root")).alias("component_id"))
     return fp.join(found, "fp")
 
 
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row of the smallest id (null last) stays, and one row
+    if several bear it. Texts are written once with their fingerprints; the rows that go are joined away, by a broadcast
+    if their measured number allows it."""
+    names = {"fp": "__fp_given", "__row": "__row_given"}
+    named = docs.withColumnsRenamed(names).withColumn("__row", F.monotonically_increasing_id())
+    held = materialize(fingerprints(spread(named)), "documents")
+    rows = components_of(held.select(F.col("doc_id").cast("bigint").alias("doc_id"), "fp", "__row"))
+    rows = materialize(rows.select("root", F.struct(F.isnull("doc_id").alias("n"), "doc_id", "__row").alias("r")), "groups")
+    first = rows.groupBy("root").agg(F.min("r").alias("first"))
+    gone = rows.join(first, "root").where(F.col("r") != F.col("first")).select("r.__row")
+    gone = materialize(gone, "copies")
+    kept = held.join(small(gone, gone.count(), 16), "__row", "left_anti").drop("fp", "__row")
+    return kept.withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")

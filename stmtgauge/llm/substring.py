@@ -194,7 +194,7 @@ def _bits(pdf: pd.DataFrame, phase: int) -> dict[int, bytes]:
 
 _PACKED = "part int, bucket int, n int, hashes binary"
 _BITS = "part int, phase int, bucket int, bits binary"
-_ADDED = {"n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string", "kept_text": "string"}
+_ADDED = ("n_words", "n_removed", "kept_sha256")
 
 
 def _kept_text(text: str, marks: np.ndarray) -> str:
@@ -209,8 +209,9 @@ def _kept_text(text: str, marks: np.ndarray) -> str:
 
 
 def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """Every row of ``docs`` with ``n_words``, ``n_removed``, ``kept_sha256`` (of the kept words joined by one space) and,
-    with ``with_text``, ``kept_text``; columns of these names are replaced.
+    """``doc_id``, ``n_words``, ``n_removed`` and ``kept_sha256`` (of the kept words joined by one space) of every row of
+    ``docs``; with ``with_text`` all its columns as well, ``text`` cut (what stays of it is not changed), and columns of
+    those names replaced.
 
     A word goes when a window of 13 words that covers it also starts in a document of smaller ``doc_id``; windows are
     those of the input. Null text has no words. Rows of null ``doc_id`` are kept as they are and count for nobody; rows
@@ -218,15 +219,15 @@ def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     Texts are shuffled once, into ranges by doc_id that all three steps share; hashes go packed, answers as bits.
     """
-    added = {k: v for k, v in _ADDED.items() if with_text or k != "kept_text"}
     plain = docs.select(*[c for c in docs.columns if c not in _ADDED])
+    others = [c for c in plain.columns if c != "text"]
     n_bytes, rows = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("doc_id")).first()
     parts = max(1, min(rows, max(partitions(docs), math.ceil(n_bytes / RANGE_BYTES))))
     buckets = max(1, partitions(docs), math.ceil(n_bytes / 12 / BUCKET_HASHES))
     bounds = id_bounds(docs, parts)
     named = plain.where("doc_id IS NOT NULL").select(
         range_of(bounds).alias("part"), F.col("doc_id").cast("bigint").alias("doc_id"), "text",
-        F.struct(*plain.columns).alias("row") if with_text else F.lit(0).alias("row"),
+        F.struct(*others).alias("row") if with_text else F.lit(0).alias("row"),
     )
     ranges = named.repartition("part")
 
@@ -256,7 +257,7 @@ def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
                 texts.append(_kept_text(text, m) if text is not None else None)
         out = pd.DataFrame({"doc_id": r.ids, "n_words": r.length, "n_removed": n_removed, "kept_sha256": digests})
         if with_text:
-            out["row"], out["kept_text"] = r.docs["row"].to_numpy(), texts
+            out["row"], out["text"] = r.docs["row"].to_numpy(), texts
         return out
 
     first = ranges.groupBy("part").applyInPandas(anchors, _PACKED)
@@ -267,27 +268,23 @@ def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     out = schema_with(plain.select(F.col("doc_id").cast("bigint").alias("doc_id")), n_words="bigint", n_removed="bigint")
     out = out.add("kept_sha256", "string")
     if with_text:
-        out = out.add("row", named.schema["row"].dataType).add("kept_text", "string")
+        out = out.add("row", named.schema["row"].dataType).add("text", "string")
     done = ranges.groupBy("part").cogroup(both.groupBy("part")).applyInPandas(cut, out)
-    if with_text:
-        done = done.select("row.*", *added)
-    else:
-        done = done.select("doc_id", *added)
-    return done.unionByName(_nameless(plain.where("doc_id IS NULL"), added, with_text))
+    kept = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in plain.columns]
+    done = done.select(*(kept if with_text else ["doc_id"]), *_ADDED)
+    return done.unionByName(_nameless(plain.where("doc_id IS NULL"), with_text))
 
 
-def _nameless(rows: DataFrame, added: dict[str, str], with_text: bool) -> DataFrame:
+def _nameless(rows: DataFrame, with_text: bool) -> DataFrame:
     """Rows without an id: nothing is removed from them."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     values = {
         "n_words": F.size(words).cast("bigint"),
         "n_removed": F.lit(0).cast("bigint"),
         "kept_sha256": F.sha2(F.array_join(words, " ").cast("binary"), 256),
-        "kept_text": F.col("text"),
     }
-    kept = rows if with_text else rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    out = kept.select("*", *[values[k].alias(k) for k in added])
-    return out if with_text else out.drop("text")
+    kept = rows.columns if with_text else [F.col("doc_id").cast("bigint").alias("doc_id")]
+    return rows.select(*kept, *[values[k].alias(k) for k in _ADDED])
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
