@@ -74,8 +74,9 @@ def mixed(
     A source whose target is ``e`` times its size and a rest is taken ``e`` times as a whole (complete epochs); the rest
     is drawn without replacement: document ``d`` of weight ``w`` has the key ``-ln(u) / w`` with ``u`` a seeded hash of
     its id and text, and documents are taken by rising key as long as their running size stays within the rest. The gap
-    before the first document that does not fit is then filled by up to two more, each the largest that still fits
-    (smallest key first), so that a source misses its target by less than its smallest documents.
+    before the first document that does not fit is then filled by up to two more: the largest that still fits, and the
+    one that brings the source nearest to its target from either side (smallest key first). So a source misses its target
+    by less than its smallest documents.
 
     Null text has size 0 and is never taken as a fraction; a null source is a source, last in order; null ids take part.
     Repeated rows have the same key and lie side by side. Sources of size 0 have target 0. No rows give no rows. Sizes
@@ -92,7 +93,7 @@ def mixed(
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, cap).withColumn("s", F.monotonically_increasing_id())
     targets = materialize(
-        targets.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)))
+        targets.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")),
         "targets",
     )
@@ -104,18 +105,21 @@ def mixed(
     keyed = joined.withColumn("key", -F.log(u) / F.col("weight"))
     ordered = materialize(running(keyed, "s", ["key", "doc_id", "text_hash"], "size"), "drawn")
     fits = (F.col("before") + F.col("size") <= F.col("rest")) & (F.col("size") > 0)
-    # Two documents per source close the gap; each is the largest that fits, the earliest of those.
+    # Two documents per source close the gap: the largest that fits, then the nearest; of equal ones the earliest.
     picked = ordered.withColumn("drawn", fits)
     used = picked.where("drawn").groupBy("s").agg(F.sum("size").alias("used"))
     gap = targets.join(used, "s", "left").select("s", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("gap"))
-    best = F.max_by(F.struct("key", "doc_id", "text_hash", "rank", "size"), F.struct("size", -F.col("rank")))
-    left = picked.where("NOT drawn AND size > 0").select("s", "key", "doc_id", "text_hash", "rank", "size")
+    found = F.struct("rank", "size")
+    left = picked.where("NOT drawn AND size > 0").select("s", "rank", "size")
     gap = materialize(gap, "gaps")
     n = targets.count()
-    one = left.join(small(gap, n, 64), "s").where("size <= gap").groupBy("s").agg(best.alias("one"))
+    fitting = left.join(small(gap, n, 64), "s").where("size <= gap")
+    one = fitting.groupBy("s").agg(F.max_by(found, F.struct("size", -F.col("rank"))).alias("one"))
     one = materialize(one.select("s", F.col("one.rank").alias("rank"), F.col("one.size").alias("one_size")), "filled")
-    gap2 = small(gap.join(one, "s").select("s", (F.col("gap") - F.col("one_size")).alias("gap"), F.col("rank").alias("r")), n, 64)
-    two = left.join(gap2, "s").where("size <= gap AND rank <> r").groupBy("s").agg(best.alias("two"))
+    rest = (F.col("gap") - F.coalesce("one_size", F.lit(0))).alias("gap")
+    gap2 = small(gap.join(one, "s", "left").select("s", rest, F.coalesce("rank", F.lit(-1)).alias("taken")), n, 64)
+    nearer = left.join(gap2, "s").where("size < 2 * gap AND rank <> taken")
+    two = nearer.groupBy("s").agg(F.min_by(found, F.struct(F.abs(F.col("size") - F.col("gap")), "rank")).alias("two"))
     more = one.select("s", "rank").unionByName(two.select("s", F.col("two.rank").alias("rank")))
     more = small(materialize(more, "filled").withColumn("extra", F.lit(True)), 2 * n, 32)
     taken = picked.join(more, ["s", "rank"], "left")
