@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import duck as K
 from checks import streams
 from checks import views as V
+from checks.registry import QUERIES, SQL, big, register
 from stmtgauge.functions import binary as B
 from stmtgauge.functions import statements as S
 from stmtgauge.functions.text import plain_name, strip
@@ -19,28 +18,10 @@ from stmtgauge.plans import reports
 from stmtgauge.sources.storage import fresh_folder, materialize
 from stmtgauge.streaming import jobs
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 ORDER = correct.LOG_ORDER
 DAY = "2024-01-10"
 
 
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = K.query(sql)
-        return fn
-
-    return keep
-
-
-def big(name: str, alias: str | None = None):
-    return F.col(name).cast("bigint").alias(alias or name)
-
-
 # -- value normalization ---------------------------------------------------------------------------------------------
 def _register_kind(kind: str) -> None:
     expr = K.normalizer_columns("value")[kind]
@@ -375,7 +356,7 @@ def _(spark, sf_dir):
         )
     ]
     docs = V.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("sql_text"))
-    found = policy.decide(docs, V.rules(spark, rows), key="doc_id")
+    found = policy.decide(docs, V.rules(spark, rows))
     return found.select("doc_id", "decision.action", "decision.rule_id")
 
 
@@ -440,6 +421,28 @@ def _(spark, sf_dir):
     return policy.decide(texts, V.patterns_many(spark, 5000)).select("seq", "decision.action", "decision.rule_id")
 
 
+@register(
+    "decide_documents_by_pieces",
+    """SELECT d.doc_id, p.ord AS rule_ord FROM documents AS d LEFT JOIN (SELECT d.doc_id AS id, min(ord) AS ord FROM documents AS d
+        JOIN (SELECT doc_id::BIGINT AS ord, lower(substr(text, 1 + (doc_id % 40)::INT, CASE WHEN doc_id % 251 = 250 THEN 1 ELSE 6 END)) AS s
+            FROM documents WHERE text <> '') AS p ON d.text <> '' AND p.s <> '' AND contains(lower(d.text), p.s) GROUP BY d.doc_id) AS p ON p.id = d.doc_id""",
+)
+def _(spark, sf_dir):
+    """Each document gives a pattern (some of one letter) that other documents hold; rows have a repeated, partly null seq."""
+    docs = V.table(spark, sf_dir, "documents")
+    cut = F.expr("substr(text, 1 + CAST(doc_id % 40 AS INT), CASE WHEN doc_id % 251 = 250 THEN 1 ELSE 6 END)")
+    given = docs.where("text <> ''").select(
+        F.col("doc_id").cast("int").alias("ord"), F.concat(F.lit("doc-"), "doc_id").alias("id"), F.lit("pattern").alias("target"),
+        cut.alias("selector"), F.lit("block").alias("action"), F.lit("").alias("reason"), F.lit(1.0).alias("confidence"),
+        F.lit(True).alias("enabled"), F.lit(None).cast("array<string>").alias("apply_in_envs"), F.lit(0).alias("min_hits_to_enforce"),
+    ).where("selector <> ''")
+    texts = docs.select("doc_id", F.col("text").alias("sql_text"), F.expr("nullif(doc_id % 3, 0)").alias("seq"))
+    ruleset = policy.RuleSet.prepare(given, form="join")
+    low = F.lower(F.nullif("sql_text", F.lit("")))
+    found = policy._match_by_pieces(texts, low, ruleset.of("pattern"), "m", ruleset.small)
+    return found.select("doc_id", big("m.ord", "rule_ord"))
+
+
 @register(
     "lookup_rules",
     """SELECT d.seq, d.rule_id, r.selector, r.min_hits::BIGINT AS min_hits FROM statement_decisions AS d
@@ -506,6 +509,11 @@ _GATES = f"""(SELECT h.seq, h.rule_id, CASE WHEN r.min_hits > 0 THEN h.hits END
     JOIN rules AS r ON r.id = h.rule_id WHERE h.step = 0 AND h.action = 'block')"""
 
 
+# A column rule that blocks has no effect on the cells of statements.
+_WITH_COLUMN_BLOCK = [*V.RULES, (8, "ref-column", "column", "Ref", "block", "No references", 0.5, True, None, 0)]
+_IGNORED = """(SELECT seq, count(*) AS n FROM cell_decisions WHERE action = 'allow' AND col = 'dbo.Orders.Ref' GROUP BY seq)"""
+
+
 def _enforced_log(spark, sf_dir) -> DataFrame:
     """Statement and cell decisions under enforcement, written once: the steps behind it read it several times."""
     log, rules = V.query_log(spark, sf_dir), V.rules(spark)
@@ -521,12 +529,24 @@ def _(spark, sf_dir):
 @register(
     "statement_outcomes",
     f"""SELECT d.seq, CASE WHEN g.enforced THEN 'blocked' WHEN NOT g.enforced THEN 'gated' WHEN c.seq IS NOT NULL THEN 'rewritten'
-            ELSE 'forwarded' END AS outcome
+            ELSE 'forwarded' END AS outcome, coalesce(i.n, 0) AS block_ignored
         FROM statement_decisions AS d LEFT JOIN {_GATES} AS g ON g.seq = d.seq
-        LEFT JOIN (SELECT DISTINCT seq FROM ({_ENFORCED})) AS c ON c.seq = d.seq""",
+        LEFT JOIN (SELECT DISTINCT seq FROM ({_ENFORCED})) AS c ON c.seq = d.seq LEFT JOIN {_IGNORED} AS i ON i.seq = d.seq""",
 )
 def _(spark, sf_dir):
-    return correct.statement_outcomes(_enforced_log(spark, sf_dir), V.rules(spark), "enforce")
+    ignored = correct.ignored_blocks(V.query_log(spark, sf_dir), V.rules(spark, _WITH_COLUMN_BLOCK))
+    return correct.statement_outcomes(_enforced_log(spark, sf_dir), V.rules(spark), "enforce", ignored=ignored)
+
+
+@register(
+    "gates_of_unknown_rules",
+    f"""SELECT h.seq, h.rule_id, NULL::BIGINT AS hits, 0::BIGINT AS min_hits, true AS enforced FROM {_HITS} AS h
+        WHERE h.step = 0 AND h.action = 'block'""",
+)
+def _(spark, sf_dir):
+    """A log names rules that are no longer in the table: their blocks hold."""
+    gone = V.rules(spark).where(F.col("action") != "block")
+    return correct.apply_thresholds(_enforced_log(spark, sf_dir), gone)
 
 
 @register(
@@ -897,12 +917,27 @@ def _(spark, sf_dir):
     )
 
 
-_COUNTERS = """(SELECT key, CASE WHEN starts_with(key, 'rule:') THEN split_part(key, ':', 2) END AS rule,
-    CASE WHEN starts_with(key, 'rule:') THEN split_part(key, ':', 3) END AS action, count(*) AS n FROM increments GROUP BY key)"""
+_REWRITE_CAP = 200
+_COUNTERS = f"""(SELECT key, CASE WHEN starts_with(key, 'rule:') THEN split_part(key, ':', 2) END AS rule,
+    CASE WHEN starts_with(key, 'rule:') THEN split_part(key, ':', 3) END AS action, count(*) AS n FROM (
+        SELECT key FROM increments
+        UNION ALL SELECT CASE WHEN enforced THEN 'blocks' ELSE 'gated_by_threshold' END FROM {_GATES}
+        UNION ALL SELECT 'rpc_seen' FROM query_log WHERE starts_with(sql_text, 'dbo.') AND contains(sql_text, '@')
+        UNION ALL SELECT 'rpc_blocked' FROM (SELECT DISTINCT seq FROM param_decisions WHERE action = 'block')
+        UNION ALL SELECT 'rewrite_skipped_size' FROM query_log WHERE 8 + 2 * length(sql_text) > {_REWRITE_CAP}) GROUP BY key)"""
 
 
 def _counters(spark, sf_dir) -> DataFrame:
-    return D.counters(D.counter_increments(V.decisions_log(spark, sf_dir)))
+    """All counters of the log with rules enforced."""
+    log, decisions = V.query_log(spark, sf_dir), V.decisions_log(spark, sf_dir)
+    gates = correct.apply_thresholds(_enforced_log(spark, sf_dir), V.rules(spark))
+    parts = (
+        D.counter_increments(decisions)
+        .unionByName(D.gate_increments(gates))
+        .unionByName(D.call_increments(V.rpc_calls(log), decisions, "enforce"))
+        .unionByName(D.size_increments(correct.oversized_rewrites(log, "sql_text", _REWRITE_CAP)))
+    )
+    return D.counters(parts)
 
 
 @register("counters", f"SELECT key, rule, action, n FROM {_COUNTERS}")
@@ -1113,3 +1148,6 @@ def _(spark, sf_dir):
     newest = written.where(F.col("batch") == written.agg(F.max("batch")).first()[0])
     entries = F.transform(F.array_sort(F.map_entries("suggestions")), lambda e: F.concat_ws(":", e["key"], e["value"]))
     return newest.select("field", "count", "nulls", F.array_join(entries, ", ").alias("kinds"))
+
+
+from checks import roundtrips  # noqa: E402, F401  registers the queries of sources and sinks

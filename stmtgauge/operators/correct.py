@@ -39,14 +39,14 @@ def as_log(df: DataFrame) -> DataFrame:
     )
 
 
-def _texts(events: DataFrame, ruleset: RuleSet, key: str) -> DataFrame:
+def _texts(events: DataFrame, ruleset: RuleSet) -> DataFrame:
     filled = events.where(nonempty(F.col("sql_text")).isNotNull())
-    return ruleset.match_pattern(filled, F.col("sql_text"), "__by_pattern", key)
+    return ruleset.match_pattern(filled, F.col("sql_text"), "__by_pattern")
 
 
 def statement_decisions(events: DataFrame, rules: DataFrame, env: str | None = None, form: str = "auto") -> DataFrame:
     """Log rows (step 0), one per statement with text; only pattern rules can match here."""
-    found = _texts(events, RuleSet.prepare(rules, env, form), "seq")
+    found = _texts(events, RuleSet.prepare(rules, env, form))
     passed = [c for c in ("ts", "spid") if c in events.columns]
     return as_log(
         found.withColumn("d", decision_of("__by_pattern")).select(
@@ -68,16 +68,10 @@ def _with_cells(statements: DataFrame) -> DataFrame:
     return once(lists, {"__many": many, "__cells": cells}).drop("__listed", "__single")
 
 
-def cell_corrections(
-    events: DataFrame, rules: DataFrame, env: str | None = None, mode: str = "log", form: str = "auto"
-) -> DataFrame:
-    """Log rows (step 1) for every written value that an autocorrect rule changes.
-
-    The rules see table, ``table.column`` and text, so a table or pattern rule may decide first. In ``enforce`` mode
-    statements with a block decision are left alone.
-    """
+def _decided_cells(events: DataFrame, rules: DataFrame, env: str | None, mode: str, form: str) -> DataFrame:
+    """Every written cell with the decision ``d`` on it."""
     ruleset = RuleSet.prepare(rules, env, form)
-    found = _texts(events, ruleset, "seq")
+    found = _texts(events, ruleset)
     if mode == "enforce":
         found = found.where(F.coalesce(F.col("__by_pattern.action") != "block", F.lit(True)))
     passed = [c for c in ("ts", "spid") if c in events.columns]
@@ -97,9 +91,29 @@ def cell_corrections(
         unquote(F.col("__token")).alias("before"),
     )
     cells = ruleset.match_column(cells, F.col("column"), "__by_column")
-    chosen = cells.withColumn("d", decision_of("__by_pattern", "__by_table", "__by_column")).where(
-        F.col("d.action") == "autocorrect"
-    )
+    return cells.withColumn("d", decision_of("__by_pattern", "__by_table", "__by_column"))
+
+
+def ignored_blocks(
+    events: DataFrame, rules: DataFrame, env: str | None = None, mode: str = "log", form: str = "auto"
+) -> DataFrame:
+    """(seq, n): written cells whose first matching rule is a block by column. Such rules stop calls only; in statements
+    they have no effect, which this shows."""
+    cells = _decided_cells(events, rules, env, mode, form)
+    by_column = F.col("d.rule_id").eqNullSafe(F.col("__by_column.id"))
+    return cells.where((F.col("d.action") == "block") & by_column).groupBy("seq").agg(F.count("*").alias("n"))
+
+
+def cell_corrections(
+    events: DataFrame, rules: DataFrame, env: str | None = None, mode: str = "log", form: str = "auto"
+) -> DataFrame:
+    """Log rows (step 1) for every written value that an autocorrect rule changes.
+
+    The rules see table, ``table.column`` and text, so a table or pattern rule may decide first. In ``enforce`` mode
+    statements with a block decision are left alone.
+    """
+    chosen = _decided_cells(events, rules, env, mode, form).where(F.col("d.action") == "autocorrect")
+    passed = [c for c in ("ts", "spid") if c in events.columns]
     fixed = suggest_normalizations(chosen, "before", "s").where(F.col("s.normalized") != F.col("before"))
     return as_log(
         fixed.select(
@@ -141,14 +155,15 @@ def corrected_statements(events: DataFrame, corrections: DataFrame, compat: bool
 def apply_thresholds(log: DataFrame, rules: DataFrame, start_counters: DataFrame | None = None) -> DataFrame:
     """(seq, rule_id, hits, min_hits, enforced) for each block decision on a statement.
 
-    A rule with ``min_hits_to_enforce`` blocks only from that hit on; the current hit counts. ``start_counters`` holds
-    earlier hits as (rule_id, action, n).
+    A rule with ``min_hits_to_enforce`` blocks only from that hit on; the current hit counts. A rule that is not in the
+    table has no threshold: it blocks at once. ``start_counters`` holds earlier hits as (rule_id, action, n).
     """
     index = rule_index(rules).select(
         F.col("id").alias("rule_id"), F.coalesce("rule.min_hits_to_enforce", F.lit(0)).alias("min_hits")
     )
     hits = log.where(F.col("rule_id").isNotNull() & F.col("action").isin(*HIT_ACTIONS) & (F.col("step") != 2))
-    hits = hits.select(*LOG_ORDER, "rule_id", "action").join(broadcast_if_small(index), "rule_id")
+    hits = hits.select(*LOG_ORDER, "rule_id", "action").join(broadcast_if_small(index), "rule_id", "left")
+    hits = hits.withColumn("min_hits", F.coalesce("min_hits", F.lit(0)))
     is_block = (F.col("step") == 0) & (F.col("action") == "block")
     # Only rules with a threshold need a count: the others enforce at once.
     free = hits.where(is_block & (F.col("min_hits") <= 0)).select(
@@ -175,34 +190,35 @@ def apply_thresholds(log: DataFrame, rules: DataFrame, start_counters: DataFrame
 
 
 def statement_outcomes(
-    log: DataFrame, rules: DataFrame, mode: str = "log", start_counters: DataFrame | None = None
-) -> DataFrame:
-    """(seq, outcome, block_ignored): blocked, gated, rewritten or forwarded.
+    log: DataFrame, rules: DataFrame, mode: str = "log", start_counters: DataFrame | None = None,
+    ignored: DataFrame | None = None,
+) -> DataFrame:
+    """(seq, outcome, block_ignored): blocked, gated, rewritten or forwarded, and how many written cells a block rule met
+    without effect (see ``ignored_blocks``; 0 when these are not given).
 
     Reads the log of the statements (steps 0 and 1) once per part and meets on ``seq`` in one aggregation.
     """
-    statements = log.where(F.col("step") == 0)
-    no = F.lit(False)
-    marks = statements.select(
-        "seq", F.lit(True).alias("seen"), no.alias("enforced"), no.alias("gated"), no.alias("changed")
-    )
+    no, none = F.lit(False), F.lit(0).cast("bigint")
+    flags = ("seen", "enforced", "gated", "changed")
+
+    def marks(df: DataFrame, **given) -> DataFrame:
+        return df.select("seq", *[given.get(f, no).alias(f) for f in flags], given.get("ignored", none).alias("ignored"))
+
+    parts = marks(log.where(F.col("step") == 0), seen=F.lit(True))
+    if ignored is not None:
+        parts = parts.unionByName(marks(ignored, ignored=F.col("n").cast("bigint")))
     if mode == "enforce":
         gates = apply_thresholds(log, rules, start_counters)
-        marks = marks.unionByName(
-            gates.select("seq", no.alias("seen"), "enforced", (~F.col("enforced")).alias("gated"), no.alias("changed"))
-        )
-        cells = log.where(F.col("step") == 1)
-        marks = marks.unionByName(
-            cells.select("seq", no.alias("seen"), no.alias("enforced"), no.alias("gated"), F.lit(True).alias("changed"))
-        )
-    flags = marks.groupBy("seq").agg(*[F.max(c).alias(c) for c in ("seen", "enforced", "gated", "changed")])
+        parts = parts.unionByName(marks(gates, enforced=F.col("enforced"), gated=~F.col("enforced")))
+        parts = parts.unionByName(marks(log.where(F.col("step") == 1), changed=F.lit(True)))
+    met = parts.groupBy("seq").agg(*[F.max(c).alias(c) for c in flags], F.sum("ignored").alias("block_ignored"))
     outcome = (
         F.when(F.col("enforced"), F.lit("blocked"))
         .when(F.col("gated"), F.lit("gated"))
         .when(F.col("changed"), F.lit("rewritten"))
         .otherwise(F.lit("forwarded"))
     )
-    return flags.where("seen").select("seq", outcome.alias("outcome"))
+    return met.where("seen").select("seq", outcome.alias("outcome"), "block_ignored")
 
 
 def oversized_rewrites(df: DataFrame, text_col: str, cap: int = MAX_REWRITE_BYTES) -> DataFrame:

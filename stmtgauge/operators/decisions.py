@@ -108,6 +108,30 @@ def counter_increments(log: DataFrame) -> DataFrame:
     return log.select(F.explode(F.array_compact(F.array(per_rule, own))).alias("key"), F.lit(1).cast("bigint").alias("by"))
 
 
+def gate_increments(gates: DataFrame) -> DataFrame:
+    """(key, by) of block decisions on statements (see ``correct.apply_thresholds``): enforced ones count as ``blocks``,
+    others as ``gated_by_threshold``."""
+    key = F.when(F.col("enforced"), F.lit("blocks")).otherwise(F.lit("gated_by_threshold"))
+    return gates.select(key.alias("key"), F.lit(1).cast("bigint").alias("by"))
+
+
+def call_increments(calls: DataFrame, log: DataFrame, mode: str = "log") -> DataFrame:
+    """(key, by) of calls (``seq``): each is ``rpc_seen``; in ``enforce`` mode one with a blocked parameter in the log
+    (step 2) is ``rpc_blocked``."""
+    one = F.lit(1).cast("bigint").alias("by")
+    seen = calls.select(F.lit("rpc_seen").alias("key"), one)
+    if mode != "enforce":
+        return seen
+    blocked = log.where((F.col("step") == 2) & (F.col("action") == "block")).select("seq").distinct()
+    return seen.unionByName(blocked.select(F.lit("rpc_blocked").alias("key"), one))
+
+
+def size_increments(flagged: DataFrame) -> DataFrame:
+    """(key, by): texts whose rewrite was too large (see ``correct.oversized_rewrites``)."""
+    one = F.lit(1).cast("bigint").alias("by")
+    return flagged.where("rewrite_skipped_size").select(F.lit("rewrite_skipped_size").alias("key"), one)
+
+
 def counters(increments: DataFrame) -> DataFrame:
     """(key, rule, action, n): summed counters; ``rule:<id>:<action>`` keys are taken apart."""
     totals = increments.groupBy("key").agg(F.sum("by").alias("n"))
@@ -143,4 +167,6 @@ def evaluate(decided: DataFrame, order: tuple[str, ...] = ("seq",)) -> tuple[Dat
     """Totals by action, counts by rule and action, and three samples per rule of events with a ``decision``."""
     flat = decided.select(*order, "sql_text", "value", "decision.action", "decision.rule_id")
     sample = F.coalesce(nonempty(F.col("sql_text")), nonempty(F.col("value")), F.lit(""))
-    return totals_by_action(flat), counts_by_rule(flat), samples_by_rule(flat, sample, order)
+    counts = counts_by_rule(flat)
+    totals = counts.groupBy("action").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "action")
+    return totals, counts, samples_by_rule(flat, sample, order)

@@ -25,6 +25,8 @@ from stmtgauge.operators.small import BROADCAST_BYTES, broadcast_if_small, byte_
 COMPILED_LIMIT = 64
 PATTERN_LIMIT = 4096
 PATTERN_CHARS = 256 * 1024
+#: Characters of the pieces by which long lists of patterns meet texts.
+PIECE = 3
 
 # Verdict when no rule matches.
 DEFAULT_ACTION, DEFAULT_REASON, DEFAULT_CONFIDENCE = "allow", "no matching rule", 1.0
@@ -85,7 +87,7 @@ class RuleSet:
 
     @classmethod
     def prepare(cls, rules: DataFrame, env: str | None = None, form: str = "auto") -> RuleSet:
-        active = active_rules(rules, env).select(
+        active = active_rules(admit_rules(rules), env).select(
             _match_struct().alias("m"), F.col("target"), F.lower("selector").alias("selector")
         )
         if form not in ("auto", "compiled", "join"):
@@ -123,19 +125,39 @@ class RuleSet:
         df = self._lookup(df, last_segment(full), columns.where(~dotted), bare, "__last_match")
         return df.withColumn(out, F.least("__whole_match", "__last_match")).drop("__whole_match", "__last_match")
 
-    def match_pattern(self, df: DataFrame, text: Column, out: str, key: str = "seq") -> DataFrame:
-        """Substring test on the text, any letter case. ``key`` names a unique column, used only by the longest form."""
+    def match_pattern(self, df: DataFrame, text: Column, out: str) -> DataFrame:
+        """Substring test on the text, any letter case. The form depends on the number of patterns, the answer does not."""
         low = F.lower(nonempty(text))
         if self.rows is not None:
             found = F.col("__key")
             return self._compiled(df, {"__key": low}, out, "pattern", lambda sel: F.contains(found, F.lit(sel)))
         patterns = self.of("pattern")
-        rows = patterns.limit(PATTERN_LIMIT + 1).collect()
-        if len(rows) <= PATTERN_LIMIT and sum(len(r.selector) for r in rows) <= PATTERN_CHARS:
-            return self._listed(df, low, sorted(rows, key=lambda r: r.m.ord), out)
+        n, chars = patterns.agg(F.count("*"), F.coalesce(F.sum(F.length("selector")), F.lit(0))).first()
+        if n <= PATTERN_LIMIT and chars <= PATTERN_CHARS:
+            return self._listed(df, low, self._in_order(patterns), out)
         if df.isStreaming:
-            raise ValueError(f"more than {PATTERN_LIMIT} pattern rules on a stream: decide inside foreachBatch")
-        return _match_by_pieces(df, low, patterns, out, key, self.small)
+            return self._listed_in_parts(df, low, patterns, out)
+        return _match_by_pieces(df, low, patterns, out, self.small)
+
+    @staticmethod
+    def _in_order(patterns: DataFrame) -> list:
+        return sorted(patterns.collect(), key=lambda r: r.m.ord)
+
+    def _listed_in_parts(self, df: DataFrame, low: Column, patterns: DataFrame, out: str) -> DataFrame:
+        """On a stream, which cannot meet the texts a second time: one constant list after the other, in order."""
+        if not self.small:
+            raise ValueError(f"pattern rules of more than {BROADCAST_BYTES} bytes on a stream: decide inside foreachBatch")
+        parts, size = [[]], 0
+        for r in self._in_order(patterns):
+            if len(parts[-1]) >= PATTERN_LIMIT or (parts[-1] and size + len(r.selector) > PATTERN_CHARS):
+                parts.append([])
+                size = 0
+            parts[-1].append(r)
+            size += len(r.selector)
+        names = [f"__part{i}" for i in range(len(parts))]
+        for name, rows in zip(names, parts):
+            df = self._listed(df, low, rows, name)
+        return df.withColumn(out, F.coalesce(*names)).drop(*names)
 
     @staticmethod
     def _listed(df: DataFrame, low: Column, rows: list, out: str) -> DataFrame:
@@ -186,36 +208,36 @@ def _pieces(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def _match_by_pieces(
-    df: DataFrame, low: Column, patterns: DataFrame, out: str, key: str, small: bool = False
-) -> DataFrame:
+def _match_by_pieces(df: DataFrame, low: Column, patterns: DataFrame, out: str, small: bool = False) -> DataFrame:
     """First pattern contained in the text, for rule lists too long to test one by one.
 
-    A text that contains a selector contains each piece of it. Every selector is filed under the piece it shares with
-    the fewest other selectors; texts meet candidates on equal pieces only, and each candidate is verified.
+    Texts are known by a digest of theirs, so equal texts are looked at once and rows need no key. A text that contains a
+    selector contains each piece of it: every selector of three characters or more is filed under the piece it shares
+    with the fewest others, digests meet selectors on equal pieces, and only then meet the texts again for the test. Texts
+    are never repeated per piece. A selector of one or two characters is a piece itself; the first rule of each decides.
     """
-    shortest, anything = patterns.agg(
-        F.min(F.when(F.length("selector") > 0, F.length("selector"))), F.min(F.when(F.col("selector") == "", F.col("m")))
-    ).first()
-    size = min(3, shortest or 1)
-    pieces = patterns.where(F.col("selector") != "").select(
-        "m", "selector", F.explode(_pieces(F.col("selector"), size)).alias("piece")
-    )
+    anything = patterns.agg(F.min(F.when(F.col("selector") == "", F.col("m")))).first()[0]
+    long = patterns.where(F.length("selector") >= PIECE)
+    pieces = long.select("m", "selector", F.explode(_pieces(F.col("selector"), PIECE)).alias("piece"))
     shared = pieces.groupBy("piece").agg(F.count("*").alias("n"))
     filed = (
         pieces.join(shared, "piece")
         .groupBy("m", "selector")
         .agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
     )
-    texts = df.select(F.col(key).alias("__id"), low.alias("__text")).where(F.col("__text").isNotNull())
-    candidates = texts.select("__id", "__text", F.explode(_pieces(F.col("__text"), size)).alias("piece"))
-    matched = (
-        candidates.join(F.broadcast(filed) if small else filed, "piece")
-        .where(F.contains(F.col("__text"), F.col("selector")))
-        .groupBy("__id")
-        .agg(F.min("m").alias(out))
-    )
-    joined = df.withColumn("__id", F.col(key)).join(matched, "__id", "left").drop("__id")
+    few = lambda side: F.broadcast(side) if small else side
+    keyed = df.withColumn("__low", low).withColumn("__id", F.md5(F.col("__low").cast("binary")))
+    texts = keyed.where(F.col("__low").isNotNull()).select("__id", "__low").dropDuplicates(["__id"])
+    in_text = lambda size: texts.select("__id", F.explode(_pieces(F.col("__low"), size)).alias("piece"))
+    candidates = in_text(PIECE).join(few(filed), "piece").select("__id", "m", "selector")
+    matched = candidates.join(texts, "__id").where(F.contains("__low", "selector")).select("__id", "m")
+    short = patterns.where(F.length("selector").between(1, PIECE - 1)).groupBy(F.col("selector").alias("piece"))
+    short = short.agg(F.min("m").alias("m"))
+    for size in [r[0] for r in short.select(F.length("piece")).distinct().collect()]:
+        of_size = few(short.where(F.length("piece") == size))
+        matched = matched.unionByName(in_text(size).join(of_size, "piece").select("__id", "m"))
+    first = matched.groupBy("__id").agg(F.min("m").alias(out))
+    joined = keyed.join(first, "__id", "left").drop("__id", "__low")
     if anything is None:
         return joined
     return joined.withColumn(out, F.when(low.isNotNull(), F.least(F.col(out), _literal_match(anything))))
@@ -233,9 +255,7 @@ def decision_of(*matches: str) -> Column:
     return F.when(m.isNotNull(), found.cast(kind)).otherwise(default.cast(kind))
 
 
-def decide(
-    events: DataFrame, rules: DataFrame, env: str | None = None, form: str = "auto", key: str = "seq"
-) -> DataFrame:
+def decide(events: DataFrame, rules: DataFrame, env: str | None = None, form: str = "auto") -> DataFrame:
     """Add ``decision`` to events with columns ``sql_text``, ``table`` and ``column`` (absent ones count as NULL)."""
     ruleset = RuleSet.prepare(rules, env, form)
     matches = []
@@ -247,7 +267,7 @@ def decide(
         df = ruleset.match_column(df, F.col("column"), "__by_column")
         matches.append("__by_column")
     if "sql_text" in events.columns:
-        df = ruleset.match_pattern(df, F.col("sql_text"), "__by_pattern", key)
+        df = ruleset.match_pattern(df, F.col("sql_text"), "__by_pattern")
         matches.append("__by_pattern")
     if not matches:
         raise ValueError("events need at least one of the columns table, column, sql_text")
@@ -280,6 +300,8 @@ def validate_rules(rules: DataFrame) -> DataFrame:
     number = lambda name: raw(name).try_cast("double")
     whole = lambda name: raw(name).rlike(r"^-?\d+$")
     boolean = lambda name: raw(name).isin("true", "false")
+    kind = lambda name: F.schema_of_variant(F.try_parse_json(raw(name)))
+    list_of_strings = lambda name: kind(name).isin("ARRAY<STRING>", "ARRAY<VOID>")
 
     # Messages, with the allowed values in alphabetic order.
     checks = [
@@ -295,10 +317,7 @@ def validate_rules(rules: DataFrame) -> DataFrame:
             "confidence must be a number between 0 and 1",
         ),
         (~present("enabled") | boolean("enabled"), "enabled must be boolean if provided"),
-        (
-            ~given("apply_in_envs") | raw("apply_in_envs").rlike(r'^\[\s*(?:"[^"]*"\s*(?:,\s*"[^"]*"\s*)*)?\]$'),
-            "apply_in_envs must be a list of strings",
-        ),
+        (~given("apply_in_envs") | list_of_strings("apply_in_envs"), "apply_in_envs must be a list of strings"),
         (
             ~present("min_hits_to_enforce")
             | boolean("min_hits_to_enforce")

@@ -32,6 +32,7 @@ def running_total(
     supers = blocks.groupBy(*keys, "__super").agg(F.sum("__sum").alias("__sum"))
 
     totals = {total: F.sum("__sum").over(Window.partitionBy(*keys))} if total else {}
+    same = lambda left, right, names: [left[n].eqNullSafe(right[n]) for n in names]  # noqa: E731  NULL is a key as well
     before_super = supers.select(
         *keys,
         "__super",
@@ -39,19 +40,18 @@ def running_total(
         *[c.alias(name) for name, c in totals.items()],
     )
     inside_super = Window.partitionBy(*keys, "__super").orderBy("__block").rowsBetween(*_BEFORE)
+    inner = blocks.withColumn("__before1", F.sum("__sum").over(inside_super))
     before_block = (
-        blocks.withColumn("__before1", F.sum("__sum").over(inside_super))
-        .join(before_super, [*keys, "__super"])
+        inner.join(before_super, same(inner, before_super, [*keys, "__super"]))
         .select(
-            *keys,
+            *[inner[k] for k in keys],
             "__block",
             (F.coalesce("__before1", F.lit(0)) + F.coalesce("__before2", F.lit(0))).alias("__before"),
             *totals,
         )
     )
-    return (
-        rows.withColumn(out, F.sum("__value").over(inside))
-        .join(before_block, [*keys, "__block"])
-        .withColumn(out, F.col(out) + F.col("__before"))
-        .drop("__block", "__value", "__before")
+    counted = rows.withColumn(out, F.sum("__value").over(inside))
+    met = counted.join(before_block, same(counted, before_block, [*keys, "__block"]))
+    return met.select(
+        *[counted[c] for c in df.columns if c not in (out, *totals)], (F.col(out) + F.col("__before")).alias(out), *totals
     )

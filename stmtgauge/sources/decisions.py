@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtgauge.operators.correct import LOG_TYPES
-from stmtgauge.sources.events import parse_json_lines, with_arrival_order
+from stmtgauge.sources.events import parse_json_lines, utc, with_arrival_order
+from stmtgauge.sources.storage import if_present
 
 
 def append_decisions(df: DataFrame, path: str) -> None:
     """Stamp rows without ``ts`` and append them under their UTC day."""
     stamped = df.withColumn("ts", F.coalesce("ts", F.current_timestamp()))
-    stamped.withColumn("ts_date", F.to_date("ts")).write.partitionBy("ts_date").mode("append").json(path)
+    stamped.withColumn("ts_date", F.to_date(utc("ts"))).write.partitionBy("ts_date").mode("append").json(path)
 
 
 def read_decisions(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
-    """Logged decisions, malformed lines skipped; ``day`` reads only the folder of that day.
+    """Logged decisions, malformed lines skipped; ``day`` lists and reads only the folder of that (UTC) day.
 
     Rows from single-file logs without ``seq`` get their arrival order.
     """
     fields = ", ".join(f"`{name}` {kind}" for name, kind in LOG_TYPES.items())
-    lines = spark.read.text(path)
+    folder = f"{path.rstrip('/')}/ts_date={day}"
+    one_day = if_present(lambda: spark.read.option("basePath", path).text(folder)) if day else None
+    lines = spark.read.text(path) if one_day is None else one_day
     wanted = F.col("ts_date") == F.lit(day).cast("date")
     by_day = "ts_date" in lines.columns
     if day and by_day:
@@ -30,5 +33,5 @@ def read_decisions(spark: SparkSession, path: str, day: str | None = None) -> Da
     rows = parse_json_lines(ordered, fields).withColumn("seq", F.coalesce("seq", "__arrival")).drop("__arrival")
     if by_day:
         return rows
-    rows = rows.withColumn("ts_date", F.to_date("ts"))
+    rows = rows.withColumn("ts_date", F.to_date(utc("ts")))
     return rows.where(wanted) if day else rows

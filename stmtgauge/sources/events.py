@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stmtgauge.operators.small import broadcast_if_small
 
@@ -28,8 +29,8 @@ def with_arrival_order(df: DataFrame) -> DataFrame:
     """Add ``seq`` to a file scan: files by path, then lines, as one BIGINT and without sorting anything.
 
     ``seq`` = file number * 2^41 + byte offset of the split + line number in the scan task. A line has at least one
-    byte and a full split is alone in its task, so the sum never reaches the next split of the file. The list of files
-    is what the scan holds on the driver anyway.
+    byte and a full split is alone in its task, so the sum never reaches the next split of the file. More files or
+    longer files than the bits can number are an error. The list of files is what the scan holds on the driver anyway.
     """
     files = [(path, n) for n, path in enumerate(sorted(df.inputFiles()))]
     numbers = df.sparkSession.createDataFrame(files, "path STRING, __file BIGINT")
@@ -39,19 +40,41 @@ def with_arrival_order(df: DataFrame) -> DataFrame:
         _plain_path(F.col("_metadata.file_path")).alias("__path"),
         (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(_LINE_MASK)).alias("__place"),
     )
-    seq = F.shiftleft(F.col("__file"), _FILE_BITS) + F.col("__place")
+    fits = (F.col("__file") < (1 << (63 - _FILE_BITS))) & (F.col("__place") < (1 << _FILE_BITS))
+    numbered = F.shiftleft(F.col("__file"), _FILE_BITS) + F.col("__place")
+    seq = F.when(fits, numbered).otherwise(F.raise_error("too many or too long files to number their lines"))
     return placed.join(numbers, "__path").withColumn("seq", seq).drop("__path", "__file", "__place")
 
 
 def parse_json_lines(lines: DataFrame, fields: str) -> DataFrame:
-    """Replace the text column ``value`` by the fields of its JSON object; other lines are skipped."""
-    options = {"columnNameOfCorruptRecord": _CORRUPT}
-    parsed = lines.select(
+    """Replace the text column ``value`` by the fields of its JSON object; lines that are no JSON object are skipped.
+
+    Every field is read as text and cast afterwards, so an object stays whatever JSON type a field has: a number in a text
+    field becomes its text, a fraction in a whole-number field loses its fraction, anything else that does not fit is NULL.
+    """
+    kinds = T.StructType.fromDDL(fields)
+    as_text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in kinds], T.StructField(_CORRUPT, T.StringType())])
+    parsed = lines.where(F.ltrim("value").startswith("{")).select(
         *[c for c in lines.columns if c != "value"],
-        F.from_json("value", f"{fields}, {_CORRUPT} STRING", options).alias("__j"),
+        F.from_json("value", as_text, {"columnNameOfCorruptRecord": _CORRUPT}).alias("__j"),
     )
     sound = parsed.where(F.col("__j").isNotNull() & F.col(f"__j.{_CORRUPT}").isNull())
-    return sound.select(*[c for c in parsed.columns if c != "__j"], "__j.*").drop(_CORRUPT)
+    return sound.select(
+        *[c for c in parsed.columns if c != "__j"], *[_typed(F.col(f"__j.`{f.name}`"), f.dataType).alias(f.name) for f in kinds]
+    )
+
+
+def _typed(text: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        return text
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(text.try_cast(kind), text.try_cast("decimal(38,10)").try_cast(kind))
+    return text.try_cast(kind)
+
+
+def utc(ts: str) -> Column:
+    """Wall clock of the instant in UTC, whatever the zone of the session."""
+    return F.to_utc_timestamp(ts, F.current_timezone())
 
 
 def read_json_lines(spark: SparkSession, path: str, fields: str, streaming: bool = False) -> DataFrame:
@@ -105,5 +128,5 @@ def read_event_xml(spark: SparkSession, path: str) -> DataFrame:
 
 def write_query_events(df: DataFrame, path: str) -> None:
     """Append events as JSON lines in one folder per UTC day (``day=YYYYMMDD``)."""
-    by_day = df.withColumn("day", F.date_format("ts", "yyyyMMdd"))
+    by_day = df.withColumn("day", F.date_format(utc("ts"), "yyyyMMdd"))
     by_day.write.partitionBy("day").mode("append").json(path)
