@@ -6,6 +6,7 @@ cleaned forms of the value (:func:`cleaned_forms`), which the DataFrame function
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -43,8 +44,15 @@ SUGGESTION_ORDER = (
     "date", "datetime", "phone", "postal", "email", "decimal", "uuid", "country_iso", "orgnr",
 )
 
-# Exponents with more digits than this are not expanded: the plain notation would not fit into memory.
-MAX_EXPONENT_DIGITS = 5
+#: Longest plain notation of a decimal with an exponent. A longer one is still a decimal, but its text is NULL: it would
+#: not fit into a row.
+MAX_PLAIN_CHARS = 10_000_000
+# The standard parser knows exponents up to this many digits.
+_EXPONENT_DIGITS = 18
+
+#: Every decimal digit of Unicode and the ASCII digits they stand for, in the same order.
+_DIGITS = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Nd")
+_AS_ASCII = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
 
 
 class Forms(NamedTuple):
@@ -67,10 +75,15 @@ class Rule(NamedTuple):
 FORM_NAMES = Forms._fields[1:]
 
 
+def _ascii_digits(text: Column) -> Column:
+    """Digits of any script as ASCII digits."""
+    return F.when(text.rlike(r"(?U)[^\x00-\x7F&&[\d]]"), F.translate(text, _DIGITS, _AS_ASCII)).otherwise(text)
+
+
 def cleaned_forms(raw: Column) -> list[dict[str, Column]]:
     """The forms as consecutive projections: each uses columns ``__<form>`` of the projections before it."""
     stripped, lowered, dashed = F.col("__stripped"), F.col("__lowered"), F.col("__moment")
-    number = F.translate(stripped, " _", "")
+    number = _ascii_digits(F.translate(stripped, " _", ""))
     return [
         {"__stripped": strip(raw), "__packed": no_space(raw)},
         {
@@ -107,13 +120,14 @@ def _date(f: Forms) -> Column:
 
 # -- date and time -------------------------------------------------------------------------------------------------
 # Cheap first test: digits, two dashes or slashes and a colon must be there.
-_MAYBE_MOMENT = r"(?s)[0-9].*[-/].*[-/].*:"
+_MAYBE_MOMENT = r"(?sU)\d.*[-/].*[-/].*:"
 _MONTH = "(1[0-2]|0?[1-9])"
 # A blank may stand for the leading zero of a day.
-_DAY = "(?:[ ](?=[1-9](?![0-9])))?(3[01]|[12][0-9]|0?[1-9])"
-_TIME = "(2[0-3]|[01]?[0-9]):([0-5]?[0-9])(?::([0-5]?[0-9])"
-_YMD_TIME = rf"([0-9]{{4}})-{_MONTH}-{_DAY}(?:[Tt]|\s+){_TIME}(?:\.[0-9]{{1,6}})?)?"
-_DMY_TIME = rf"{_DAY}-{_MONTH}-([0-9]{{4}})\s+{_TIME})?"
+_DAY = r"(?:[ ](?=[1-9](?!\d)))?(3[01]|[12]\d|0?[1-9])"
+# Digits of any script are accepted where the standard parser accepts them: years, second digits, single digits.
+_TIME = r"(2[0-3]|[01]\d|\d):([0-5]\d|\d)(?::([0-5]\d|\d)"
+_YMD_TIME = rf"(\d{{4}})-{_MONTH}-{_DAY}(?:[Tt]|\s+){_TIME}(?:\.[0-9]{{1,6}})?)?"
+_DMY_TIME = rf"{_DAY}-{_MONTH}-(\d{{4}})\s+{_TIME})?"
 _MOMENT = rf"(?U)^(?:{_YMD_TIME}|{_DMY_TIME})\z"
 _ONE_DIGIT_DATE = r"(?s)^([^- ]*-(?:[^- ]-[^- ]*|[^- ]*-[^- ])(?: [^ ]*)?)(?: .*)?\z"
 
@@ -127,7 +141,7 @@ def _moment(dashed: Column) -> Column:
     """ISO text: put two zeros before every part, then keep the last two digits of each."""
     widened = F.regexp_replace(dashed, rf"(?U)^{_YMD_TIME}\z", "$1-00$2-00$3T00$4:00$5:00$6")
     widened = F.regexp_replace(widened, rf"(?U)^{_DMY_TIME}\z", "$3-00$2-00$1T00$4:00$5:00$6")
-    return F.regexp_replace(widened, r"([-T:])0*([0-9]{2})(?![0-9])", "$1$2")
+    return F.regexp_replace(_ascii_digits(widened), r"([-T:])0*([0-9]{2})(?![0-9])", "$1$2")
 
 
 def _is_moment(f: Forms) -> Column:
@@ -150,7 +164,7 @@ _EMAIL = r"(?U)^[^@\s]+@[^@\s]+\.[^@\s]+\z"
 
 
 # -- decimals ------------------------------------------------------------------------------------------------------
-_FINITE = rf"([-+]?)(?=[0-9]|\.[0-9])([0-9]*)(?:\.([0-9]*))?(?:[eE]([-+]?)0*([0-9]{{1,{MAX_EXPONENT_DIGITS}}}))?"
+_FINITE = rf"([-+]?)(?=[0-9]|\.[0-9])([0-9]*)(?:\.([0-9]*))?(?:[eE]([-+]?)0*([0-9]{{1,{_EXPONENT_DIGITS}}}))?"
 _NOT_FINITE = r"[-+]?(?i:inf(?:inity)?|s?nan[0-9]*)"
 _DECIMAL = rf"^(?:{_FINITE}|{_NOT_FINITE})\z"
 
@@ -177,7 +191,9 @@ def _shifted(number: Column) -> Column:
     """Scientific notation, unsigned: all digits with the point moved by the exponent."""
     part = lambda g: F.regexp_extract(number, rf"^{_FINITE}\z", g)
     digits = F.concat(part(2), part(3))
-    shift = F.concat(part(4), part(5)).cast("int") - F.length(part(3))
+    wide = F.concat(part(4), part(5)).cast("bigint") - F.length(part(3))
+    fits = F.abs(wide) + F.length(digits) <= MAX_PLAIN_CHARS
+    shift = F.when(fits, wide).cast("int")
     # A let-binding: this rare branch would otherwise repeat the regexes many times.
     return F.get(
         F.transform(F.array(F.struct(digits.alias("d"), shift.alias("s"))), lambda x: _move_point(x["d"], x["s"])),
@@ -188,7 +204,7 @@ def _shifted(number: Column) -> Column:
 def _move_point(d: Column, shift: Column) -> Column:
     trimmed = lambda c: F.regexp_replace(c, "^0+(?=[0-9])", "")
     zero = d.rlike(r"^0*\z")
-    whole = F.when(zero, F.lit("0")).otherwise(trimmed(F.concat(d, F.repeat(F.lit("0"), shift))))
+    whole = F.when(zero & shift.isNotNull(), F.lit("0")).otherwise(trimmed(F.concat(d, F.repeat(F.lit("0"), shift))))
     left = F.left(F.lpad(d, F.greatest(F.length(d), 1 - shift), F.lit("0")), F.greatest(F.length(d) + shift, F.lit(1)))
     right = F.right(F.lpad(d, F.greatest(F.length(d), -shift), F.lit("0")), -shift)
     return F.when(shift >= 0, whole).otherwise(F.concat(trimmed(left), F.lit("."), right))
@@ -198,11 +214,20 @@ def _move_point(d: Column, shift: Column) -> Column:
 def _hex_text(lowered: Column) -> Column:
     inner = F.btrim(lowered, F.lit("{}() "))
     named = F.replace(F.replace(inner, F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit(""))
-    return F.translate(F.btrim(named, F.lit("{}")), "-", "")
+    return _ascii_digits(F.translate(F.btrim(named, F.lit("{}")), "-", ""))
+
+
+# What the standard parser takes for a whole number of base 16: blanks around, a sign, 0x, single underscores between digits.
+_HEX_NUMBER = r"(?U)^\s*(?:\+?(?:0x_?)?[0-9a-f](?:_?[0-9a-f])*|-(?:0x_?)?0(?:_?0)*)\s*\z"
+
+
+def _is_uuid(f: Forms) -> Column:
+    return (F.length(f.hex_text) == 32) & f.hex_text.rlike(_HEX_NUMBER)
 
 
 def _uuid(f: Forms) -> Column:
-    return F.regexp_replace(f.hex_text, "^(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
+    digits = F.lpad(F.regexp_replace(f.hex_text, r"(?U)^\s*[-+]?(?:0x)?|[_\s]", ""), 32, "0")
+    return F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
 
 
 def _is_country(f: Forms) -> Column:
@@ -225,7 +250,7 @@ RULES: dict[str, Rule] = {
     "postal": Rule(lambda f: f.packed.rlike("^[0-9]{5}\\z"), lambda f: f.packed),
     "email": Rule(lambda f: f.stripped.rlike(_EMAIL), lambda f: f.lowered),
     "decimal": Rule(lambda f: f.number.rlike(_DECIMAL), _decimal),
-    "uuid": Rule(lambda f: f.hex_text.rlike("^[0-9a-f]{32}\\z"), _uuid),
+    "uuid": Rule(_is_uuid, _uuid),
     "country_iso": Rule(_is_country, _country),
     "orgnr": Rule(lambda f: _digits(f).rlike("(?U)^(?:16)?\\d{10}\\z"), lambda f: F.right(_digits(f), F.lit(10))),
 }

@@ -145,3 +145,51 @@ def test_expressions_run_once_and_stay_in_generated_code(spark):
     assert len(SUGGESTION_ORDER) == 9
     # The mail pattern appears in one operator only: the filter did not repeat it.
     assert plan.count("[^@") <= 3
+
+
+def _standard(kind, value):
+    """What the standard parsers make of a value."""
+    from datetime import datetime
+    from decimal import Decimal, InvalidOperation
+    from uuid import UUID
+
+    if kind == "decimal":
+        text = value.strip().replace(" ", "").replace("_", "")
+        text = text.replace(",", ".") if "." not in text else text
+        try:
+            return format(Decimal(text), "f")
+        except InvalidOperation:
+            return None
+    if kind == "uuid":
+        try:
+            return str(UUID(value.strip().lower().strip("{}() ")))
+        except ValueError:
+            return None
+    text = value.strip().replace("/", "-")
+    for shape in ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M", "%d-%m-%Y %H:%M", "%d-%m-%Y %H:%M:%S"):
+        try:
+            return datetime.strptime(text, shape).strftime("%Y-%m-%dT%H:%M:%S").rjust(19, "0")
+        except ValueError:
+            continue
+    return None
+
+
+STANDARD = {
+    "decimal": ["1e100000", "2.5E-100000", "١٢٣", "-٣,٥e٢", "1e+0007", "0e99999", "۱۲.۵0", "1e1234567890123456789", "12e", "𝟙𝟚"],
+    "uuid": ["+" + "a" * 31, "0x" + "1" * 30, "1_2" + "3" * 29, "1__2" + "3" * 28, "_" + "1" * 31, "-" + "0" * 31, "-" + "1" * 31,
+             "{urn:uuid:" + "0x_" + "f" * 29 + "}", "٣" * 32, "g" * 32, "0X" + "A" * 30, "{\t" + "b" * 30 + "}"],
+    "datetime": ["٢٠٢٤-01-01 10:00", "2024-1٢-01 10:00", "2024-12-2٣ 1٠:3٠", "2024-01-01T٣:٤:٥", "2024-01-01 ٢٣:00", "01/02/٢٠٢٤ 9:5٩"],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(STANDARD))
+def test_as_the_standard_parsers(spark, kind):
+    df = spark.createDataFrame(list(enumerate(STANDARD[kind])), "i INT, value STRING")
+    got = [r.normalized for r in normalize_as(df, "value", kind).orderBy("i").collect()]
+    assert got == [_standard(kind, v) for v in STANDARD[kind]]
+
+
+def test_exponent_beyond_a_row_stays_a_decimal(spark):
+    df = spark.createDataFrame([("1e999999999",), ("1e-99999999999999999",)], "value STRING")
+    got = [r.s for r in suggest_normalizations(df, "value", "s").collect()]
+    assert [(s.kind, s.normalized) for s in got] == [("decimal", None)] * 2
