@@ -1027,7 +1027,8 @@ def _(spark, sf_dir):
     log = V.query_log(spark, sf_dir)
     first, _ = _two_profiles(spark, sf_dir)
     table = materialize(profiles.field_profiles(log), "profiles")
-    return reports.daily_report(spark, DAY, table, profiles.select_usage(log), first).select("line")
+    usage = materialize(profiles.select_usage(log), "usage")
+    return reports.daily_report(spark, DAY, table, usage, first).select("line")
 
 
 @register(

@@ -54,7 +54,7 @@ def parse_json_lines(lines: DataFrame, fields: str) -> DataFrame:
     """
     kinds = T.StructType.fromDDL(fields)
     as_text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in kinds], T.StructField(_CORRUPT, T.StringType())])
-    parsed = lines.where(F.ltrim("value").startswith("{")).select(
+    parsed = lines.where(F.col("value").rlike(r"^\s*\{")).select(
         *[c for c in lines.columns if c != "value"],
         F.from_json("value", as_text, {"columnNameOfCorruptRecord": _CORRUPT}).alias("__j"),
     )

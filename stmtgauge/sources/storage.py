@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _LOCAL_FOLDERS: dict[str, str | None] = {}
+_OWN_FOLDERS: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,8 +27,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is; nothing happens when there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder for intermediate data, inside one of the application that goes when its driver ends."""
+    own = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    if own not in _OWN_FOLDERS:
+        _OWN_FOLDERS.add(own)
+        context = spark.sparkContext
+        conf, path = context._jsc.hadoopConfiguration(), context._jvm.org.apache.hadoop.fs.Path(own)
+
+        def clean() -> None:
+            try:
+                path.getFileSystem(conf).delete(path, True)
+            except Exception:  # noqa: BLE001  the JVM may have ended first
+                pass
+
+        atexit.register(clean)
+    return f"{own}/{purpose}-{uuid.uuid4().hex}"
 
 
 def if_present(read: Callable[[], DataFrame]) -> DataFrame | None:
@@ -51,11 +73,11 @@ def materialize(df: DataFrame, purpose: str = "table") -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet scan with at least one partition per core.
+    """Parquet scan that keeps the cores busy.
 
-    Shredding and normalizing are CPU work on narrow rows. A table of few large row groups would occupy few cores, so
-    it is spread out; a table with enough splits, as any large one, is read as it lies.
+    Shredding and normalizing are CPU work on narrow rows. A table of so few row groups that it would occupy less than
+    half of the cores is spread out; a table with enough splits, as any large one, is read as it lies.
     """
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

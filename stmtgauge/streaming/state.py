@@ -1,4 +1,4 @@
-"""State of micro-batches as tables: one snapshot per batch id.
+"""State of micro-batches as tables: one snapshot per batch id, of which the last two stay.
 
 A batch reads the snapshot of the batch before it and writes its own, replacing one left by an attempt that failed. So a
 repeated batch gives the same result, and a key with most of the rows is spread like in any batch job instead of being
@@ -12,7 +12,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stmtgauge.sources.storage import if_present
+from stmtgauge.sources.storage import if_present, remove
 
 
 def _folder(path: str, batch_id: int) -> str:
@@ -30,9 +30,14 @@ def read_state(spark: SparkSession, path: str, batch_id: int, schema: str) -> Da
 
 
 def write_state(df: DataFrame, path: str, batch_id: int) -> DataFrame:
-    """Write the state after a batch and return the written table."""
+    """Write the state after a batch and return the written table.
+
+    While a batch runs, the one before it is committed and the one before that is not read again, so its snapshot goes.
+    """
     folder = _folder(path, batch_id)
     df.write.mode("overwrite").parquet(folder)
+    if batch_id > 1:
+        remove(df.sparkSession, _folder(path, batch_id - 2))
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

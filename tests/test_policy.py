@@ -173,3 +173,47 @@ def test_suggestions(spark):
     assert list(got.values()) == ["phone-autocorrect", "no-null-email", "no-null-email", "suggest-1", "no-null-email"]
     one = policy.suggest_rules(spark.createDataFrame(texts[:1], "t STRING"), "t").select(F.col("suggested.*")).first()
     assert (one.target, one.selector, one.action, one.enabled) == ("column", "Phone", "autocorrect", True)
+
+
+@pytest.mark.parametrize("limit", [4096, 2])
+def test_rows_without_a_key_and_short_selectors(spark, monkeypatch, limit):
+    """Equal or null seq, selectors of one and two letters: the same answers whatever form is taken."""
+    monkeypatch.setattr(policy, "COMPILED_LIMIT", 1)
+    monkeypatch.setattr(policy, "PATTERN_LIMIT", limit)
+    selectors = ["drop table", "q", "xy", "drop", "", None][: 5 if limit == 4096 else 6]
+    rules = [rule(i, f"r{i}", "pattern", s) for i, s in enumerate(selectors) if s != ""]
+    texts = ["DROP table a", "plain", "Q", "no xY here", "drop it", "plain", None, ""]
+    frame = spark.createDataFrame([(None if i % 3 else 1, t) for i, t in enumerate(texts)], "seq BIGINT, sql_text STRING")
+    got = [(r.sql_text, r.decision.rule_id) for r in policy.decide(frame, spark.createDataFrame(rules, RULE_SCHEMA)).collect()]
+    want = [("DROP table a", "r0"), ("plain", None), ("Q", "r1"), ("no xY here", "r2"), ("drop it", "r3"), ("plain", None), (None, None), ("", None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_null_selector_decides_nothing(spark):
+    rules = [rule(0, "none", "column", None), rule(1, "bad", "row", "x"), rule(2, "c", "column", "c")]
+    frame = events(spark, [(None, None, "c", None)])
+    for more in (0, 100):
+        many = rules + [rule(3 + i, f"u{i}", "column", None if i % 2 else f"unused{i}") for i in range(more)]
+        got = policy.decide(frame, spark.createDataFrame(many, RULE_SCHEMA)).collect()
+        assert [r.decision.rule_id for r in got] == ["c"]
+
+
+def test_stream_with_more_patterns_than_a_list_holds(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(policy, "COMPILED_LIMIT", 1)
+    monkeypatch.setattr(policy, "PATTERN_LIMIT", 2)
+    rules = spark.createDataFrame([rule(i, f"r{i}", "pattern", f"word{i} ") for i in range(7)], RULE_SCHEMA)
+    spark.createDataFrame([("a word5 word3 b",), ("word9",), (None,)], "sql_text STRING").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("sql_text STRING").parquet(str(tmp_path / "in"))
+    decided = policy.decide(stream, rules).select("sql_text", "decision.rule_id")
+    query = decided.writeStream.format("memory").queryName("many_patterns").trigger(availableNow=True)
+    query.option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    got = {r.sql_text: r.rule_id for r in spark.table("many_patterns").collect()}
+    assert got == {"a word5 word3 b": "r3", "word9": None, None: None}
+
+
+def test_list_of_strings_is_parsed(spark):
+    given = ['["a\\"b"]', "[]", '["x", "y"]', '"x"', "[1]", '["x", 1]', '{"a": 1}', "null"]
+    fields = "ord INT, id STRING, target STRING, selector STRING, action STRING, reason STRING, confidence STRING, enabled STRING, apply_in_envs STRING, min_hits_to_enforce STRING"
+    rows = [(i, f'"r{i}"', '"column"', '"c"', '"block"', None, None, None, e, None) for i, e in enumerate(given)]
+    bad = {r.ord for r in policy.validate_rules(spark.createDataFrame(rows, fields)).collect()}
+    assert bad == {3, 4, 5, 6}

@@ -153,3 +153,28 @@ def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
     assert storage.materialize(spark.range(5)).count() == 5
     with pytest.raises(Exception):
         storage.if_present(lambda: spark.sql("SELECT nothing"))
+
+
+def test_every_object_is_kept(spark, tmp_path):
+    lines = ['{"sql_text": "a", "duration_ms": 12.5}', '{"sql_text": "b", "duration_ms": "fast"}', '{"sql_text": 7, "row_count": "8"}',
+             '{"sql_text": {"x": 1}, "error": true}', "{}", ' \t{"sql_text": "c", "duration_ms": null}', "7", "[]", '"x"', "nonsense", "", '{"sql_text": "d"']
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.jsonl").write_text("\n".join(lines))
+    got = events.read_query_events(spark, str(tmp_path / "log")).orderBy("seq").collect()
+    assert [(r.sql_text, r.duration_ms, r.row_count) for r in got] == [
+        ("a", 12, None), ("b", None, None), ("7", None, 8), ('{"x":1}', None, None), (None, None, None), ("c", None, None)
+    ]
+
+
+def test_days_are_utc(spark, tmp_path):
+    df = spark.createDataFrame([("2024-01-01T23:30:00Z",)], "t STRING").select(F.col("t").cast("timestamp").alias("ts"), F.lit("x").alias("sql_text"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Stockholm")
+    try:
+        events.write_query_events(df, str(tmp_path / "e"))
+        decisions.append_decisions(df.withColumn("action", F.lit("block")), str(tmp_path / "d"))
+        assert [p.name for p in (tmp_path / "e").iterdir() if p.name.startswith("day")] == ["day=20240101"]
+        assert decisions.read_decisions(spark, str(tmp_path / "d"), "2024-01-01").count() == 1
+        assert decisions.read_decisions(spark, str(tmp_path / "d"), "2024-01-02").count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -131,3 +131,15 @@ def test_incremental_profiles(spark, tmp_path):
     assert {tuple(r) for r in usage.collect()} == {tuple(r) for r in profiles.select_usage(table).collect()}
     text = spark.read.text(str(tmp_path / "report" / "batch=2")).collect()
     assert text[0].value == "# Daily Data Quality Report – 2024-01-01"
+
+
+def test_snapshots_do_not_pile_up(spark, tmp_path):
+    from stmtgauge.streaming import state
+
+    path = str(tmp_path / "state")
+    for batch in range(20):
+        before = state.read_state(spark, path, batch, "n BIGINT")
+        total = sum(r.n for r in before.collect())
+        state.write_state(spark.createDataFrame([(total + 1,)], "n BIGINT"), path, batch)
+        assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("batch=")]) <= 2
+    assert [r.n for r in state.read_state(spark, path, 20, "n BIGINT").collect()] == [20]
