@@ -16,6 +16,8 @@ from stmtgauge.sources.storage import materialize
 
 #: A side of a join is broadcast only when its measured size stays below this; beyond it both sides are shuffled.
 BROADCAST_BYTES = 32 << 20
+#: Ranges that quantiles are asked for at once.
+COARSE = 1000
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -54,22 +56,28 @@ def schema_with(df: DataFrame, **added: str) -> T.StructType:
 
 
 def spread(df: DataFrame, column: str = "text") -> DataFrame:
-    """Rows over at least as many tasks as there are cores; a scan with enough splits is left as it lies."""
+    """Rows over as many tasks as there are cores where they lie in less than half as many; other scans are left alone."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def id_bounds(docs: DataFrame, parts: int, column: str = "doc_id") -> np.ndarray:
-    """At most ``parts - 1`` ascending ids that cut the rows into ranges of about equal counts.
+    """About ``parts - 1`` ascending ids that cut the rows into ranges of about equal counts.
 
-    Reads the id column alone; quantiles are approximate, so ranges are too. Null ids belong to no range.
+    Reads the id column alone. Up to ``COARSE`` ranges come from approximate quantiles; more of them cut each of those
+    evenly between its ends, since quantiles of every range would not fit into one aggregate. Null ids belong to no range.
     """
-    if parts <= 1:
+    coarse = min(parts, COARSE)
+    shares = [i / coarse for i in range(1, coarse)]
+    ends = (F.min(column), F.max(column), *([F.percentile_approx(column, shares, 100 * coarse)] if shares else []))
+    low, high, *inner = docs.agg(*ends).first()
+    if parts <= 1 or low is None:
         return np.empty(0, np.int64)
-    shares = [i / parts for i in range(1, parts)]
-    found = docs.agg(F.percentile_approx(column, shares, 100 * parts)).first()[0]
-    return np.unique(np.array(found or [], np.int64))
+    if parts <= coarse:
+        return np.unique(np.array(inner[0], np.int64))
+    edges, each = [low, *sorted(set(inner[0])), high], -(-parts // coarse)
+    return np.array(sorted({a + (b - a) * k // each for a, b in zip(edges, edges[1:]) for k in range(1, each + 1)}), np.int64)
 
 
 def range_of(bounds: np.ndarray, column: str = "doc_id"):

@@ -16,13 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stmtgauge.llm.common import materialize, small, table
+from stmtgauge.llm.common import BROADCAST_BYTES, materialize, small, table
 from stmtgauge.llm.components import components
 from stmtgauge.llm.simhash import _union
 
 THRESHOLD = 0.93
-#: Vectors of a cell on average, cells of all labels together (which bounds what is broadcast), vectors of a block.
-CELL_ROWS, MOST_CELLS, BLOCK_ROWS = 1024, 1 << 15, 2048
+#: Vectors of a cell on average, and of a block. Cells grow beyond that where all centroids would exceed the size that may
+#: be broadcast; blocks do not.
+CELL_ROWS, BLOCK_ROWS = 1024, 2048
 #: Vectors per label to which centroids are fitted, and rounds; every vector is assigned afterwards.
 FIT_ROWS, ROUNDS = 4096, 12
 _EPS = 1e-9
@@ -110,7 +111,9 @@ def near_duplicates(
     unique = materialize(unique.withColumn("size", F.size("v")), "vectors")
 
     counts = unique.groupBy("label", "size").agg(F.count("*").alias("n"))
-    cell_rows = max(CELL_ROWS, math.ceil((unique.count() or 1) / MOST_CELLS))
+    n, width = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1))).first()
+    # A label of n vectors has fewer than 2 n / cell_rows cells.
+    cell_rows = max(CELL_ROWS, math.ceil(2 * n * width * 8 / BROADCAST_BYTES))
     large = counts.where(F.col("n") > cell_rows).withColumn("k", F.ceil(F.col("n") / cell_rows).cast("int"))
     by_hash = Window.partitionBy("label", "size").orderBy(F.xxhash64("id"), "id")
     sample = unique.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= FIT_ROWS).drop("r")
@@ -121,14 +124,12 @@ def near_duplicates(
         return pd.DataFrame({"id": pdf["id"].iloc[:1], "c": [c.tobytes()]})
 
     fitted = sample.join(large, ["label", "size"]).groupBy("label", "size").applyInPandas(fit, "id bigint, c binary")
-    # A label is known in tasks by the number of its first sampled vector; at most 2 * MOST_CELLS centroids are sent.
+    # A label is known in tasks by the id of its first sampled vector. All centroids stay below BROADCAST_BYTES.
     known = unique.join(fitted, "id").select("label", "size", F.col("id").alias("g"), "c").collect()
     sent = vectors.sparkSession.sparkContext.broadcast({r.g: np.frombuffer(r.c).reshape(-1, r.size) for r in known})
     of = [(r.label, r.size, r.g) for r in known]
     named = vectors.sparkSession.createDataFrame(of, unique.select("label", "size", F.col("id").alias("g")).schema)
     placed = unique.join(small(named, len(of), 256), ["label", "size"], "left")
-    first = F.coalesce("g", F.xxhash64("label", "size"))
-
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for (size, g), part in pdf.groupby(["size", "g"], dropna=False):

@@ -232,16 +232,12 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def components_of(fp: DataFrame) -> DataFrame:
     """Add ``component_id`` and ``root`` (which names the group even if no id of it is known) to rows with ``doc_id``
     and ``fp``."""
-    # Nodes need an id: fingerprints of null ids alone get one above all others, which is taken away again.
     distinct = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nameless = F.col("least").isNull()
-    distinct = materialize(distinct, "fingerprints")
-    top = distinct.agg(F.max("least")).first()[0] or 0
-    ids = distinct.where(~nameless).select("fp", F.col("least").alias("id"))
-    lost = distinct.where(nameless).select("fp", (F.monotonically_increasing_id() + (top + 1)).alias("id"))
-    found = fingerprint_components(materialize(ids.unionByName(lost), "fingerprints"))
-    found = found.select("fp", "root", F.when(F.col("root") <= top, F.col("root")).alias("component_id"))
-    return fp.join(found, "fp")
+    distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "fingerprints")
+    found = fingerprint_components(distinct.select("fp", "id")).join(distinct.select("fp", "least"), "fp")
+    found = materialize(found, "fingerprints")
+    named = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fp.join(found.join(named, "root").select("fp", "root", "component_id"), "fp")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from stmtgauge.llm import components, embedding_dedup, queries, simhash, substring
+from stmtgauge.llm import common, components, embedding_dedup, queries, simhash, substring
 from tests.llm import brute
 
 DIR = "/root/testdata/sf0.001"
@@ -120,3 +120,13 @@ def test_substring_edges_of_input(spark, monkeypatch):
     same = spark.createDataFrame([(1, passage), (1, passage)], DOCS)
     assert [r.n_removed for r in substring.without_repeats(same, with_text=False).collect()] == [0, 0]
     assert substring.without_repeats(df.limit(0)).collect() == []
+
+
+def test_ranges_are_even_however_many(spark, monkeypatch):
+    df = spark.range(0, 30_000, 3).withColumnRenamed("id", "doc_id")
+    for coarse, parts in ((1000, 20), (4, 20), (1000, 1)):
+        monkeypatch.setattr(common, "COARSE", coarse)
+        bounds = common.id_bounds(df, parts)
+        sizes = [r["count"] for r in df.groupBy(common.range_of(bounds).alias("p")).count().collect()]
+        assert abs(len(sizes) - parts) <= 1 and max(sizes) <= 1.5 * 10_000 / parts
+    assert len(common.id_bounds(df.limit(0), 20)) == 0
