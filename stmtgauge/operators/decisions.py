@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stmtgauge.functions.text import nonempty
+from stmtgauge.sources.storage import materialize
 
 NO_RULE = "(no_rule)"
 # Actions listed for every rule in the insight context; length of a reason in the recent view.
@@ -164,9 +165,13 @@ def counter_panel(counter_table: DataFrame, keys: tuple[str, ...], actions: tupl
 
 # -- evaluation of rules over an event table -----------------------------------------------------------------------
 def evaluate(decided: DataFrame, order: tuple[str, ...] = ("seq",)) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Totals by action, counts by rule and action, and three samples per rule of events with a ``decision``."""
-    flat = decided.select(*order, "sql_text", "value", "decision.action", "decision.rule_id")
-    sample = F.coalesce(nonempty(F.col("sql_text")), nonempty(F.col("value")), F.lit(""))
+    """Totals by action, counts by rule and action, and three samples per rule of events with a ``decision``.
+
+    The decisions are written once; totals come from the counts, and the samples from the same stored rows.
+    """
+    text = F.coalesce(nonempty(F.col("sql_text")), nonempty(F.col("value")), F.lit(""))
+    flat = materialize(decided.select(*order, text.alias("sample"), "decision.action", "decision.rule_id"), "decided")
+    sample = F.col("sample")
     counts = counts_by_rule(flat)
     totals = counts.groupBy("action").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "action")
     return totals, counts, samples_by_rule(flat, sample, order)
