@@ -35,8 +35,9 @@ _MAGIC = b"DAC1"
 _HEAD = struct.Struct("<4siiqqqi")  # magic, part, number in part, tokens of the part before, documents, tokens, levels
 _BLOCK = 512
 
-#: Words and pre-tokens a worker remembers, and the longest of them; results do not depend on these.
-REMEMBERED, REMEMBERED_BYTES = 600_000, 40
+#: Words and pre-tokens a worker remembers (the first it meets, so the frequent ones), and the longest of them; results do
+#: not depend on these.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 40
 
 
 # -- directly addressable codes --------------------------------------------------------------------------------------
@@ -99,10 +100,10 @@ class Dac:
         return cls(levels), at
 
 
-def pack_segment(part: int, number: int, before: int, doc_ids: list[int | None], ids: list[bytes]) -> bytes:
-    """A segment of documents; ``ids`` are their ids as little-endian unsigned 32-bit integers."""
-    dac = Dac.encode(np.frombuffer(b"".join(ids), "<u4"))
-    ends = np.cumsum([len(x) // 4 for x in ids]).astype("<i8")
+def pack_segment(part: int, number: int, before: int, doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
+    """A segment of documents and their ids."""
+    dac = Dac.encode(np.concatenate(ids))
+    ends = np.cumsum([len(x) for x in ids]).astype("<i8")
     null = np.array([d is None for d in doc_ids], np.uint8)
     named = np.array([d or 0 for d in doc_ids], "<i8")
     head = _HEAD.pack(_MAGIC, part, number, before, len(ids), int(ends[-1]), len(dac.levels))
@@ -167,32 +168,32 @@ class Encoder:
         if not self.by_word:
             return [self.direct(t.decode()) for t in texts]
         split = [None if any(s in t for s in self.specials) else t.split() for t in texts]
-        new = {w for ws in split if ws for w in ws}.difference(self.words)
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            self.parts.clear()
-            new = {w for ws in split if ws for w in ws}
-        self._learn(new)
-        get = self.words.__getitem__
+        words = self.words
+        new = {w for ws in split if ws for w in ws}.difference(words)
+        learnt = self._learn(new)
+        words.update(learnt)
+        get = words.__getitem__
         out = [self.direct(t.decode()) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
-        for w in new:
-            if len(w) > REMEMBERED_BYTES:
-                del self.words[w]
+        room = REMEMBERED - (len(words) - len(learnt))
+        for n, w in enumerate(learnt):
+            if n >= room or len(w) > REMEMBERED_BYTES:
+                del words[w]
         return out
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        found: dict[bytes, bytes] = {}
         plain: dict[bytes, list[str]] = {}
         for w in words:
             s = w.decode()
             # Below U+0130 nothing composes, and lowering a character depends on nothing around it.
-            if s.isascii() or max(s) < "İ":
+            if s.isascii() or max(s) < "\u0130":
                 s = s.lower()
                 if s.isprintable():
                     plain[w] = self.pattern.findall(s)
                     continue
-            self.words[w] = self.direct(w.decode())
-        parts = self.parts
-        new = list({p for ps in plain.values() for p in ps if p not in parts})
+            found[w] = self.direct(w.decode())
+        new = list({p for ps in plain.values() for p in ps}.difference(self.parts))
+        parts: dict[str, bytes] = {}
         for at in range(0, len(new), 2000):
             chunk = new[at : at + 2000]
             ids = np.array(self.tokenizer.encode(" ".join(chunk), add_special_tokens=False).ids, "<u4")
@@ -202,20 +203,32 @@ class Encoder:
                 parts.update((p, ids[s:e].tobytes()) for p, s, e in zip(chunk, starts, ends))
             else:
                 parts.update((p, self.direct(p)) for p in chunk)
+        known = self.parts.get
         for w, ps in plain.items():
-            self.words[w] = b"".join([parts[p] for p in ps])
+            found[w] = b"".join([known(p) or parts[p] for p in ps])
+        room = REMEMBERED - len(self.parts)
+        if room > 0:
+            self.parts.update((p, v) for p, v in list(parts.items())[:room] if len(p) <= REMEMBERED_BYTES)
+        return found
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One per worker process, for all its tasks."""
+    return Encoder(path)
 
 
 # -- writing and reading ---------------------------------------------------------------------------------------------
-_GROUP_BYTES = 4 << 20
+_GROUP_BYTES = 2 << 20
 
 
 def encoded_ids(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
-    """``doc_id`` and ``ids`` (little-endian unsigned 32-bit, with the end id) of every row; null text is empty."""
+    """``doc_id``, ``width`` and ``ids`` (little-endian, ``width`` = 2 or 4 bytes each, with the end id) of every row;
+    null text is empty."""
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             held, size, done = [], 0, 0
             for text in [*texts_of(batch, "text"), None]:
@@ -223,18 +236,21 @@ def encoded_ids(docs: DataFrame, path: str, end_id: int | None = END_ID) -> Data
                     held.append(text)
                     size += len(text)
                 if held and (text is None or size >= _GROUP_BYTES):
-                    ids = [x + end for x in encoder.encode(held)]
+                    ids = [np.frombuffer(x + end, "<u4") for x in encoder.encode(held)]
+                    width = [2 if not len(x) or x.max() < 1 << 16 else 4 for x in ids]
+                    raw = [x.astype("<u2").tobytes() if w == 2 else x.tobytes() for x, w in zip(ids, width)]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(done, len(held)), pa.array(ids, pa.binary())], ["doc_id", "ids"]
+                        [batch.column("doc_id").slice(done, len(held)), pa.array(width, pa.int32()), pa.array(raw, pa.binary())],
+                        ["doc_id", "width", "ids"],
                     )
                     done, held, size = done + len(held), [], 0
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return narrow.mapInArrow(run, "doc_id bigint, ids binary")
+    return narrow.mapInArrow(run, "doc_id bigint, width int, ids binary")
 
 
 def write_token_files(ids: DataFrame, bounds: np.ndarray, folder: str) -> None:
-    """Write ``doc_id``, ``ids`` in ascending doc_id order (null first, ties by their ids) as files of segments.
+    """Write ``doc_id``, ``width``, ``ids`` in ascending doc_id order (null first, ties by their ids) as files of segments.
 
     Each range of ids is one task and one file, or more files when it is long; Spark's commit keeps a file only once,
     whatever tasks are lost or repeated.
@@ -253,15 +269,16 @@ def write_token_files(ids: DataFrame, bounds: np.ndarray, folder: str) -> None:
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["payload"])
 
         for batch in batches:
-            columns = (batch.column(n).to_pylist() for n in ("part", "doc_id", "ids"))
-            for p, doc, raw in zip(*columns):
+            columns = (batch.column(n).to_pylist() for n in ("part", "doc_id", "width"))
+            for p, doc, width, raw in zip(*columns, batch.column("ids")):
+                raw = np.frombuffer(raw.as_py(), f"<u{width}")
                 if held and (p != part or size >= SEGMENT_TOKENS):
                     yield close()
                 if p != part:
                     part, number, before = p, 0, 0
                 names.append(doc)
                 held.append(raw)
-                size += len(raw) // 4
+                size += len(raw)
         if held:
             yield close()
 
