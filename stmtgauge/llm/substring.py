@@ -33,7 +33,7 @@ from stmtgauge.llm.common import id_bounds, partitions, range_of, schema_with, s
 WINDOW, PERIOD, COVER = 13, 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
 #: Text bytes of a range of documents, and hashes of a bucket; both bound the memory of a task.
-RANGE_BYTES, BUCKET_HASHES = 8 << 20, 2_000_000
+RANGE_BYTES, BUCKET_HASHES = 4 << 20, 1_000_000
 _LOW = np.uint64((1 << 40) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = regex.compile(rb"[^\x20\x09-\x0D]+")
