@@ -249,9 +249,8 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     held = materialize(fingerprints(spread(named)), "documents")
     rows = components_of(held.select(F.col("doc_id").cast("bigint").alias("doc_id"), "fp", "__row"))
     rows = materialize(rows.select("root", F.struct(F.isnull("doc_id").alias("n"), "doc_id", "__row").alias("r")), "groups")
-    first = rows.groupBy("root").agg(F.min("r").alias("first"))
-    gone = rows.join(first, "root").where(F.col("r") != F.col("first")).select("r.__row")
-    gone = materialize(gone, "copies")
+    stay = rows.groupBy("root").agg(F.min("r").alias("r")).select("r.__row")
+    gone = materialize(rows.select("r.__row").join(stay, "__row", "left_anti"), "copies")
     kept = held.join(small(gone, gone.count(), 16), "__row", "left_anti").drop("fp", "__row")
     return kept.withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
 
