@@ -600,6 +600,25 @@ def _(spark, sf_dir):
     return rpc.param_types(params, V.param_types(spark)).select("seq", big("pos"), "name", "type")
 
 
+_DECLARED = """SELECT concat('Dbo.Proc', p_partkey) AS proc,
+    CASE p_partkey % 3 WHEN 0 THEN '@Phone' WHEN 1 THEN 'CustomerId' ELSE '@other' END AS param,
+    CASE p_partkey % 4 WHEN 0 THEN 'INT' WHEN 1 THEN 'money' WHEN 2 THEN 'bit' ELSE 'nvarchar' END AS type FROM {part}"""
+
+
+@register(
+    "rpc_param_types_declared",
+    f"""SELECT r.seq, r.pos, r.name, CASE WHEN lower(t.type) IN ('int', 'bit', 'nvarchar') THEN lower(t.type) ELSE 'nvarchar' END AS type
+        FROM (SELECT *, CASE WHEN seq % 5 = 0 THEN NULL ELSE concat('DBO.proc', seq % 3000) END AS p FROM rpc_params) AS r
+        LEFT JOIN ({_DECLARED.format(part="part")}) AS t ON lower(t.proc) = lower(r.p) AND lower(replace(t.param, '@', '')) = lower(r.name)""",
+)
+def _(spark, sf_dir):
+    """Procedures that are missing or not declared, parameters of other procedures, types that are not known."""
+    params = shred.rpc_params(V.rpc_calls(V.query_log(spark, sf_dir)))
+    proc = F.when(F.col("seq") % 5 != 0, F.concat(F.lit("DBO.proc"), (F.col("seq") % 3000).cast("string")))
+    types = V.sql_view(spark, sf_dir, _DECLARED, "part")
+    return rpc.param_types(params.withColumn("proc", proc), types).select("seq", big("pos"), "name", "type")
+
+
 @register(
     "sniff_counters",
     """SELECT CASE action WHEN 'block' THEN 'blocks' WHEN 'autocorrect' THEN 'autocorrect_suggested' ELSE 'allowed' END AS key,
