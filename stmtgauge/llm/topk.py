@@ -45,12 +45,15 @@ class Bucket:
             return np.empty(0, np.int64)
         if local < COORDINATE_FROM:
             return np.flatnonzero(self.length * length >= threshold * (1 - _SLACK))
-        # cos(q, v) >= c bounds each coordinate of v: q_f c -+ sqrt((1 - c^2)(1 - q_f^2)).
+        # cos(q, v) >= c bounds each coordinate of v: between q_f c -+ sqrt((1 - c^2)(1 - q_f^2)), or q_f -+ the same where
+        # that reaches farther (v may lie between q and the axis).
         unit = query / length
         focus = np.argsort(-np.abs(unit))[:FOCUS]
         spread = np.sqrt(max(0.0, 1 - local * local) * np.maximum(0.0, 1 - unit[focus] ** 2)) + _SLACK
         at = self.direction[:, focus]
-        inside = (at >= unit[focus] * local - spread) & (at <= np.maximum(unit[focus] + spread, unit[focus] * local + spread))
+        low = np.minimum(unit[focus], unit[focus] * local) - spread
+        high = np.maximum(unit[focus], unit[focus] * local) + spread
+        inside = (at >= low) & (at <= high)
         return np.flatnonzero(inside.all(axis=1))
 
 

@@ -149,6 +149,20 @@ def test_top_products_equal_brute_force(spark, monkeypatch, bucket):
     assert topk.top_products(df.limit(0), df).collect() == [] and topk.top_products(df, df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("axis", [-1.0, 1.0])
+def test_coordinate_bounds_keep_what_lies_at_the_axis(axis):
+    rng = np.random.default_rng(7)
+    v = np.round(1000 * (np.eye(6)[0] * axis * 3 + rng.normal(size=(400, 6)) * rng.choice([0.0, 0.05, 1.0], size=(400, 1)))).astype(np.int64)
+    bucket = topk.Bucket(np.arange(400), v)
+    for query in v[:60]:
+        score = v @ query
+        for place in (3, 10, 50):
+            threshold = float(np.sort(score)[-place])
+            rows = bucket.candidates(query, float(np.sqrt(query @ query)), threshold)
+            kept = set(range(400)) if rows is None else set(rows.tolist())
+            assert kept >= set(np.flatnonzero(score >= threshold).tolist())
+
+
 def test_top_products_query_equals_its_sql(spark):
     duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{DIR}/embeddings.parquet'")
     want = sorted(duckdb.sql(queries.SQL["op8_top_products"]).fetchall())
