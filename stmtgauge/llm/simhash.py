@@ -248,11 +248,16 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     named = docs.withColumnsRenamed(names).withColumn("__row", F.monotonically_increasing_id())
     held = materialize(fingerprints(spread(named)), "documents")
     rows = components_of(held.select(F.col("doc_id").cast("bigint").alias("doc_id"), "fp", "__row"))
+    kept = without_others(held, rows).drop("fp", "__row")
+    return kept.withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
+
+
+def without_others(held: DataFrame, rows: DataFrame) -> DataFrame:
+    """``held`` with one row of each ``root`` of ``rows`` (``root``, ``doc_id``, ``__row``): that of the smallest id."""
     rows = materialize(rows.select("root", F.struct(F.isnull("doc_id").alias("n"), "doc_id", "__row").alias("r")), "groups")
     stay = rows.groupBy("root").agg(F.min("r").alias("r")).select("r.__row")
     gone = materialize(rows.select("r.__row").join(stay, "__row", "left_anti"), "copies")
-    kept = held.join(small(gone, gone.count(), 16), "__row", "left_anti").drop("fp", "__row")
-    return kept.withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
+    return held.join(small(gone, gone.count(), 16), "__row", "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
