@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,32 @@ def source_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, cap: f
     )
 
 
+def _after(gap: DataFrame, rows: DataFrame) -> DataFrame:
+    """``gap`` of each ``s`` less the sizes of the ``drawn`` rows."""
+    used = rows.where("drawn").groupBy("s").agg(F.sum("size").alias("used"))
+    less = gap.join(used, "s", "left").select("s", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
+    return materialize(less, "gaps")
+
+
+def _closed(left: DataFrame, gap: DataFrame, n: int, turn: int) -> DataFrame:
+    """How each source's gap is closed by at most two of the rows ``left``: the largest that fits, then the nearest from
+    either side; of equal ones the earliest. ``open`` if something fits and no less than the smallest row is missed."""
+    found = F.struct("place", "size")
+    fitting = left.join(small(gap, n, 64), "s").where("size <= gap")
+    one = materialize(fitting.groupBy("s").agg(F.max_by(found, F.struct("size", -F.col("place"))).alias("one")), "filled")
+    rest = (F.col("gap") - F.coalesce("one.size", F.lit(0))).alias("gap")
+    gap2 = gap.join(one, "s", "left").select("s", rest, F.col("one.place").alias("one"))
+    nearer = left.join(small(gap2, n, 64), "s").where("size < 2 * gap AND NOT place <=> one")
+    two = nearer.groupBy("s").agg(F.min_by(found, F.struct(F.abs(F.col("size") - F.col("gap")), "place")).alias("two"))
+    least = left.groupBy("s").agg(F.min("size").alias("least"))
+    miss = F.abs(F.col("gap") - F.coalesce("two.size", F.lit(0)))
+    closed = gap2.join(two, "s", "left").join(least, "s", "left").select(
+        "s", F.lit(turn).alias("turn"), miss.alias("miss"), F.array_compact(F.array("one", "two.place")).alias("places"),
+        F.coalesce(F.col("one").isNotNull() & (miss >= F.col("least")), F.lit(False)).alias("open"),
+    )
+    return materialize(closed, "closed")
+
+
 def mixed(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = SEED, row: str | None = None
 ) -> DataFrame:
@@ -75,8 +102,9 @@ def mixed(
     is drawn without replacement: document ``d`` of weight ``w`` has the key ``-ln(u) / w`` with ``u`` a seeded hash of
     its id and text, and documents are taken by rising key as long as their running size stays within the rest. The gap
     before the first document that does not fit is then filled by up to two more: the largest that still fits, and the
-    one that brings the source nearest to its target from either side (smallest key first). So a source misses its target
-    by less than its smallest documents.
+    one that brings the source nearest to its target from either side (smallest key first). Where that leaves a gap, as
+    before a very long document, documents are taken on by rising key past those that do not fit, and the gap is closed
+    in the same way where that comes nearest to the target.
 
     Null text has size 0 and is never taken as a fraction; a null source is a source, last in order; null ids take part.
     Repeated rows have the same key and lie side by side. Sources of size 0 have target 0. No rows give no rows. Sizes
@@ -104,24 +132,32 @@ def mixed(
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), 11) + 0.5) * F.lit(2.0**-53)
     keyed = joined.withColumn("key", -F.log(u) / F.col("weight"))
     ordered = materialize(running(keyed, "s", ["key", "doc_id", "text_hash"], "size"), "drawn")
-    fits = (F.col("before") + F.col("size") <= F.col("rest")) & (F.col("size") > 0)
-    # Two documents per source close the gap: the largest that fits, then the nearest; of equal ones the earliest.
-    picked = ordered.withColumn("drawn", fits)
-    used = picked.where("drawn").groupBy("s").agg(F.sum("size").alias("used"))
-    gap = targets.join(used, "s", "left").select("s", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("gap"))
-    found = F.struct("rank", "size")
-    left = picked.where("NOT drawn AND size > 0").select("s", "rank", "size")
-    gap = materialize(gap, "gaps")
+    picked = ordered.withColumn("drawn", (F.col("before") + F.col("size") <= F.col("rest")) & (F.col("size") > 0))
     n = targets.count()
-    fitting = left.join(small(gap, n, 64), "s").where("size <= gap")
-    one = fitting.groupBy("s").agg(F.max_by(found, F.struct("size", -F.col("rank"))).alias("one"))
-    one = materialize(one.select("s", F.col("one.rank").alias("rank"), F.col("one.size").alias("one_size")), "filled")
-    rest = (F.col("gap") - F.coalesce("one_size", F.lit(0))).alias("gap")
-    gap2 = small(gap.join(one, "s", "left").select("s", rest, F.coalesce("rank", F.lit(-1)).alias("taken")), n, 64)
-    nearer = left.join(gap2, "s").where("size < 2 * gap AND rank <> taken")
-    two = nearer.groupBy("s").agg(F.min_by(found, F.struct(F.abs(F.col("size") - F.col("gap")), "rank")).alias("two"))
-    more = one.select("s", "rank").unionByName(two.select("s", F.col("two.rank").alias("rank")))
-    more = small(materialize(more, "filled").withColumn("extra", F.lit(True)), 2 * n, 32)
+    gap = _after(targets.select("s", F.col("rest").alias("gap")), picked)
+    left = picked.where("NOT drawn AND size > 0").select("s", F.col("rank").alias("place"), "size")
+    turn, drawn = 0, []
+    closed = [_closed(left, gap, n, turn)]
+    # A document that does not fit is passed over: where the gap stays open, sums go on over what fits into it.
+    while not (still := closed[-1].where("open").select("s")).isEmpty():
+        left = left.join(small(gap.join(still, "s"), n, 64), "s").where("size < 2 * gap")
+        left = left.withColumn("fitting", F.when(F.col("size") <= F.col("gap"), F.col("size")).otherwise(0))
+        summed = running(left, "s", ["place"], "fitting")
+        fits = (F.col("size") <= F.col("gap")) & (F.col("before") + F.col("size") <= F.col("gap"))
+        summed = materialize(summed.select("s", "place", "size", fits.alias("drawn")), "drawn")
+        gap = _after(gap.join(still, "s"), summed)
+        drawn.append(summed.where("drawn").select("s", "place", F.lit(turn).alias("turn")))
+        left, turn = summed.where("NOT drawn").select("s", "place", "size"), turn + 1
+        closed.append(_closed(left, gap, n, turn))
+    # Of the turns at which a source could stop, the one that comes nearest; the first of equal ones.
+    best = reduce(DataFrame.unionByName, closed).groupBy("s").agg(
+        F.min_by(F.struct("turn", "places"), F.struct("miss", "turn")).alias("b")
+    )
+    best = materialize(best.select("s", F.col("b.turn").alias("last"), F.col("b.places").alias("places")), "closed")
+    more = [best.select("s", F.explode("places").alias("place"))]
+    more += [d.join(small(best, n, 64), "s").where("turn < last").select("s", "place") for d in drawn]
+    more = materialize(reduce(DataFrame.unionByName, more), "filled")
+    more = small(more.select("s", F.col("place").alias("rank"), F.lit(True).alias("extra")), more.count(), 32)
     taken = picked.join(more, ["s", "rank"], "left")
     copies = F.col("epochs") + F.when(F.col("drawn") | F.coalesce("extra", F.lit(False)), 1).otherwise(0)
     return taken.withColumn("copies", copies.cast("int")).select(

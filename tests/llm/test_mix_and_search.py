@@ -117,6 +117,17 @@ def test_mix_of_capped_sources_and_odd_rows(spark, odd):
     assert mixing.mixture(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("longest", [4_500, 2_500])
+def test_mix_passes_over_a_very_long_document(spark, seed, longest):
+    rng = np.random.default_rng(seed)
+    sizes = {("b", 0): longest} | {("b", i): int(rng.integers(30, 70)) for i in range(1, 111)} | {("a", i): 50 for i in range(900, 990)}
+    df = spark.createDataFrame([(i, "w " * n, s) for (s, i), n in sizes.items()], DOCS)
+    rows = [r for r in mixing.mixed(df, seed=seed).collect() if r.source == "b"]
+    left = min(r.size for r in rows if not r.copies)
+    assert 0 < rows[0].target < rows[0].source_size and abs(sum(r.taken for r in rows) - rows[0].target) < left
+
+
 def test_heavier_documents_come_more_often():
     assert mixing.quality(b"Plain words, as they come.") > mixing.quality(b"@@ ## $$ 123") >= mixing.LEAST_WEIGHT
     assert mixing.quality(b"") == mixing.LEAST_WEIGHT and mixing.quality(b"a\na\na") < mixing.quality(b"a\nb\nc")
