@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stmtgauge.llm.byte_bpe import op7_byte_bpe
 from stmtgauge.llm.embedding_dedup import op1_embedding_dedup
+from stmtgauge.llm.fill_middle import OP13_SQL, op13_fill_middle
 from stmtgauge.llm.line_quality import op10_line_quality
 from stmtgauge.llm.mixing import op2_mixing
 from stmtgauge.llm.sharding import op4_sharding
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_top_products": op8_top_products,
     "op9_simhash": op9_simhash,
     "op10_line_quality": op10_line_quality,
+    "op13_fill_middle": op13_fill_middle,
 }
-SQL: dict[str, str] = {"op8_top_products": OP8_SQL}
+SQL: dict[str, str] = {"op8_top_products": OP8_SQL, "op13_fill_middle": OP13_SQL}
