@@ -13,6 +13,7 @@ from stmtgauge.llm.substring import op6_substring_dedup
 from stmtgauge.llm.token_counts import op3_token_counts
 from stmtgauge.llm.token_files import op5_token_files
 from stmtgauge.llm.topk import OP8_SQL, op8_top_products
+from stmtgauge.llm.vector_codes import OP12_SQL, op12_vector_codes
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_top_products": op8_top_products,
     "op9_simhash": op9_simhash,
     "op10_line_quality": op10_line_quality,
+    "op12_vector_codes": op12_vector_codes,
     "op13_fill_middle": op13_fill_middle,
 }
-SQL: dict[str, str] = {"op8_top_products": OP8_SQL, "op13_fill_middle": OP13_SQL}
+SQL: dict[str, str] = {"op8_top_products": OP8_SQL, "op12_vector_codes": OP12_SQL, "op13_fill_middle": OP13_SQL}
