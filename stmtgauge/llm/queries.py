@@ -5,6 +5,7 @@ from __future__ import annotations
 from stmtgauge.llm.byte_bpe import op7_byte_bpe
 from stmtgauge.llm.embedding_dedup import op1_embedding_dedup
 from stmtgauge.llm.fill_middle import OP13_SQL, op13_fill_middle
+from stmtgauge.llm.html_text import op11_html_text
 from stmtgauge.llm.line_quality import op10_line_quality
 from stmtgauge.llm.mixing import op2_mixing
 from stmtgauge.llm.sharding import op4_sharding
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_top_products": op8_top_products,
     "op9_simhash": op9_simhash,
     "op10_line_quality": op10_line_quality,
+    "op11_html_text": op11_html_text,
     "op12_vector_codes": op12_vector_codes,
     "op13_fill_middle": op13_fill_middle,
 }
