@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stmtgauge.sources.storage import materialize
+from stmtgauge.sources.storage import fresh_folder, materialize
 
 #: A side of a join is broadcast only when its measured size stays below this; beyond it both sides are shuffled.
 BROADCAST_BYTES = 32 << 20
@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """As ``materialize``, with the folder, for a table that is removed once it is used up."""
+    path = fresh_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast of ``df``, counted as ``rows`` rows of at most ``row_bytes``, if that is below ``limit``."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
@@ -94,5 +101,5 @@ def range_of(bounds: np.ndarray, column: str = "doc_id"):
 
 __all__ = [
     "BROADCAST_BYTES", "id_bounds", "materialize", "partitions", "range_of", "schema_with", "small", "spread", "table", "texts_of",
-    "with_columns",
+    "with_columns", "written",
 ]

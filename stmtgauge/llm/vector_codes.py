@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtgauge.llm.common import schema_with, small, spread, table, with_columns
-from stmtgauge.sources.storage import fresh_folder, remove
+from stmtgauge.llm.common import schema_with, small, spread, table, with_columns, written
+from stmtgauge.sources.storage import remove
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Largest component whose products are exact in doubles and in 64-bit integers; beyond it Python's integers are used.
@@ -202,12 +202,6 @@ def digest(books: Codebooks) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def _written(df: DataFrame) -> tuple[DataFrame, str]:
-    path = fresh_folder(df.sparkSession, "codes")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def vector_codes(
     vectors: DataFrame, vec_id: str = "vec_id", column: str = "embedding", label: str = "label", entries: int = ENTRIES, rounds: int = ROUNDS
 ) -> tuple[DataFrame, Codebooks]:
@@ -228,7 +222,7 @@ def vector_codes(
     books, kind = _start(rows, entries)
     coded, before = spread(rows), None
     for turn in range(rounds + 1):
-        coded, path = _written(_assigned(coded, books, kind))
+        coded, path = written(_assigned(coded, books, kind), "codes")
         if before:
             remove(vectors.sparkSession, before)
         before = path
