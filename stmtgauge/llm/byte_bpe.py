@@ -3,7 +3,11 @@
 Long texts are cut before encoding at places where the pattern can never match across: between a character that is no
 white space and a white space. Every alternative of the pattern that takes a non-space ends before the next white space,
 and no alternative looks back, so that pieces encode to the ids of the whole. Each piece is bounded unless a text has a
-longer stretch without such a place.
+longer stretch of characters that are no white space.
+
+A run of white space is one match, without its last character where text follows. A long run has no boundary inside, and
+the library's pattern matcher would nest as deep as it is long; so it is cut out by hand and its bytes are merged as the
+one piece they are.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from stmtgauge.llm.common import schema_with, spread, table, texts_of, with_colu
 
 #: Characters after which the next safe boundary ends a piece.
 PIECE_CHARS = 1 << 16
+#: White space characters in a row from which a run is cut out.
+RUN_CHARS = 1 << 14
 _BOUNDARY = regex.compile(r"(?<=\S)(?=\s)")
 _PACK = 1 << 18
 
@@ -48,10 +54,17 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def encode(text: str, enc: tiktoken.Encoding, size: int = PIECE_CHARS) -> list[int]:
+def encode(text: str, enc: tiktoken.Encoding, size: int = PIECE_CHARS, run: int = RUN_CHARS) -> list[int]:
+    """Ids of a text of any length and kind; texts of at most ``size`` characters go to the library as they are."""
     if len(text) <= size:
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text, size) for i in enc.encode_ordinary(piece)]
+    out, at = [], 0
+    for found in regex.finditer(rf"(?<!\s)\s{{{run},}}", text):
+        end = found.end() - (found.end() < len(text))
+        out += [i for piece in pieces(text[at : found.start()], size) for i in enc.encode_ordinary(piece)]
+        out += enc._encode_single_piece(text[found.start() : end])
+        at = end
+    return out + [i for piece in pieces(text[at:], size) for i in enc.encode_ordinary(piece)]
 
 
 def decode(ids: list[int], enc: tiktoken.Encoding) -> bytes:
@@ -70,7 +83,7 @@ def encoded(
     columns of these names are replaced.
 
     ``ids_sha256`` is of the decimal ids joined by one space, ``decoded_sha256`` of the bytes decoded from the ids.
-    Null text is empty: no ids, digests of nothing. Rows are independent, so repeated rows and ties need no rule; an
+    Null text is empty: no ids, digests of nothing; a text may be of any length, also of nothing but white space. Rows are independent, so repeated rows and ties need no rule; an
     empty table stays empty. No shuffle.
     """
     added = ("n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []))

@@ -55,6 +55,30 @@ def test_counts_equal_the_library(spark, odd, odd_rows, texts, monkeypatch):
     assert list(counter.count(odd)) == [count(t) for t in odd]
 
 
+@pytest.mark.parametrize("white", [" ", "\n", "\xa0", " \n", "\u3000 ", "\t\x85"])
+def test_runs_of_white_space(white):
+    enc = byte_bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    draw = random.Random(3)
+    for around in [("", ""), ("a", ""), ("", "b"), ("a", "b"), ("a", " b"), ("!", "'s"), ("x y", "\x1c9")]:
+        for n in (1, 2, 3, 5, 9, 40):
+            text = around[0] + white * n + around[1] + white * draw.randint(0, 9) + "end" * draw.randint(0, 1)
+            assert byte_bpe.encode(text, enc, 1, 4) == enc.encode_ordinary(text)
+    long = white * (1_200_000 // len(white))
+    for text in (long, "a" + long, long + "b", "a b" + long + "c d" + long):
+        ids = byte_bpe.encode(text, enc)
+        assert byte_bpe.decode(ids, enc) == text.encode()
+    whole = enc._encode_single_piece(long)
+    assert byte_bpe.encode("a" + long, enc) == [*enc.encode_ordinary("a"), *whole]
+    assert byte_bpe.encode(long + "b", enc) == [*enc._encode_single_piece(long[:-1]), *enc.encode_ordinary(long[-1] + "b")]
+
+
+def test_any_text_is_encoded_in_a_task(spark):
+    rows = [(1, " " * 2_000_000 + "x"), (2, "\n" * 1_500_000), (3, "y" * 1_000_000), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    out = byte_bpe.encoded(df, RANKS).selectExpr("doc_id", "n_tokens", "size(ids) AS n", "decoded_sha256 = sha2(coalesce(text, ''), 256) AS same")
+    assert all(r.same and r.n == r.n_tokens for r in out.collect())
+
+
 def test_byte_bpe_equals_the_library_and_round_trips(spark, odd, odd_rows, texts):
     enc = byte_bpe.encoding(RANKS, public_tokenizers.PATTERN)
     digest = lambda b: hashlib.sha256(b).hexdigest()
