@@ -12,6 +12,7 @@ import corpus_pipeline
 from stmtgauge.llm import line_quality, mixing, order, queries, sharding, topk
 from stmtgauge.sources.storage import materialize
 from tests.llm import brute
+from tests.llm.test_near_copies import jaccard_groups
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id BIGINT, text STRING, source STRING"
@@ -232,8 +233,8 @@ def test_pipeline_stages_do_what_they_say(spark, docs):
     kept = set(ids(seen[0][1]))
     right = [(i in kept) == (q == 1) for i, q in label.items()]
     assert sum(right) >= 0.9 * len(right)
-    groups = brute.simhash([(r.doc_id, r.text) for r in seen[1][0].collect()])
-    assert sorted(ids(seen[1][1])) == sorted({c for _, c in groups.values()})
+    groups = jaccard_groups([(r.doc_id, r.text) for r in seen[1][0].collect()])
+    assert sorted(ids(seen[1][1])) == sorted(set(groups.values()))
     want = brute.without_repeats([(r.doc_id, r.text) for r in seen[2][0].collect()])
     cut = seen[2][1].collect()
     assert {r.doc_id: len(brute.words(r.text)) for r in cut} == {i: n - gone for i, (n, gone, _) in want.items()}
