@@ -16,7 +16,7 @@ from stmtgauge.operators import correct, metrics, normalize, packets, policy, pr
 from stmtgauge.operators import decisions as D
 from stmtgauge.plans import reports
 from stmtgauge.sources.storage import fresh_folder, materialize
-from stmtgauge.streaming import jobs
+from stmtgauge.streaming import jobs, stateful
 
 ORDER = correct.LOG_ORDER
 DAY = "2024-01-10"
@@ -534,8 +534,11 @@ def _(spark, sf_dir):
         LEFT JOIN (SELECT DISTINCT seq FROM ({_ENFORCED})) AS c ON c.seq = d.seq LEFT JOIN {_IGNORED} AS i ON i.seq = d.seq""",
 )
 def _(spark, sf_dir):
-    ignored = correct.ignored_blocks(V.query_log(spark, sf_dir), V.rules(spark, _WITH_COLUMN_BLOCK))
-    return correct.statement_outcomes(_enforced_log(spark, sf_dir), V.rules(spark), "enforce", ignored=ignored)
+    log, rules = V.query_log(spark, sf_dir), V.rules(spark, _WITH_COLUMN_BLOCK)
+    cells = materialize(correct.decided_cells(log, rules), "cells")
+    fixed = correct.cell_corrections(log, rules, mode="enforce", decided=cells)
+    decided = materialize(correct.statement_decisions(log, rules).unionByName(fixed), "decisions")
+    return correct.statement_outcomes(decided, rules, "enforce", ignored=correct.ignored_blocks(log, rules, decided=cells))
 
 
 @register(
@@ -1122,8 +1125,7 @@ def _(spark, sf_dir):
 
 @register("stream_threshold_gates", f"SELECT seq, rule_id, hits, min_hits, enforced FROM {_GATES}")
 def _(spark, sf_dir):
-    job = lambda state, sink: jobs.threshold_gate(V.rules(spark), state, sink)
-    return streams.run_batches(streams.decision_stream(spark, sf_dir), job, "gates")
+    return streams.run_to_table(stateful.stream_gates(streams.decision_stream(spark, sf_dir), V.rules(spark)))
 
 
 @register(
@@ -1132,8 +1134,7 @@ def _(spark, sf_dir):
         seq * 2 + 1 AS end_seq, seq % 1000 AS spid, sql_text AS text FROM query_log WHERE sql_text <> ''""",
 )
 def _(spark, sf_dir):
-    arriving = V.packets_of(streams.log_stream(spark, sf_dir))
-    found = streams.run_batches(arriving, jobs.reassembly, "messages")
+    found = streams.run_to_table(stateful.stream_messages(V.packets_of(streams.log_stream(spark, sf_dir))))
     return found.select("conn_id", big("type"), "end_seq", big("spid"), "text")
 
 
@@ -1163,9 +1164,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     state, report = fresh_folder(spark, "state"), fresh_folder(spark, "reports")
     stream = streams.log_stream(spark, sf_dir).select("ts", "sql_text")
-    jobs.run_incremental(stream, jobs.profile_batches(state, report), fresh_folder(spark, "checkpoint"))
-    written = spark.read.parquet(f"{state}/profiles")
-    newest = written.where(F.col("batch") == written.agg(F.max("batch")).first()[0])
+    jobs.run_incremental(stream, jobs.profile_batches(state, report, every=2), fresh_folder(spark, "checkpoint"))
+    newest = jobs.profile_log(state, every=2).before(spark, streams.BATCHES)
     entries = F.transform(F.array_sort(F.map_entries("suggestions")), lambda e: F.concat_ws(":", e["key"], e["value"]))
     return newest.select("field", "count", "nulls", F.array_join(entries, ", ").alias("kinds"))
 

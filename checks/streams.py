@@ -1,4 +1,4 @@
-"""Streaming queries over the events table: the same results as their batch forms, produced by streams."""
+"""Streaming queries over the events table: the same results as their batch forms, produced in several micro-batches."""
 
 from __future__ import annotations
 
@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from checks import views as V
 from stmtgauge.operators import correct
 from stmtgauge.sources.storage import fresh_folder
-from stmtgauge.streaming import jobs
+
+
+#: Micro-batches into which the events are dealt.
+BATCHES = 5
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events as they would arrive: files in order of event id, one per batch."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = fresh_folder(spark, "events")
+    ends = events.agg(F.percentile_approx("event_id", [i / BATCHES for i in range(1, BATCHES)])).first()[0] or []
+    for low, high in zip([None, *ends], [*ends, None]):  # one after the other: files are read in order of their age
+        part = events if low is None else events.where(F.col("event_id") > low)
+        part = part if high is None else part.where(F.col("event_id") <= high)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,18 +59,6 @@ def latest(table: DataFrame, *keys: str) -> DataFrame:
     return newest.select(*keys, "r.*")
 
 
-def run_batches(stream: DataFrame, job_of, name: str) -> DataFrame:
-    """Run a per-batch job with its state in a fresh folder and read what its sink wrote."""
-    spark = stream.sparkSession
-    out = fresh_folder(spark, name)
-
-    def sink(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    jobs.run_incremental(stream, job_of(fresh_folder(spark, "state"), sink), fresh_folder(spark, "checkpoint"))
-    return spark.read.parquet(out).drop("batch")
-
-
 def decision_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, rules = log_stream(spark, sf_dir), V.rules(spark)
     return correct.statement_decisions(log, rules).unionByName(correct.cell_corrections(log, rules, mode="enforce"))

@@ -60,13 +60,12 @@ from stmtgauge.sources.reports import write_report
 from stmtgauge.sources.rules import read_param_types, read_raw_rules, read_rules
 from stmtgauge.streaming.jobs import (
     profile_batches,
-    reassembly,
     run_incremental,
     stream_counters,
     stream_decisions,
     stream_quantile,
     stream_rate,
-    threshold_gate,
 )
+from stmtgauge.streaming.stateful import stream_gates, stream_messages
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -6,7 +6,7 @@ call), ``step`` (0 statement, 1 cell, 2 call parameter, 3 call correction), ``ro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stmtgauge.functions import statements as S
@@ -30,6 +30,9 @@ MAX_REWRITE_BYTES = 131072
 PACKET_HEADER_BYTES = 8
 HIT_ACTIONS = ("block", "autocorrect", "rpc_autocorrect_inplace")
 
+#: Ranks up to which the engine cuts groups off before the shuffle.
+_GROUP_LIMIT = 1000
+
 
 def as_log(df: DataFrame) -> DataFrame:
     """Bring rows to the full set of log columns."""
@@ -91,28 +94,49 @@ def _decided_cells(events: DataFrame, rules: DataFrame, env: str | None, mode: s
         unquote(F.col("__token")).alias("before"),
     )
     cells = ruleset.match_column(cells, F.col("column"), "__by_column")
-    return cells.withColumn("d", decision_of("__by_pattern", "__by_table", "__by_column"))
+    decided = cells.withColumn("d", decision_of("__by_pattern", "__by_table", "__by_column"))
+    return decided.withColumn("blocked", F.col("__by_pattern.action").eqNullSafe("block")).withColumn(
+        "by_column", F.col("d.rule_id").eqNullSafe(F.col("__by_column.id"))
+    )
 
 
-def ignored_blocks(
-    events: DataFrame, rules: DataFrame, env: str | None = None, mode: str = "log", form: str = "auto"
+def decided_cells(events: DataFrame, rules: DataFrame, env: str | None = None, form: str = "auto") -> DataFrame:
+    """Written cells that a rule corrects or blocks, with the decision ``d`` on them.
+
+    Write it once where several steps need it and hand it to them as ``decided``: shredding is the costly part.
+    """
+    cells = _decided_cells(events, rules, env, "log", form).where(F.col("d.action").isin("autocorrect", "block"))
+    return cells.drop("__by_pattern", "__by_table", "__by_column")
+
+
+def _cells_of(
+    events: DataFrame, rules: DataFrame, env: str | None, mode: str, form: str, decided: DataFrame | None
 ) -> DataFrame:
+    if decided is None:
+        return _decided_cells(events, rules, env, mode, form)
+    return decided.where("NOT blocked") if mode == "enforce" else decided
+
+
+def ignored_blocks(
+    events: DataFrame, rules: DataFrame, env: str | None = None, mode: str = "log", form: str = "auto",
+    decided: DataFrame | None = None,
+) -> DataFrame:
     """(seq, n): written cells whose first matching rule is a block by column. Such rules stop calls only; in statements
     they have no effect, which this shows."""
-    cells = _decided_cells(events, rules, env, mode, form)
-    by_column = F.col("d.rule_id").eqNullSafe(F.col("__by_column.id"))
-    return cells.where((F.col("d.action") == "block") & by_column).groupBy("seq").agg(F.count("*").alias("n"))
+    cells = _cells_of(events, rules, env, mode, form, decided)
+    return cells.where((F.col("d.action") == "block") & F.col("by_column")).groupBy("seq").agg(F.count("*").alias("n"))
 
 
 def cell_corrections(
-    events: DataFrame, rules: DataFrame, env: str | None = None, mode: str = "log", form: str = "auto"
-) -> DataFrame:
+    events: DataFrame, rules: DataFrame, env: str | None = None, mode: str = "log", form: str = "auto",
+    decided: DataFrame | None = None,
+) -> DataFrame:
     """Log rows (step 1) for every written value that an autocorrect rule changes.
 
     The rules see table, ``table.column`` and text, so a table or pattern rule may decide first. In ``enforce`` mode
     statements with a block decision are left alone.
     """
-    chosen = _decided_cells(events, rules, env, mode, form).where(F.col("d.action") == "autocorrect")
+    chosen = _cells_of(events, rules, env, mode, form, decided).where(F.col("d.action") == "autocorrect")
     passed = [c for c in ("ts", "spid") if c in events.columns]
     fixed = suggest_normalizations(chosen, "before", "s").where(F.col("s.normalized") != F.col("before"))
     return as_log(
@@ -152,12 +176,9 @@ def corrected_statements(events: DataFrame, corrections: DataFrame, compat: bool
     return rebuilt.select("seq", "sql_text", "corrected").where(F.col("corrected").isNotNull())
 
 
-def apply_thresholds(log: DataFrame, rules: DataFrame, start_counters: DataFrame | None = None) -> DataFrame:
-    """(seq, rule_id, hits, min_hits, enforced) for each block decision on a statement.
-
-    A rule with ``min_hits_to_enforce`` blocks only from that hit on; the current hit counts. A rule that is not in the
-    table has no threshold: it blocks at once. ``start_counters`` holds earlier hits as (rule_id, action, n).
-    """
+def split_hits(log: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Block decisions on statements whose rule has no threshold, as gates; and all hits of rules that have one, in
+    ``LOG_ORDER`` columns with ``rule_id``, ``min_hits`` and ``is_block`` (whether a gate is asked for)."""
     index = rule_index(rules).select(
         F.col("id").alias("rule_id"), F.coalesce("rule.min_hits_to_enforce", F.lit(0)).alias("min_hits")
     )
@@ -170,16 +191,25 @@ def apply_thresholds(log: DataFrame, rules: DataFrame, start_counters: DataFrame
         "seq", "rule_id", F.lit(None).cast("bigint").alias("hits"), F.col("min_hits").cast("bigint"),
         F.lit(True).alias("enforced"),
     )
-    counted = running_total(
-        hits.where(F.col("min_hits") > 0), ["rule_id"], "seq", LOG_ORDER[1:], F.lit(1), "hits"
-    ).where(is_block)
+    counted = hits.where(F.col("min_hits") > 0)
+    return free, counted.select(*LOG_ORDER, "rule_id", "min_hits", is_block.alias("is_block"))
+
+
+def _earlier_hits(start_counters: DataFrame) -> DataFrame:
+    known = start_counters.where(F.col("action").isin(*HIT_ACTIONS))
+    return broadcast_if_small(known.groupBy("rule_id").agg(F.sum("n").alias("__earlier")))
+
+
+def apply_thresholds(log: DataFrame, rules: DataFrame, start_counters: DataFrame | None = None) -> DataFrame:
+    """(seq, rule_id, hits, min_hits, enforced) for each block decision on a statement.
+
+    A rule with ``min_hits_to_enforce`` blocks only from that hit on; the current hit counts. A rule that is not in the
+    table has no threshold: it blocks at once. ``start_counters`` holds earlier hits as (rule_id, action, n).
+    """
+    free, hits = split_hits(log, rules)
+    counted = running_total(hits, ["rule_id"], "seq", LOG_ORDER[1:], F.lit(1), "hits").where("is_block")
     if start_counters is not None:
-        earlier = (
-            start_counters.where(F.col("action").isin(*HIT_ACTIONS))
-            .groupBy("rule_id")
-            .agg(F.sum("n").alias("__earlier"))
-        )
-        counted = counted.join(broadcast_if_small(earlier), "rule_id", "left").withColumn(
+        counted = counted.join(_earlier_hits(start_counters), "rule_id", "left").withColumn(
             "hits", F.col("hits") + F.coalesce("__earlier", F.lit(0))
         )
     gated = counted.select(
@@ -189,6 +219,42 @@ def apply_thresholds(log: DataFrame, rules: DataFrame, start_counters: DataFrame
     return free.unionByName(gated)
 
 
+def enforcement_cutoffs(log: DataFrame, rules: DataFrame, start_counters: DataFrame | None = None) -> DataFrame:
+    """(rule_id, cut): for each rule with a threshold that is reached the position (``LOG_ORDER``) of the hit that reaches
+    it; a null ``cut`` when earlier hits alone do.
+
+    A rule's first ``min_hits`` hits decide. Every task passes on the first so many of each rule alone, so a rule with a
+    third of all hits sends few rows; only thresholds above ``_GROUP_LIMIT`` are found by running totals.
+    """
+    _, hits = split_hits(log, rules)
+    need = F.col("min_hits").cast("bigint")
+    if start_counters is not None:
+        hits = hits.join(_earlier_hits(start_counters), "rule_id", "left")
+        need = need - F.coalesce("__earlier", F.lit(0))
+    hits = hits.select("rule_id", need.alias("need"), F.struct(*LOG_ORDER).alias("at"))
+    reached = hits.where("need <= 0").select("rule_id", F.lit(None).cast(hits.schema["at"].dataType).alias("cut")).distinct()
+    by_place = Window.partitionBy("rule_id").orderBy("at")
+    most = hits.where("need > 0").agg(F.max("need")).first()[0] or 0
+    ranked = hits.where("need > 0").withColumn("rank", F.row_number().over(by_place))
+    # The constant lets the engine keep the first so many rows per rule of each task; the rule's own number decides.
+    cut = ranked.where(F.col("rank") <= min(most, _GROUP_LIMIT)).where("rank = need").select("rule_id", F.col("at").alias("cut"))
+    if most > _GROUP_LIMIT:
+        far = hits.where(F.col("need") > _GROUP_LIMIT)
+        total = running_total(far.select("rule_id", "need", "at.*"), ["rule_id"], "seq", LOG_ORDER[1:], F.lit(1), "rank")
+        cut = cut.unionByName(total.where("rank = need").select("rule_id", F.struct(*LOG_ORDER).alias("cut")))
+    return reached.unionByName(cut)
+
+
+def enforced_blocks(log: DataFrame, rules: DataFrame, start_counters: DataFrame | None = None) -> DataFrame:
+    """(seq, rule_id, enforced) for each block decision on a statement: as :func:`apply_thresholds`, without counting the
+    hits of every row. Each decision is compared with the cut-off of its rule."""
+    free, hits = split_hits(log, rules)
+    cuts = broadcast_if_small(enforcement_cutoffs(log, rules, start_counters).withColumn("__met", F.lit(True)))
+    met = hits.where("is_block").join(cuts, "rule_id", "left")
+    passed = F.col("__met").isNotNull() & (F.col("cut").isNull() | (F.struct(*LOG_ORDER) >= F.col("cut")))
+    return free.select("seq", "rule_id", "enforced").unionByName(met.select("seq", "rule_id", passed.alias("enforced")))
+
+
 def statement_outcomes(
     log: DataFrame, rules: DataFrame, mode: str = "log", start_counters: DataFrame | None = None,
     ignored: DataFrame | None = None,
@@ -208,7 +274,7 @@ def statement_outcomes(
     if ignored is not None:
         parts = parts.unionByName(marks(ignored, ignored=F.col("n").cast("bigint")))
     if mode == "enforce":
-        gates = apply_thresholds(log, rules, start_counters)
+        gates = enforced_blocks(log, rules, start_counters)
         parts = parts.unionByName(marks(gates, enforced=F.col("enforced"), gated=~F.col("enforced")))
         parts = parts.unionByName(marks(log.where(F.col("step") == 1), changed=F.lit(True)))
     met = parts.groupBy("seq").agg(*[F.max(c).alias(c) for c in flags], F.sum("ignored").alias("block_ignored"))

@@ -28,13 +28,13 @@ def decode_packets(packets: DataFrame) -> DataFrame:
 PART_SCHEMA = "conn_id BIGINT, type INT, seq BIGINT, spid INT, payload BINARY, eom INT"
 
 
-def message_parts(packets: DataFrame) -> DataFrame:
-    """Batch and call packets, with their end-of-message bit (``PART_SCHEMA``)."""
+def message_parts(packets: DataFrame, *passed: str) -> DataFrame:
+    """Batch and call packets, with their end-of-message bit (``PART_SCHEMA``) and the ``passed`` columns."""
     eom = F.col("status").bitwiseAND(B.END_OF_MESSAGE)
     return (
         decode_packets(packets)
         .where(F.col("type").isin(SQL_BATCH, RPC))
-        .select("conn_id", "type", "seq", "spid", "payload", eom.alias("eom"))
+        .select("conn_id", "type", "seq", "spid", "payload", eom.alias("eom"), *passed)
     )
 
 
@@ -56,6 +56,11 @@ def join_parts(numbered: DataFrame) -> DataFrame:
         F.max_by("spid", "seq").alias("spid"),
         F.expr("listagg(payload, X'') within group (order by seq)").alias("payload"),
     )
+    return with_text(messages)
+
+
+def with_text(messages: DataFrame) -> DataFrame:
+    """Add ``text``, what the payload of a message says."""
     text = F.when(F.col("type") == SQL_BATCH, B.utf16_or_latin1(F.col("payload"))).otherwise(
         B.utf16_lenient(F.col("payload"))
     )

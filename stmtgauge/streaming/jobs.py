@@ -1,5 +1,5 @@
-"""Streaming jobs. Stateless steps and windowed aggregates are ordinary streaming queries; steps that depend on earlier
-rows run per micro-batch on the batch operators, with their state in tables (see ``state``)."""
+"""Streaming jobs. Stateless steps and windowed aggregates are ordinary streaming queries, steps that depend on earlier
+rows keep their state in Spark's store (see ``stateful``), and growing tables are logs of changes (see ``state``)."""
 
 from __future__ import annotations
 
@@ -9,17 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stmtgauge.operators import correct, metrics, packets, profiles
+from stmtgauge.operators import metrics, profiles
 from stmtgauge.operators import decisions as D
 from stmtgauge.operators.policy import decide
 from stmtgauge.plans import reports
 from stmtgauge.sources.profiles import PROFILE_SCHEMA
 from stmtgauge.sources.reports import write_report
-from stmtgauge.streaming.state import kept, read_state, write_state
+from stmtgauge.streaming.state import ChangeLog, kept
 
 Sink = Callable[[DataFrame, int], None]
 
-COUNTER_SCHEMA = "rule_id STRING, action STRING, n BIGINT"
 USAGE_SCHEMA = "table STRING, expression STRING, n BIGINT, star BIGINT"
 
 
@@ -43,58 +42,32 @@ def stream_quantile(events: DataFrame, ts: str, col: str, q: float = 0.95, laten
     return metrics.windowed_quantile(events.withWatermark(ts, lateness), ts, col, q)
 
 
-def _hit_counts(log: DataFrame) -> DataFrame:
-    hits = log.where(
-        F.col("rule_id").isNotNull() & F.col("action").isin(*correct.HIT_ACTIONS) & (F.col("step") != 2)
-    )
-    return hits.groupBy("rule_id", "action").agg(F.count("*").alias("n"))
+def profile_log(path: str, every: int = 8) -> ChangeLog:
+    """Profiles by batch, see :func:`profile_batches`."""
+    return ChangeLog(f"{path}/profiles", PROFILE_SCHEMA, profiles.merge_profiles, every)
 
 
-def threshold_gate(rules: DataFrame, state_path: str, sink: Sink) -> Sink:
-    """For ``foreachBatch`` on an arriving decision log: gates of the block decisions, hits counted over all batches.
-
-    Batches must arrive in order of ``seq``; inside a batch rows are ordered by it.
-    """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        with kept(batch) as log:
-            before = read_state(batch.sparkSession, state_path, batch_id, COUNTER_SCHEMA)
-            sink(correct.apply_thresholds(log, rules, before), batch_id)
-            after = before.unionByName(_hit_counts(log)).groupBy("rule_id", "action").agg(F.sum("n").alias("n"))
-            write_state(after, state_path, batch_id)
-
-    return run
-
-
-def reassembly(state_path: str, sink: Sink) -> Sink:
-    """For ``foreachBatch`` on arriving packets: messages that end in the batch; other parts wait as state."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        waiting = read_state(batch.sparkSession, state_path, batch_id, packets.PART_SCHEMA)
-        parts = waiting.unionByName(packets.message_parts(batch))
-        with kept(packets.number_parts(parts)) as numbered:
-            sink(packets.join_parts(numbered), batch_id)
-            write_state(numbered.where(~F.col("complete")).select(*parts.columns), state_path, batch_id)
-
-    return run
+def usage_log(path: str, every: int = 8) -> ChangeLog:
+    """SELECT usage by batch, see :func:`profile_batches`."""
+    return ChangeLog(f"{path}/usage", USAGE_SCHEMA, profiles.merge_usage, every)
 
 
-def profile_batches(state_path: str, report_path: str) -> Sink:
+def profile_batches(state_path: str, report_path: str, every: int = 8) -> Sink:
     """For ``foreachBatch`` on arriving query events: add the batch to the profiles and rewrite the report.
 
-    Only the new events are read; earlier ones are in the profiles. Drift compares with the profiles before the batch.
+    Only the new events are read and only what they change is written; earlier ones are in the logs of changes, which are
+    merged after ``every`` batches. Drift compares with the profiles before the batch.
     """
+    known, used = profile_log(state_path, every), usage_log(state_path, every)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         with kept(batch.select("ts", "sql_text")) as events:
-            old = read_state(spark, f"{state_path}/profiles", batch_id, PROFILE_SCHEMA)
-            merged = profiles.merge_profiles(old, profiles.field_profiles(events))
-            new = write_state(merged, f"{state_path}/profiles", batch_id)
-            old_usage = read_state(spark, f"{state_path}/usage", batch_id, USAGE_SCHEMA)
-            merged_usage = profiles.merge_usage(old_usage, profiles.select_usage(events))
-            usage = write_state(merged_usage, f"{state_path}/usage", batch_id)
+            old = known.before(spark, batch_id)
+            known.append(profiles.field_profiles(events), batch_id)
+            used.append(profiles.select_usage(events), batch_id)
             day = events.agg(F.date_format(F.max("ts"), "yyyy-MM-dd")).first()[0] or ""
+        new, usage = known.before(spark, batch_id + 1), used.before(spark, batch_id + 1)
         lines = reports.daily_report(spark, day, new, usage, old if batch_id else None)
         write_report(lines, f"{report_path}/batch={batch_id}")
 
