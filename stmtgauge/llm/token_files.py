@@ -15,6 +15,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ _BLOCK = 512
 #: Words and pre-tokens a worker remembers (the first it meets, so the frequent ones), and the longest of them; results do
 #: not depend on these.
 REMEMBERED, REMEMBERED_BYTES = 300_000, 40
+#: Words, and new pre-tokens, that are looked up together.
+_CHUNK = 4096
 
 
 # -- directly addressable codes --------------------------------------------------------------------------------------
@@ -141,8 +144,8 @@ class Encoder:
     """Ids of texts by the tokenizers library, asked once per distinct pre-token as far as memory allows.
 
     For a vocabulary that lowers case, drops white space and marks ends of words, a text is the sequence of its words, and
-    a word of plain characters the sequence of its pre-tokens. New pre-tokens go to the library many at a time; their ids
-    are told apart by the word ends. Whatever is not plain (special strings, other scripts, marks) goes to it unsplit.
+    a word of plain characters the sequence of its pre-tokens. New words are split many at a time, and so do new pre-tokens
+    go to the library; their ids are told apart by the word ends. Whatever is not plain (special strings, other scripts, marks) goes to it unsplit.
     """
 
     def __init__(self, path: str):
@@ -152,7 +155,7 @@ class Encoder:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and bool(suffix) and steps[0].get("type") == "Split"
         if self.by_word:
-            self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
+            self.parted = regex.compile(steps[0]["pattern"]["Regex"] + r"|\n")
             vocab = spec["model"]["vocab"]
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
@@ -169,7 +172,7 @@ class Encoder:
             return [self.direct(t.decode()) for t in texts]
         split = [None if any(s in t for s in self.specials) else t.split() for t in texts]
         words = self.words
-        new = {w for ws in split if ws for w in ws}.difference(words)
+        new = set(chain.from_iterable(ws for ws in split if ws)).difference(words)
         learnt = self._learn(new)
         words.update(learnt)
         get = words.__getitem__
@@ -182,34 +185,48 @@ class Encoder:
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         found: dict[bytes, bytes] = {}
-        plain: dict[bytes, list[str]] = {}
-        for w in words:
-            s = w.decode()
-            # Below U+0130 nothing composes, and lowering a character depends on nothing around it.
-            if s.isascii() or max(s) < "\u0130":
-                s = s.lower()
-                if s.isprintable():
-                    plain[w] = self.pattern.findall(s)
-                    continue
-            found[w] = self.direct(w.decode())
-        new = list({p for ps in plain.values() for p in ps}.difference(self.parts))
-        parts: dict[str, bytes] = {}
-        for at in range(0, len(new), 2000):
-            chunk = new[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(chunk), add_special_tokens=False).ids, "<u4")
+        todo = list(words)
+        for at in range(0, len(todo), _CHUNK):
+            chunk = todo[at : at + _CHUNK]
+            if not self._plain(b"\n".join(chunk).decode()):
+                odd = [w for w in chunk if not self._plain(w.decode())]
+                found.update((w, self.direct(w.decode())) for w in odd)
+                chunk = list(set(chunk).difference(odd))
+            if chunk:
+                found.update(self._of_parts(chunk))
+        return found
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Below U+0130 nothing composes, and lowering a character depends on nothing around it."""
+        return (text.isascii() or max(text) < "\u0130") and text.replace("\n", "").isprintable()
+
+    def _of_parts(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of plain words: all are split at once, new pre-tokens go to the library together, and what comes back is
+        cut at the word ends."""
+        flat = self.parted.findall(b"\n".join(words).decode().lower())
+        new = list(set(flat).difference(self.parts, "\n"))
+        known = self.parts.get
+        learnt: dict[str, bytes] = {"\n": b""}
+        for at in range(0, len(new), _CHUNK):
+            some = new[at : at + _CHUNK]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(chunk):
-                starts = np.r_[0, ends[:-1]]
-                parts.update((p, ids[s:e].tobytes()) for p, s, e in zip(chunk, starts, ends))
+            if len(ends) == len(some):
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                learnt.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends))))
             else:
-                parts.update((p, self.direct(p)) for p in chunk)
-        known = self.parts.get
-        for w, ps in plain.items():
-            found[w] = b"".join([known(p) or parts[p] for p in ps])
+                learnt.update((p, self.direct(p)) for p in some)
+        ids = [known(p) or learnt[p] for p in flat]
+        stop = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        breaks = np.flatnonzero(np.fromiter(("\n" == p for p in flat), bool, len(flat)))
+        ends = [*stop[breaks].tolist(), int(stop[-1]) if len(stop) else 0]
+        raw = b"".join(ids)
+        del learnt["\n"]
         room = REMEMBERED - len(self.parts)
         if room > 0:
-            self.parts.update((p, v) for p, v in list(parts.items())[:room] if len(p) <= REMEMBERED_BYTES)
-        return found
+            self.parts.update((p, v) for p, v in islice(learnt.items(), room) if len(p) <= REMEMBERED_BYTES)
+        return dict(zip(words, map(raw.__getitem__, map(slice, [0, *ends], ends))))
 
 
 @lru_cache(maxsize=2)
