@@ -25,6 +25,8 @@ from stmtgauge.operators.small import BROADCAST_BYTES, broadcast_if_small, byte_
 COMPILED_LIMIT = 64
 PATTERN_LIMIT = 4096
 PATTERN_CHARS = 256 * 1024
+#: Patterns in the first list that is tested, characters of each that the expression before it looks at.
+FIRST_LIST, BEGINNING = 8, 8
 #: Characters of the pieces by which long lists of patterns meet texts.
 PIECE = 3
 
@@ -161,13 +163,24 @@ class RuleSet:
 
     @staticmethod
     def _listed(df: DataFrame, low: Column, rows: list, out: str) -> DataFrame:
-        """First of the listed patterns; the list is one constant array, so the plan stays small."""
-        entries = json.dumps([{**r.m.asDict(), "selector": r.selector} for r in rows])
-        listed = F.from_json(F.lit(entries), f"array<{MATCH_TYPE[:-1]},selector:string>>")
-        text = F.col("__key")
-        hits = F.filter(listed, lambda p: F.contains(text, p["selector"]))
-        first = let(F.get(hits, F.lit(0)), lambda p: _fields_of(p))
-        return once(df.withColumn("__key", low), {out: F.when(text.isNotNull(), first)}).drop("__key")
+        """First of the listed patterns.
+
+        One expression, factored by the beginnings of all patterns, tells texts apart that hold none of them. The others are
+        tested against lists of doubling length until one has a hit. Lists are constant arrays, so the plan stays small.
+        """
+        text, firsts, at, size = F.col("__key"), [], 0, FIRST_LIST
+        while at < len(rows):
+            entries = json.dumps([{**r.m.asDict(), "selector": r.selector} for r in rows[at : at + size]])
+            listed = F.from_json(F.lit(entries), f"array<{MATCH_TYPE[:-1]},selector:string>>")
+            hits = F.filter(listed, lambda p: F.contains(text, p["selector"]))
+            firsts.append(let(F.get(hits, F.lit(0)), lambda p: _fields_of(p)))
+            at, size = at + size, 2 * size
+        if not firsts:
+            return df.withColumn(out, F.lit(None).cast(MATCH_TYPE))
+        some = text.isNotNull()
+        if all(r.selector for r in rows):
+            some = some & text.rlike(beginnings([r.selector for r in rows]))
+        return once(df.withColumn("__key", low), {out: F.when(some, F.coalesce(*firsts))}).drop("__key")
 
     def _compiled(self, df, keys, out, target, predicate) -> DataFrame:
         tests = [
@@ -188,6 +201,32 @@ class RuleSet:
         )
 
 
+def beginnings(patterns: list[str], depth: int = BEGINNING) -> str:
+    """An expression that finds the first ``depth`` characters of any of the patterns (none empty): the alternatives are the
+    paths of a trie, so a place in a text is left as soon as no pattern goes on there."""
+    trie: dict = {}
+    for p in patterns:
+        node = trie
+        for i, c in enumerate(p[:depth]):
+            if "" in node:  # a shorter pattern is found first
+                break
+            node = node.setdefault(c, {})
+        else:
+            node.clear()
+            node[""] = {}
+
+    def quoted(c: str) -> str:
+        return c if c.isalnum() or not c.isascii() else f"\\x{ord(c):02x}"
+
+    def written(node: dict) -> str:
+        if "" in node:
+            return ""
+        ways = [quoted(c) + written(n) for c, n in sorted(node.items())]
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return f"(?=[{''.join(quoted(c) for c in sorted(trie))}]){written(trie)}"
+
+
 def _fields_of(p: Column) -> Column:
     names = ("ord", "id", "action", "reason", "confidence")
     return F.when(p.isNotNull(), F.struct(*[p[n].alias(n) for n in names]))

@@ -217,3 +217,27 @@ def test_list_of_strings_is_parsed(spark):
     rows = [(i, f'"r{i}"', '"column"', '"c"', '"block"', None, None, None, e, None) for i, e in enumerate(given)]
     bad = {r.ord for r in policy.validate_rules(spark.createDataFrame(rows, fields)).collect()}
     assert bad == {3, 4, 5, 6}
+
+
+def test_beginnings_find_what_some_pattern_begins_with(spark):
+    draw = random.Random(11)
+    letters = "ab.*[\\^-]$ é漢🙂\n'"
+    word = lambda n: "".join(draw.choice(letters) for _ in range(n))
+    for depth in (1, 3, 8):
+        patterns = [word(draw.randint(1, 12)) for _ in range(60)]
+        texts = [(word(draw.randint(0, 14)),) for _ in range(400)] + [(p,) for p in patterns] + [(None,)]
+        found = policy.beginnings(patterns, depth)
+        for r in spark.createDataFrame(texts, "t STRING").select("t", F.col("t").rlike(found).alias("hit")).collect():
+            assert r.hit == (None if r.t is None else any(p[:depth] in r.t for p in patterns))
+
+
+def test_the_first_of_many_listed_patterns(spark):
+    draw = random.Random(12)
+    word = lambda n: "".join(draw.choice("abcd") for _ in range(n))
+    selectors = [word(draw.randint(3, 6)) for _ in range(300)]
+    rules = [(i, f"r{i}", "pattern", s, "block", "", 1.0, True, None, 0) for i, s in enumerate(selectors)]
+    texts = [(i, word(draw.randint(0, 9))) for i in range(500)]
+    df = spark.createDataFrame(texts, "seq BIGINT, sql_text STRING")
+    got = {r.seq: r.rule_id for r in policy.decide(df, spark.createDataFrame(rules, RULE_SCHEMA)).select("seq", "decision.rule_id").collect()}
+    want = {i: next((f"r{k}" for k, s in enumerate(selectors) if s in t), None) for i, t in texts}
+    assert got == want and len(set(want.values())) > 20
