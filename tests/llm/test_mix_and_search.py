@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stmtgauge.llm import line_quality, mixing, order, queries, sharding, topk
@@ -145,8 +146,9 @@ def best(vectors, queries_, k):
 @pytest.mark.parametrize("bucket", [1024, 16])
 def test_top_products_equal_brute_force(spark, monkeypatch, bucket):
     monkeypatch.setattr(topk, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 3 * bucket)
     monkeypatch.setattr(topk, "SEED_ROWS", 40)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 17)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 5)) * rng.lognormal(size=(300, 1))
     x[:30] = np.round(x[:30])  # ties
@@ -165,14 +167,35 @@ def test_top_products_equal_brute_force(spark, monkeypatch, bucket):
 def test_coordinate_bounds_keep_what_lies_at_the_axis(axis):
     rng = np.random.default_rng(7)
     v = np.round(1000 * (np.eye(6)[0] * axis * 3 + rng.normal(size=(400, 6)) * rng.choice([0.0, 0.05, 1.0], size=(400, 1)))).astype(np.int64)
-    bucket = topk.Bucket(np.arange(400), v)
-    for query in v[:60]:
-        score = v @ query
-        for place in (3, 10, 50):
-            threshold = float(np.sort(score)[-place])
-            rows = bucket.candidates(query, float(np.sqrt(query @ query)), threshold)
-            kept = set(range(400)) if rows is None else set(rows.tolist())
-            assert kept >= set(np.flatnonzero(score >= threshold).tolist())
+    v = v[np.argsort(-(v**2).sum(axis=1))].astype(np.float64)
+    bucket = topk.Bucket(v)
+    score = v[:60] @ v.T
+    for place in (3, 10, 50):
+        floor = np.sort(score, axis=1)[:, -place]
+        query, row, product = bucket.hits(v[:60], floor)
+        assert set(zip(query, row)) == set(zip(*np.nonzero(score >= floor[:, None]))) and (product == score[query, row]).all()
+
+
+@pytest.mark.parametrize("size", [2.0**20, 2.0**30, 2.0**36])
+def test_large_components_take_part(spark, size):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(80, 3)) * np.where(rng.random((80, 1)) < 0.3, min(size, 2.0**19), 1.0)
+    x[:6] *= 0
+    x[:6, 0] = [size, -size, size / 2, 1.0, size / 4, -1.0]
+    x = x if size < 2.0**30 else np.clip(x, -(2.0**19), 2.0**19)
+    x[6] = [0.5 / size, 0, 0] if size > 2.0**30 else x[6]
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    whole = [(i, [(lambda n, d: 1024 * n // d)(*c.as_integer_ratio()) for c in v]) for i, v in rows]
+    asked = [r for r in whole if r[0] % 3 == 0] if size <= 2.0**20 else [r for r in whole if r[0] in (3, 5, 6, 9)]
+    got = topk.top_products(df, df.where(F.col("vec_id").isin([i for i, _ in asked])))
+    assert sorted(map(tuple, got.collect())) == best(whole, asked, 10)
+
+
+def test_products_beyond_bigint_fail_the_query(spark):
+    df = spark.createDataFrame([(1, [1e300]), (2, [1e300]), (3, [1.0])], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    with pytest.raises(Exception, match="leaves BIGINT"):
+        topk.top_products(df, df).collect()
 
 
 def test_top_products_query_equals_its_sql(spark):
