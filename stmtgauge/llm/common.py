@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,18 @@ def written(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Rows with long arrays go to Python in batches of fewer rows; holds for what is written inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast of ``df``, counted as ``rows`` rows of at most ``row_bytes``, if that is below ``limit``."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
@@ -100,6 +113,6 @@ def range_of(bounds: np.ndarray, column: str = "doc_id"):
 
 
 __all__ = [
-    "BROADCAST_BYTES", "id_bounds", "materialize", "partitions", "range_of", "schema_with", "small", "spread", "table", "texts_of",
+    "BROADCAST_BYTES", "id_bounds", "materialize", "partitions", "range_of", "schema_with", "short_batches", "small", "spread", "table", "texts_of",
     "with_columns", "written",
 ]
