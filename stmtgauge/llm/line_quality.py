@@ -10,8 +10,10 @@ Only documents are labelled: in training all lines of a document bear its label.
 
 from __future__ import annotations
 
+import math
 import operator
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +27,8 @@ from stmtgauge.llm.common import schema_with, spread, table, texts_of, with_colu
 #: Labelled documents that are learnt from, and the most lines such a document may have.
 SAMPLE_DOCS, SAMPLE_LINES = 4000, 200
 FOLDS, KEEP_FROM = 5, 0.3
+#: Lines whose features are held at once, and lines from which a document's chain is run in blocks.
+PART_LINES, LONG_LINES = 1 << 14, 1 << 11
 STEPS, RATE, DECAY = 250, 0.08, 1e-3
 
 _UPPER, _LOWER, _DIGIT = (s.encode() for s in (string.ascii_uppercase, string.ascii_lowercase, string.digits))
@@ -62,15 +66,34 @@ def _line(line: bytes, seen: set[bytes]) -> list[float]:
 _SEEN = [2, 6, 7, 8, 9, 12, 23]
 
 
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows and lengths of a text's lines; an empty text has no lines."""
+def feature_parts(text: bytes, size: int = PART_LINES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Feature rows and lengths of a text's lines, ``size`` lines at a time; an empty text has no lines."""
     lines = text.split(b"\n") if text else []
     seen: set[bytes] = set()
-    own = np.array([_line(x, seen) for x in lines], np.float32).reshape(-1, _BASE)
-    shared = np.c_[np.ones(len(own), np.float32), own[:, _SEEN]]
-    none = np.zeros((1, shared.shape[1]), np.float32)
-    before, after = np.r_[none, shared[:-1]][: len(own)], np.r_[shared[1:], none][: len(own)]
-    return np.c_[own, before, after], np.array([len(x) for x in lines], np.float64)
+    none = np.zeros((1, 1 + _SHARED), np.float32)
+    own, last = np.empty((0, _BASE), np.float32), none
+    shared = np.empty((0, 1 + _SHARED), np.float32)
+    for at in range(0, len(lines) + 1, size):
+        # A line is written once the one after it is known.
+        fresh = np.array([_line(x, seen) for x in lines[at : at + size]], np.float32).reshape(-1, _BASE)
+        own = np.concatenate([own, fresh])
+        shared = np.concatenate([shared, np.c_[np.ones(len(fresh), np.float32), fresh[:, _SEEN]]])
+        end = at + size > len(lines)
+        n = len(own) - (not end)
+        if n > 0:
+            after = np.concatenate([shared[1 : n + 1], none])[:n]
+            before = np.concatenate([last, shared[: n - 1]])
+            first = at + len(fresh) - len(own)
+            yield np.c_[own[:n], before, after], np.array([len(x) for x in lines[first : first + n]], np.float64)
+            own, last, shared = own[n:], shared[n - 1 : n], shared[n:]
+
+
+def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows and lengths of all lines of a text."""
+    parts = list(feature_parts(text))
+    if not parts:
+        return np.empty((0, FEATURES), np.float32), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 # -- the chain -------------------------------------------------------------------------------------------------------
@@ -103,6 +126,48 @@ def marginals(unary: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> tupl
     return (forward * backward)[:, 1], expected
 
 
+def long_marginals(unary: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Probability of good of each line of one long document, as ``marginals`` gives it.
+
+    The chain is cut into about as many blocks as they have lines. A block is a product of 2 x 2 matrices; all blocks are
+    multiplied out together, then chained, and then run through together again from what comes before and after each.
+    """
+    top = np.maximum(unary, 0)
+    own = np.exp(np.stack([-top, unary - top], axis=1))
+    move, n = np.exp(steps - steps.max()), len(unary) - 1
+    width = max(1, math.isqrt(n))
+    blocks = -(-n // width)
+    step = np.broadcast_to(np.eye(2), (blocks * width, 2, 2)).copy()  # steps beyond the end change nothing
+    step[:n] = move[None] * own[1:, None, :]
+    step = step.reshape(blocks, width, 2, 2)
+    whole = np.broadcast_to(np.eye(2), (blocks, 2, 2))
+    for i in range(width):
+        whole = whole @ step[:, i]
+        whole = whole / whole.max(axis=(1, 2), keepdims=True)
+    ahead, behind = np.empty((blocks, 1, 2)), np.empty((blocks, 2, 1))
+    now = own[:1]
+    for b in range(blocks):
+        ahead[b] = now
+        now = now @ whole[b]
+        now = now / now.sum()
+    now = np.ones((2, 1))
+    for b in range(blocks - 1, -1, -1):
+        behind[b] = now
+        now = whole[b] @ now
+        now = now / now.sum()
+    forward, backward = np.empty((blocks, width, 2)), np.empty((blocks, width, 2))
+    for i in range(width):
+        ahead = ahead @ step[:, i]
+        ahead = ahead / ahead.sum(axis=2, keepdims=True)
+        forward[:, i] = ahead[:, 0]
+    for i in range(width - 1, -1, -1):
+        backward[:, i] = behind[:, :, 0]
+        behind = step[:, i] @ behind
+        behind = behind / behind.sum(axis=1, keepdims=True)
+    both = np.concatenate([own[:1] * now.T, (forward * backward).reshape(-1, 2)[:n]])
+    return both[:, 1] / both.sum(axis=1)
+
+
 @dataclass
 class Model:
     """What was learnt; of fixed size."""
@@ -113,16 +178,23 @@ class Model:
     offset: float
     prior: float
 
-    def quality(self, x: np.ndarray, lengths: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        """Length-weighted mean probability of good of each document; NaN without lines."""
-        good, _ = marginals(x @ self.weights, lengths, self.steps)
+    def quality(self, unary: np.ndarray, lengths: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Length-weighted mean probability of good of each document, from its lines' log-odds; NaN without lines."""
+        long = lengths >= LONG_LINES
+        good = np.empty(len(unary))
+        in_long = np.repeat(long, lengths)
+        good[~in_long] = marginals(unary[~in_long], lengths[~long], self.steps)[0]
+        start = np.cumsum(lengths) - lengths
+        for i in np.flatnonzero(long):
+            here = slice(start[i], start[i] + lengths[i])
+            good[here] = long_marginals(unary[here], self.steps)
         doc = np.repeat(np.arange(len(lengths)), lengths)
         weight = chars + 1
         with np.errstate(invalid="ignore"):
             return np.bincount(doc, good * weight, len(lengths)) / np.bincount(doc, weight, len(lengths))
 
-    def score(self, x: np.ndarray, lengths: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        q = _odds(self.quality(x, lengths, chars))
+    def score(self, unary: np.ndarray, lengths: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        q = _odds(self.quality(unary, lengths, chars))
         return np.where(lengths > 0, 1 / (1 + np.exp(-np.clip(self.slope * q + self.offset, -30, 30))), self.prior)
 
 
@@ -155,7 +227,7 @@ def train(x: np.ndarray, lengths: np.ndarray, chars: np.ndarray, label: np.ndarr
         params = params + RATE * (mean / (1 - 0.9**i)) / (np.sqrt(square / (1 - 0.999**i)) + 1e-8)
     model = Model(params[:FEATURES], params[FEATURES:].reshape(2, 2), 1.0, 0.0, prior)
     some = lengths > 0
-    q, t = _odds(model.quality(x, lengths, chars)[some]), label[some]
+    q, t = _odds(model.quality(x @ model.weights, lengths, chars)[some]), label[some]
     a = b = 0.0
     for _ in range(50):  # Newton steps of a logistic curve, lightly held back
         p = 1 / (1 + np.exp(-(a * q + b)))
@@ -207,7 +279,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep_from: float =
     columns of these names are replaced.
 
     The whole text counts, and nothing but it. Null and empty texts have no lines and get the share of label 1 among the
-    documents learnt from (0.5 if there were none). Equal texts score alike. Rows are independent: no shuffle.
+    documents learnt from (0.5 if there were none). Equal texts score alike. A text of very many lines is read in parts and its
+    chain run in blocks, in time and memory in proportion to its length. Rows are independent: no shuffle; an empty table
+    stays empty.
     """
     added = ("held_out", "score", "predicted")
     kept = docs.select(*[c for c in docs.columns if c not in added])
@@ -217,7 +291,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep_from: float =
         for batch in batches:
             scores, held, n_lines = [], [], 0
             for t in texts_of(batch, text):
-                held.append(features(t))
+                held.append(_unary(model, t))
                 n_lines += len(held[-1][0])
                 if n_lines > 1 << 16:
                     scores.append(_scores(model, held))
@@ -231,9 +305,15 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep_from: float =
     return kept.mapInArrow(run, schema_with(kept, score="double", predicted="int"))
 
 
+def _unary(model: Model, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds and lengths of a text's lines; features are held for some lines at a time."""
+    parts = [(x.astype(np.float64) @ model.weights, chars) for x, chars in feature_parts(text)]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0), np.empty(0))
+
+
 def _scores(model: Model, held: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    x = np.concatenate([f for f, _ in held]).astype(np.float64)
-    return model.score(x, np.array([len(f) for f, _ in held]), np.concatenate([c for _, c in held]))
+    unary, chars = (np.concatenate(x) for x in zip(*held))
+    return model.score(unary, np.array([len(u) for u, _ in held]), chars)
 
 
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,6 +221,30 @@ def test_chain_marginals_equal_enumeration():
         at += n
 
 
+def test_long_chains_equal_short_ones():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 17, 100, 5000):
+        unary, steps = 4 * rng.normal(size=n), rng.normal(size=(2, 2))
+        assert np.allclose(line_quality.marginals(unary, np.array([n]), steps)[0], line_quality.long_marginals(unary, steps))
+
+
+def test_features_in_parts_are_the_same():
+    text = b"\n".join(rng_line.encode() for rng_line in (["Some line, of words.", "", "AAA || !!", "x"] * 9)[:-1])
+    whole = np.concatenate([x for x, _ in line_quality.feature_parts(text, 1000)])
+    for size in (1, 2, 3, 7, 35, 36):
+        parts = list(line_quality.feature_parts(text, size))
+        assert (np.concatenate([x for x, _ in parts]) == whole).all() and max(len(x) for x, _ in parts) <= size + 1
+        assert np.concatenate([c for _, c in parts]).tolist() == [len(x) for x in text.split(b"\n")]
+    assert whole.shape == (35, line_quality.FEATURES) and not list(line_quality.feature_parts(b""))
+
+
+def test_a_document_of_very_many_lines():
+    model = line_quality.Model(np.linspace(-1, 1, line_quality.FEATURES), np.eye(2), 1.0, 0.0, 0.5)
+    text = b"\n".join(b"line %d of a long text, with words" % (i % 1000) for i in range(200_000))
+    score = line_quality._scores(model, [line_quality._unary(model, t) for t in (b"short one", text, b"")])
+    assert score.shape == (3,) and (score >= 0).all() and score[2] == 0.5
+
+
 def test_quality_is_learnt(spark):
     d = "/root/testdata/sf0.01"
     rows = queries.op10_line_quality(spark, d).collect()
