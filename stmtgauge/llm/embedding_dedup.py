@@ -115,15 +115,19 @@ def near_duplicates(
     # A label of n vectors has fewer than 2 n / cell_rows cells.
     cell_rows = max(CELL_ROWS, math.ceil(2 * n * width * 8 / BROADCAST_BYTES))
     large = counts.where(F.col("n") > cell_rows).withColumn("k", F.ceil(F.col("n") / cell_rows).cast("int"))
+    # The lowest hashes of a label: a bound on the hash leaves about twice as many, so that no task ranks a whole label.
+    drawn = F.xxhash64("id").cast("double") < F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), 2.0 * FIT_ROWS / F.col("n"))
     by_hash = Window.partitionBy("label", "size").orderBy(F.xxhash64("id"), "id")
-    sample = unique.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= FIT_ROWS).drop("r")
+    few = unique.select("label", "size", "id").join(small(large, counts.count(), 256), ["label", "size"]).where(drawn)
+    chosen = few.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= FIT_ROWS).select("id", "k")
+    sample = unique.join(chosen, "id")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = unit(np.array(pdf["v"].tolist(), np.float64))
         c = spherical_kmeans(x, min(int(pdf["k"].iloc[0]), max(1, len(x) // 4)))
         return pd.DataFrame({"id": pdf["id"].iloc[:1], "c": [c.tobytes()]})
 
-    fitted = sample.join(large, ["label", "size"]).groupBy("label", "size").applyInPandas(fit, "id bigint, c binary")
+    fitted = sample.groupBy("label", "size").applyInPandas(fit, "id bigint, c binary")
     # A label is known in tasks by the id of its first sampled vector. All centroids stay below BROADCAST_BYTES.
     known = unique.join(fitted, "id").select("label", "size", F.col("id").alias("g"), "c").collect()
     sent = vectors.sparkSession.sparkContext.broadcast({r.g: np.frombuffer(r.c).reshape(-1, r.size) for r in known})
