@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from checks import streams
 from checks import views as V
 from checks.registry import big, register
 from stmtgauge.operators import profiles
+from stmtgauge.operators.running import running_total
 from stmtgauge.sources import decisions as decision_log
 from stmtgauge.sources import events, rules
 from stmtgauge.sources import profiles as snapshots
@@ -74,6 +76,17 @@ _XML = """
 """
 
 
+#: Events, rules or types in one file.
+_FILE_ROWS = 1000
+
+
+def _xml_roots(events_: DataFrame) -> DataFrame:
+    """Files of the session: each has one root element around some of the events."""
+    parts = events_.groupBy(F.pmod(F.xxhash64("value"), F.lit(-(-max(1, events_.count()) // _FILE_ROWS))).alias("part"))
+    roots = parts.agg(F.concat(F.lit("<events>"), F.array_join(F.collect_list("value"), ""), F.lit("</events>")).alias("value"))
+    return roots.select("value")
+
+
 @register(
     "source_event_xml",
     """SELECT event_type AS event, concat('u', user_id) AS user_name, event_id AS duration_ms,
@@ -81,15 +94,60 @@ _XML = """
 )
 def _(spark, sf_dir):
     folder = fresh_folder(spark, "xml")
-    # A file of the session has one root element.
-    parts = V.sql_view(spark, sf_dir, _XML, "events").groupBy(F.pmod(F.xxhash64("value"), F.lit(16)).alias("part"))
-    roots = parts.agg(F.concat(F.lit("<events>"), F.array_join(F.collect_list("value"), ""), F.lit("</events>")).alias("value"))
-    roots.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    _xml_roots(V.sql_view(spark, sf_dir, _XML, "events")).write.option("maxRecordsPerFile", 1).text(folder)
     read = events.read_event_xml(spark, folder)
     ts = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")
     return read.select("event", F.col("user").alias("user_name"), "duration_ms", "sql_text", ts)
 
 
+def _read_again(arriving: DataFrame) -> list[DataFrame]:
+    """What a reader of a ring buffer gets turn by turn: some new events, and those of the turn before once more."""
+    ends = arriving.agg(F.percentile_approx("event_id", [i / streams.BATCHES for i in range(1, streams.BATCHES)])).first()[0] or []
+    spans = zip([None, None, *ends], [*ends, None])
+    over = lambda low: F.lit(True) if low is None else F.col("event_id") > low
+    upto = lambda high: F.lit(True) if high is None else F.col("event_id") <= high
+    return [arriving.where(over(low) & upto(high)) for low, high in spans]
+
+
+_STAMPED = """SELECT event_id, concat('{{"timestamp": "', date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS'), '", "event": "', event_type,
+    '", "user": "u', CAST(user_id AS STRING), '", "row_count": ', CAST(event_id AS STRING), '}}') AS value FROM {events}"""
+
+
+@register(
+    "source_events_read_again",
+    """SELECT strftime(ts, '%Y%m%d')::BIGINT AS day, event_type AS event, concat('u', user_id) AS user_name, event_id AS row_count
+        FROM events""",
+)
+def _(spark, sf_dir):
+    """A source that is read again in every turn, through the duplicate state into the sink by day: each event once."""
+    raw, out, checkpoint = (fresh_folder(spark, n) for n in ("raw", "days", "checkpoint"))
+    for turn in _read_again(V.sql_view(spark, sf_dir, _STAMPED, "events")):
+        turn.select("value").coalesce(1).write.mode("append").text(raw)
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(raw)
+    arriving = events.parse_json_lines(lines, events.EVENT_FIELDS).withColumn("ts", F.col("timestamp").try_cast("timestamp"))
+    events.sink_query_events(events.without_repeats(arriving, "1 minute"), out, checkpoint)
+    read = spark.read.schema("event STRING, user STRING, row_count BIGINT, day BIGINT").json(out)
+    return read.select("day", "event", F.col("user").alias("user_name"), "row_count")
+
+
+_XML_AGAIN = """
+    SELECT event_id, concat('<event name="', event_type, '" timestamp="', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+        '"><data name="duration"><value>', CAST(event_id AS STRING), '</value></data></event>') AS value FROM {events}
+"""
+
+
+@register("source_xml_read_again", "SELECT event_type AS event, event_id AS duration_ms FROM events")
+def _(spark, sf_dir):
+    """Session files that repeat the events of the turn before."""
+    raw, out, checkpoint = (fresh_folder(spark, n) for n in ("xml", "days", "checkpoint"))
+    for turn in _read_again(V.sql_view(spark, sf_dir, _XML_AGAIN, "events")):
+        _xml_roots(turn).write.mode("append").option("maxRecordsPerFile", 1).text(raw)
+    arriving = events.read_event_xml(spark, raw, streaming=True, max_files=4)
+    # The files of a turn come in any order, so a turn must fit into the time that is remembered.
+    events.sink_query_events(events.without_repeats(arriving, "60 days"), out, checkpoint)
+    return spark.read.schema("event STRING, duration_ms BIGINT, day BIGINT").json(out).select("event", "duration_ms")
+
+
 @register(
     "source_rules",
     """SELECT n - 1 AS place, id, target, selector, action, min_hits FROM (SELECT *, row_number() OVER (ORDER BY ord) AS n
@@ -99,9 +157,10 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     folder = fresh_folder(spark, "rules")
     given = V.sql_view(spark, sf_dir, V.RULE_TABLE, "part").withColumnRenamed("min_hits", "min_hits_to_enforce")
-    # A rule file is one JSON array.
+    # A rule file is one JSON array; files in order of their names hold the rules in order.
     entries = F.array_sort(F.collect_list(F.struct(*given.columns)))
-    given.agg(F.to_json(entries).alias("value")).write.text(folder)
+    files = given.groupBy(F.floor(F.col("ord") / _FILE_ROWS).alias("part")).agg(F.to_json(entries).alias("value"))
+    files.repartitionByRange("part").sortWithinPartitions("part").select("value").write.option("maxRecordsPerFile", 1).text(folder)
     read = rules.read_rules(spark, folder)
     return read.select(big("ord", "place"), "id", "target", "selector", "action", big("min_hits_to_enforce", "min_hits"))
 
@@ -115,7 +174,8 @@ def _(spark, sf_dir):
     name = F.concat(F.lit("@"), F.replace("p_brand", F.lit("#"), F.lit("")))
     entry = F.struct(F.concat(F.lit("DBO.P"), "p_partkey").alias("k"), F.create_map(name, F.col("p_type")).alias("v"))
     part = V.table(spark, sf_dir, "part")
-    part.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).write.text(folder)
+    files = part.groupBy(F.floor(F.col("p_partkey") / _FILE_ROWS)).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(folder)
     return rules.read_param_types(spark, folder)
 
 
@@ -157,5 +217,17 @@ def _(spark, sf_dir):
     )
     report_files.write_report(fields, folder)
     read = events.with_arrival_order(spark.read.text(folder))
-    place = F.row_number().over(Window.orderBy("seq")).cast("bigint")
-    return read.select(place.alias("place"), F.col("value").alias("line"))
+    return running_total(read, [], "seq", [], F.lit(1).cast("bigint"), "place").select("place", F.col("value").alias("line"))
+
+
+@register(
+    "source_last_decisions",
+    """SELECT seq, step::BIGINT AS step, row_no::BIGINT AS row_no, pos::BIGINT AS pos, action, rule_id FROM decisions
+        ORDER BY ts::DATE DESC, seq DESC, step DESC, row_no DESC, pos DESC LIMIT 500""",
+)
+def _(spark, sf_dir):
+    """The end of a log by day: only its newest folders are read."""
+    folder = fresh_folder(spark, "decisions")
+    decision_log.append_decisions(V.decisions_log(spark, sf_dir).drop("ts_date"), folder)
+    read = decision_log.read_last_decisions(spark, folder, 500)
+    return read.select("seq", big("step"), big("row", "row_no"), big("pos"), "action", "rule_id")

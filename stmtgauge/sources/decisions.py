@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtgauge.operators.correct import LOG_TYPES
+from stmtgauge.operators.correct import LOG_ORDER, LOG_TYPES
 from stmtgauge.sources.events import parse_json_lines, utc, with_arrival_order
 from stmtgauge.sources.storage import if_present
 
@@ -16,6 +18,35 @@ def append_decisions(df: DataFrame, path: str) -> None:
     stamped.withColumn("ts_date", F.to_date(utc("ts"))).write.partitionBy("ts_date").mode("append").json(path)
 
 
+def days_of(spark: SparkSession, path: str) -> list[str]:
+    """Days that a log has folders of, the newest first."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    return sorted((n.partition("=")[2] for n in names if re.fullmatch(r"ts_date=\d{4}-\d\d-\d\d", n)), reverse=True)
+
+
+def read_last_decisions(spark: SparkSession, path: str, n: int, order: tuple[str, ...] = LOG_ORDER) -> DataFrame:
+    """The last ``n`` logged decisions, by day and then ``order``.
+
+    Days are walked from the newest backwards, and their rows counted, until there are ``n``; earlier folders are not
+    looked at.
+    """
+    found, rows = None, 0
+    for day in days_of(spark, path):
+        of_day = read_decisions(spark, path, day)
+        found = of_day if found is None else found.unionByName(of_day)
+        rows += of_day.count()
+        if rows >= n:
+            break
+    if found is None:
+        fields = ", ".join(f"`{name}` {kind}" for name, kind in LOG_TYPES.items())
+        return spark.createDataFrame([], f"{fields}, ts_date DATE")
+    return found.orderBy(F.desc("ts_date"), *[F.desc(c) for c in order]).limit(n)
+
+
 def read_decisions(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
     """Logged decisions, malformed lines skipped; ``day`` lists and reads only the folder of that (UTC) day.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from stmtgauge.operators.small import broadcast_if_small
 
@@ -105,12 +106,16 @@ def _last(items: str, *names: str) -> Column:
     return F.coalesce(item["_value"], item["value"])
 
 
-def read_event_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Query events from event-session XML, one row per ``<event>``; durations keep the unit of the session."""
-    xml = spark.read.format("xml").option("rowTag", "event").schema(XML_SCHEMA).load(path)
+def read_event_xml(spark: SparkSession, path: str, streaming: bool = False, max_files: int | None = None) -> DataFrame:
+    """Query events from event-session XML, one row per ``<event>``; durations keep the unit of the session. A stream has no
+    ``seq`` and takes at most ``max_files`` files into a batch."""
+    reader = spark.readStream if streaming else spark.read
+    reader = reader.option("maxFilesPerTrigger", max_files) if streaming and max_files else reader
+    xml = reader.format("xml").option("rowTag", "event").schema(XML_SCHEMA).load(path)
     number = lambda name: _last("data", name).try_cast("bigint")
-    return with_arrival_order(xml).select(
-        "seq",
+    placed = xml if streaming else with_arrival_order(xml)
+    return placed.select(
+        *([] if streaming else ["seq"]),
         F.col("_timestamp").alias("timestamp"),
         F.col("_timestamp").try_cast("timestamp").alias("ts"),
         F.col("_name").alias("event"),
@@ -126,7 +131,39 @@ def read_event_xml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def by_utc_day(df: DataFrame) -> DataFrame:
+    return df.withColumn("day", F.date_format(utc("ts"), "yyyyMMdd"))
+
+
 def write_query_events(df: DataFrame, path: str) -> None:
     """Append events as JSON lines in one folder per UTC day (``day=YYYYMMDD``)."""
-    by_day = df.withColumn("day", F.date_format(utc("ts"), "yyyyMMdd"))
-    by_day.write.partitionBy("day").mode("append").json(path)
+    by_utc_day(df).write.partitionBy("day").mode("append").json(path)
+
+
+def sink_query_events(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append arriving events as :func:`write_query_events` does: all that is there by now, each once.
+
+    The sink keeps a log of the files it has committed, and Spark reads the folder by that log. A query that was killed
+    goes on from its checkpoint; what it had written without committing is not read.
+    """
+    writer = by_utc_day(stream).writeStream.format("json").partitionBy("day").option("path", path)
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def without_repeats(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Events of a source that is read again and again, each once.
+
+    Two events are the same when all fields but ``seq`` are. A stream remembers a digest of those no older than
+    ``lateness`` before the newest ``ts``, so its state is bounded; what is older counts as seen. Events without a time
+    pass as they are. In a batch everything is compared.
+    """
+    fields = [c for c in events.columns if c != "seq"]
+    told = F.md5(F.to_json(F.struct(*fields)).cast("binary")).alias("__told")
+    known = events.select("*", told)
+    if not events.isStreaming:
+        kept = known.where("ts IS NOT NULL").dropDuplicates(["__told"])
+    else:
+        kept = known.where("ts IS NOT NULL").withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["__told"])
+    return kept.unionByName(known.where("ts IS NULL")).drop("__told")

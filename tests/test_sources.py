@@ -178,3 +178,61 @@ def test_days_are_utc(spark, tmp_path):
         assert decisions.read_decisions(spark, str(tmp_path / "d"), "2024-01-02").count() == 0
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_rules_in_several_files_keep_their_order(spark, tmp_path):
+    folder = tmp_path / "rules"
+    folder.mkdir()
+    names = [f"r{i}" for i in range(23)]
+    for k in range(0, 23, 5):
+        (folder / f"{k:03}.json").write_text(json.dumps([{**RULE, "id": n} for n in names[k : k + 5]]))
+    (folder / "012.json").write_text("[]")
+    for read in (rules.read_rules, rules.read_raw_rules):
+        assert [(r.ord, r.id.strip('"')) for r in read(spark, str(folder)).orderBy("ord").collect()] == list(enumerate(names))
+
+
+def events_of(spark, rows):
+    return spark.createDataFrame(rows, "ts TIMESTAMP, event STRING, row_count BIGINT, seq BIGINT")
+
+
+def at(minute):
+    import datetime
+
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minute)
+
+
+def test_a_source_read_again_and_a_killed_sink(spark, tmp_path):
+    """Every turn repeats the last ones; the sink is stopped in between and its last commit lost once."""
+    raw, out, check = (str(tmp_path / n) for n in ("raw", "out", "check"))
+    held = []
+    for part in range(3):
+        for turn in range(4 * part, 4 * part + 4):
+            rows = [(at(400 * t + i), "e", 100 * t + i, turn) for t in (turn - 1, turn) if t >= 0 for i in range(20)]
+            events_of(spark, [*rows, (None, "no time", turn, 0)]).coalesce(1).write.mode("append").parquet(raw)
+        stream = spark.readStream.schema("ts TIMESTAMP, event STRING, row_count BIGINT, seq BIGINT").option("maxFilesPerTrigger", 1).parquet(raw)
+        query = events.sink_query_events(events.without_repeats(stream, "10 minutes"), out, check)
+        held += [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+        if part == 0:  # the query is killed after its sink has written a batch and before it is marked as done
+            last = max((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+            last.unlink()
+            (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    read = spark.read.schema("event STRING, row_count BIGINT, day STRING").json(out)
+    got = sorted(r.row_count for r in read.where("event = 'e'").collect())
+    assert got == sorted(100 * t + i for t in range(12) for i in range(20))
+    assert read.where("event = 'no time'").count() == 12 and max(held) <= 60
+    assert {r.day for r in read.where("event = 'e'").select("day").distinct().collect()} == {"20240101", "20240102", "20240103", "20240104"}
+    batch = events_of(spark, [(at(1), "e", 1, 5), (at(1), "e", 1, 6), (at(1), "e", 2, 7), (None, "n", 1, 8), (None, "n", 1, 9)])
+    assert events.without_repeats(batch).count() == 4
+
+
+def test_the_end_of_a_log(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    rows = [(i, at(60 * i), "allow", f"r{i % 3}") for i in range(100)]
+    log = spark.createDataFrame(rows, "seq BIGINT, ts TIMESTAMP, action STRING, rule_id STRING").withColumn("step", F.lit(0))
+    assert decisions.read_last_decisions(spark, folder, 5).collect() == []
+    decisions.append_decisions(log, folder)
+    for n in (1, 10, 24, 25, 99, 1000):
+        found = decisions.read_last_decisions(spark, folder, n)
+        assert sorted(r.seq for r in found.collect()) == list(range(max(0, 100 - n), 100))
+        days = {f.split("ts_date=")[1].split("/")[0] for f in found.inputFiles()}
+        assert len(days) == min(5, 1 + max(0, n - 4 + 23) // 24)
