@@ -1138,6 +1138,30 @@ def _(spark, sf_dir):
     return found.select("conn_id", big("type"), "end_seq", big("spid"), "text")
 
 
+_CHANGE = "2024-01-16 00:00:00"
+
+
+@register(
+    "stream_decisions_as_of",
+    f"""SELECT d.seq, d.action, CASE WHEN q.ts < TIMESTAMP '{_CHANGE}' THEN d.rule_id ELSE 'later-' || d.rule_id END AS rule_id
+        FROM statement_decisions AS d JOIN query_log AS q ON q.seq = d.seq""",
+)
+def _(spark, sf_dir):
+    """All rules get other names on one day; each statement meets those of its time."""
+    at, never = F.lit(_CHANGE).cast("timestamp"), F.lit(None).cast("timestamp")
+    rules = V.rules(spark)
+    later = rules.withColumn("id", F.concat(F.lit("later-"), "id")).withColumns({"valid_from": at, "valid_to": never})
+    versions = materialize(rules.withColumns({"valid_from": never, "valid_to": at}).unionByName(later), "rules")
+    out, checkpoint = fresh_folder(spark, "decided"), fresh_folder(spark, "checkpoint")
+
+    def sink(df: DataFrame, batch_id: int) -> None:
+        df.select("seq", "decision.action", "decision.rule_id").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    texts = streams.log_stream(spark, sf_dir).where(F.col("sql_text") != "").select("seq", F.col("ts").cast("timestamp"), "sql_text")
+    jobs.run_incremental(texts, jobs.decisions_of_their_time(lambda: versions, sink), checkpoint)
+    return spark.read.parquet(out).drop("batch")
+
+
 @register("stream_latency_p95", _quantile_sql())
 def _(spark, sf_dir):
     stream = jobs.stream_quantile(streams.event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value")

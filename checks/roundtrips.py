@@ -207,6 +207,23 @@ def _(spark, sf_dir):
     return met.select("field", F.coalesce("b", F.lit(0)).alias("nulls_before"), F.coalesce("a", F.lit(0)).alias("nulls_after"))
 
 
+@register(
+    "drift_of_bucketed_snapshots",
+    """SELECT coalesce(p.field, c.field) AS field, coalesce(p.n_nulls, 0) AS nulls_before, coalesce(c.n_nulls, 0) AS nulls_after
+        FROM profiles_prev AS p FULL OUTER JOIN profiles_curr AS c ON c.field = p.field""",
+)
+def _(spark, sf_dir):
+    """Snapshots in buckets by field meet without an exchange."""
+    folder = fresh_folder(spark, "profiles")
+    log = V.query_log(spark, sf_dir)
+    early = F.col("client_app").isin("click", "view")
+    for date, part in (("20240101", log.where(early)), ("20240102", log.where(~early))):
+        snapshots.write_bucketed_snapshot(profiles.field_profiles(part), folder, date)
+    before, after = (snapshots.read_bucketed_snapshot(spark, folder, d) for d in ("20240101", "20240102"))
+    met = before.select("field", F.col("nulls").alias("b")).join(after.select("field", F.col("nulls").alias("a")), "field", "full")
+    return met.select("field", F.coalesce("b", F.lit(0)).alias("nulls_before"), F.coalesce("a", F.lit(0)).alias("nulls_after"))
+
+
 @register("source_report_lines", "SELECT n AS place, concat('- ', field) AS line FROM (SELECT field, row_number() OVER (ORDER BY field) AS n FROM profiles)")
 def _(spark, sf_dir):
     """Lines come back in the order in which the report has them."""
@@ -231,3 +248,17 @@ def _(spark, sf_dir):
     decision_log.append_decisions(V.decisions_log(spark, sf_dir).drop("ts_date"), folder)
     read = decision_log.read_last_decisions(spark, folder, 500)
     return read.select("seq", big("step"), big("row", "row_no"), big("pos"), "action", "rule_id")
+
+
+@register(
+    "source_decisions_of_days",
+    """SELECT seq, step::BIGINT AS step, row_no::BIGINT AS row_no, pos::BIGINT AS pos, action, rule_id FROM decisions
+        WHERE ts::DATE IN (SELECT ts::DATE FROM events WHERE event_id % 997 = 5)""",
+)
+def _(spark, sf_dir):
+    """The days come from another table and prune the folders of the log while the query runs."""
+    folder = fresh_folder(spark, "decisions")
+    decision_log.append_decisions(V.decisions_log(spark, sf_dir).drop("ts_date"), folder)
+    days = V.table(spark, sf_dir, "events").where("event_id % 997 = 5").select(F.to_date("ts").alias("ts_date")).distinct()
+    read = decision_log.read_decisions_of(spark, folder, materialize(days, "days"))
+    return read.select("seq", big("step"), big("row", "row_no"), big("pos"), "action", "rule_id")

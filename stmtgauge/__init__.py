@@ -53,12 +53,26 @@ from stmtgauge.plans.reports import (
     profile_context,
     profile_summary,
 )
-from stmtgauge.sources.decisions import append_decisions, read_decisions
-from stmtgauge.sources.events import read_event_xml, read_policy_events, read_query_events, write_query_events
-from stmtgauge.sources.profiles import read_profiles_json, read_snapshot, write_snapshot
+from stmtgauge.sources.decisions import append_decisions, read_decisions, read_decisions_of, read_last_decisions
+from stmtgauge.sources.events import (
+    read_event_xml,
+    read_policy_events,
+    read_query_events,
+    sink_query_events,
+    without_repeats,
+    write_query_events,
+)
+from stmtgauge.sources.profiles import (
+    read_bucketed_snapshot,
+    read_profiles_json,
+    read_snapshot,
+    write_bucketed_snapshot,
+    write_snapshot,
+)
 from stmtgauge.sources.reports import write_report
 from stmtgauge.sources.rules import read_param_types, read_raw_rules, read_rules
 from stmtgauge.streaming.jobs import (
+    decisions_of_their_time,
     profile_batches,
     run_incremental,
     stream_counters,

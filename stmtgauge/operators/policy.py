@@ -313,6 +313,55 @@ def decide(events: DataFrame, rules: DataFrame, env: str | None = None, form: st
     return df.withColumn("decision", decision_of(*matches)).drop(*matches)
 
 
+def decide_as_of(events: DataFrame, rules: DataFrame, ts: str = "ts", env: str | None = None, form: str = "auto") -> DataFrame:
+    """As :func:`decide`, by the rules in force at the time of each event.
+
+    Rules have ``valid_from`` (inclusive) and ``valid_to`` (exclusive); NULL is open. Up to ``COMPILED_LIMIT`` versions of rules
+    are one expression with their times in it. More are decided by span between two changes of the rules, each with those
+    in force then. Events without a time are decided by the rules that are always in force.
+    """
+    bounds = ("valid_from", "valid_to")
+    admitted = active_rules(admit_rules(rules), env)
+    if form != "join" and admitted.limit(COMPILED_LIMIT + 1).count() <= COMPILED_LIMIT:
+        rows = admitted.select(
+            _match_struct().alias("m"), F.lower("target").alias("target"), F.lower("selector").alias("selector"), *bounds
+        ).collect()
+        return _compiled_as_of(events, sorted(rows, key=lambda r: r.m.ord), ts)
+    changes = admitted.select(F.explode(F.array(*bounds)).alias("at")).where("at IS NOT NULL").distinct()
+    points = sorted(r["at"] for r in changes.collect())  # a point per change of the rules
+    out = None
+    for low, high in zip([None, *points], [*points, None]):
+        there = F.lit(True) if low is None else F.col(ts) >= F.lit(low)
+        there = there if high is None else there & (F.col(ts) < F.lit(high))
+        begun = F.col("valid_from").isNull() if low is None else F.col("valid_from").isNull() | (F.col("valid_from") <= F.lit(low))
+        open_ = F.col("valid_to").isNull() if high is None else F.col("valid_to").isNull() | (F.col("valid_to") >= F.lit(high))
+        part = decide(events.where(there), rules.where(begun & open_).drop(*bounds), env, form)
+        out = part if out is None else out.unionByName(part)
+    if points:
+        always = rules.where(F.col("valid_from").isNull() & F.col("valid_to").isNull()).drop(*bounds)
+        out = out.unionByName(decide(events.where(F.col(ts).isNull()), always, env, form))
+    return out
+
+
+def _compiled_as_of(events: DataFrame, rows: list, ts: str) -> DataFrame:
+    low = lambda c: F.lower(nonempty(F.col(c))) if c in events.columns else F.lit(None).cast("string")
+    keys = {"__table": low("table"), "__column": low("column"), "__last": last_segment(low("column")), "__text": low("sql_text")}
+    tests = []
+    for r in rows:
+        if r.target == "column":
+            hit = F.col("__column") == r.selector if "." in r.selector else F.col("__last") == r.selector.lstrip("@")
+        else:
+            hit = F.col("__table") == r.selector if r.target == "table" else F.contains(F.col("__text"), F.lit(r.selector))
+        if r.valid_from is not None:
+            hit = hit & (F.col(ts) >= F.lit(r.valid_from))
+        if r.valid_to is not None:
+            hit = hit & (F.col(ts) < F.lit(r.valid_to))
+        tests.append(F.when(hit, _literal_match(r.m)))
+    found = F.coalesce(*tests) if tests else F.lit(None).cast(MATCH_TYPE)
+    matched = once(events.withColumns(keys), {"__match": found})
+    return matched.withColumn("decision", decision_of("__match")).drop(*keys, "__match")
+
+
 def rule_index(rules: DataFrame) -> DataFrame:
     """One row per rule id; of duplicates the last one in order."""
     return rules.groupBy("id").agg(F.max_by(F.struct(*[c for c in rules.columns if c != "id"]), "ord").alias("rule"))

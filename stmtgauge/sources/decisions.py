@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtgauge.operators.correct import LOG_ORDER, LOG_TYPES
+from stmtgauge.operators.small import broadcast_if_small
 from stmtgauge.sources.events import parse_json_lines, utc, with_arrival_order
 from stmtgauge.sources.storage import if_present
 
@@ -52,17 +53,26 @@ def read_decisions(spark: SparkSession, path: str, day: str | None = None) -> Da
 
     Rows from single-file logs without ``seq`` get their arrival order.
     """
-    fields = ", ".join(f"`{name}` {kind}" for name, kind in LOG_TYPES.items())
     folder = f"{path.rstrip('/')}/ts_date={day}"
     one_day = if_present(lambda: spark.read.option("basePath", path).text(folder)) if day else None
     lines = spark.read.text(path) if one_day is None else one_day
     wanted = F.col("ts_date") == F.lit(day).cast("date")
-    by_day = "ts_date" in lines.columns
-    if day and by_day:
+    if day and "ts_date" in lines.columns:
         lines = lines.where(wanted)
+    rows = _parsed(lines)
+    return rows.where(wanted) if day and "ts_date" not in lines.columns else rows
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    fields = ", ".join(f"`{name}` {kind}" for name, kind in LOG_TYPES.items())
     ordered = with_arrival_order(lines).withColumnRenamed("seq", "__arrival")
-    rows = parse_json_lines(ordered, fields).withColumn("seq", F.coalesce("seq", "__arrival")).drop("__arrival")
-    if by_day:
-        return rows
-    rows = rows.withColumn("ts_date", F.to_date(utc("ts")))
-    return rows.where(wanted) if day else rows
+    rows = parse_json_lines(ordered, fields).withColumn("seq", F.coalesce("seq", "__arrival")).drop("__arrival", "_metadata")
+    return rows if "ts_date" in lines.columns else rows.withColumn("ts_date", F.to_date(utc("ts")))
+
+
+def read_decisions_of(spark: SparkSession, path: str, days: DataFrame) -> DataFrame:
+    """Logged decisions of the days in a small table (``ts_date`` DATE): its days prune the folders while the query runs."""
+    wanted = days.select("ts_date").where(F.col("ts_date") > F.lit("0001-01-01").cast("date"))
+    # Met right at the scan, where days can prune folders; the place of each line is kept for its arrival order.
+    lines = spark.read.text(path).select("value", "ts_date", "_metadata")
+    return _parsed(lines.join(broadcast_if_small(wanted), "ts_date", "left_semi"))

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stmtgauge.operators import metrics, profiles
 from stmtgauge.operators import decisions as D
-from stmtgauge.operators.policy import decide
+from stmtgauge.operators.policy import decide, decide_as_of
 from stmtgauge.plans import reports
 from stmtgauge.sources.profiles import PROFILE_SCHEMA
 from stmtgauge.sources.reports import write_report
@@ -27,6 +27,18 @@ def stream_decisions(events: DataFrame, rules: DataFrame, env: str | None = None
     return decide(events, rules, env, form)
 
 
+def decisions_of_their_time(read_rules: Callable[[], DataFrame], sink: Sink, ts: str = "ts", env: str | None = None) -> Sink:
+    """For ``foreachBatch`` on arriving events: decisions by the rules in force at the time of each event, late ones too.
+
+    Rules are read anew for each batch, so a change takes effect without a restart; see ``policy.decide_as_of``.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        sink(decide_as_of(batch, read_rules(), ts, env), batch_id)
+
+    return run
+
+
 def stream_counters(log: DataFrame) -> DataFrame:
     """(key, n) running counters of an arriving decision log, update mode. Sums are partial before the shuffle."""
     return D.counter_increments(log).groupBy("key").agg(F.sum("by").alias("n"))

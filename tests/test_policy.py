@@ -241,3 +241,27 @@ def test_the_first_of_many_listed_patterns(spark):
     got = {r.seq: r.rule_id for r in policy.decide(df, spark.createDataFrame(rules, RULE_SCHEMA)).select("seq", "decision.rule_id").collect()}
     want = {i: next((f"r{k}" for k, s in enumerate(selectors) if s in t), None) for i, t in texts}
     assert got == want and len(set(want.values())) > 20
+
+
+@pytest.mark.parametrize("form", ["auto", "join"])
+def test_rules_of_their_time(spark, form):
+    import datetime
+
+    draw, day = random.Random(13), lambda n: None if n is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    selectors = {"pattern": ["select", "from", "x"], "table": ["T", "u"], "column": ["t.a", "B", "@c"]}
+    rules = []
+    for i in range(14):
+        target = draw.choice(list(selectors))
+        start, end = draw.choice([(None, None), (None, 5), (3, None), (2, 6), (5, 8), (6, 6)])
+        rules.append((*rule(i, f"r{i}", target, draw.choice(selectors[target])), day(start), day(end)))
+    rows = [(i, day(draw.choice([None, 0, 2, 3, 5, 6, 7, 9])), draw.choice(["SELECT 1", "from x", "zz", None]), draw.choice(["t", "U", None]), draw.choice(["t.a", "q.b", "C", None])) for i in range(300)]
+    events_ = spark.createDataFrame(rows, "seq BIGINT, ts TIMESTAMP, sql_text STRING, table STRING, column STRING")
+    given = spark.createDataFrame(rules, f"{RULE_SCHEMA}, valid_from TIMESTAMP, valid_to TIMESTAMP")
+    got = {r.seq: r.rule_id for r in policy.decide_as_of(events_, given, form=form).select("seq", "decision.rule_id").collect()}
+    want = {}
+    for t in {r[1] for r in rows}:
+        there = lambda r: (r[-2] is None or t is not None and t >= r[-2]) and (r[-1] is None or t is not None and t < r[-1])  # noqa: E731, B023
+        now = spark.createDataFrame([r[:-2] for r in rules if there(r)], RULE_SCHEMA)
+        some = spark.createDataFrame([r for r in rows if r[1] == t], events_.schema)
+        want |= {r.seq: r.rule_id for r in policy.decide(some, now, form="compiled").select("seq", "decision.rule_id").collect()}
+    assert got == want and len(set(want.values())) > 5

@@ -236,3 +236,36 @@ def test_the_end_of_a_log(spark, tmp_path):
         assert sorted(r.seq for r in found.collect()) == list(range(max(0, 100 - n), 100))
         days = {f.split("ts_date=")[1].split("/")[0] for f in found.inputFiles()}
         assert len(days) == min(5, 1 + max(0, n - 4 + 23) // 24)
+
+
+def test_days_of_a_table_prune_the_log(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    log = spark.createDataFrame([(i, at(60 * i), "allow") for i in range(100)], "seq BIGINT, ts TIMESTAMP, action STRING")
+    decisions.append_decisions(log.withColumn("step", F.lit(0)), folder)
+    spark.createDataFrame([("2024-01-02",), ("2024-01-04",), ("2030-01-01",), (None,)], "d STRING").select(
+        F.col("d").cast("date").alias("ts_date")
+    ).write.parquet(str(tmp_path / "days"))
+    found = decisions.read_decisions_of(spark, folder, spark.read.parquet(str(tmp_path / "days")))
+    assert sorted(r.seq for r in found.collect()) == [*range(24, 48), *range(72, 96)]
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_snapshots_join_without_exchange(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    table = lambda n: spark.range(300).selectExpr("concat('t.', id) AS field", "10L AS count", f"id % {n} AS nulls", "map('date', id) AS suggestions")
+    assert snapshots.read_bucketed_snapshot(spark, path, "2024-01-01").count() == 0
+    for day, n in (("2024-01-01", 5), ("2024-01-01", 3), ("2024-01-02", 7)):  # the second replaces the first
+        snapshots.write_bucketed_snapshot(table(n), path, day)
+    before, after = (snapshots.read_bucketed_snapshot(spark, path, d) for d in ("2024-01-01", "2024-01-02"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        drift, diff = profiles.null_drift(before, after, 0.3), policy.snapshot_diff(before.drop("suggestions"), after.drop("suggestions"), "field")
+        rows = sorted(map(tuple, drift.collect()))
+        assert rows == sorted(map(tuple, profiles.null_drift(table(3), table(7), 0.3).collect())) and rows
+        assert diff.count() == policy.snapshot_diff(table(3).drop("suggestions"), table(7).drop("suggestions"), "field").count() > 0
+        for df in (drift, diff):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "hashpartitioning" not in plan and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -185,3 +185,27 @@ def test_a_change_log_writes_changes_only(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "log" / "changes" / f"batch={b}")).count() == 2
         assert len(list((tmp_path / "log" / "changes").iterdir())) <= 6
     assert rows(log.before(spark, 14)) == want
+
+
+def test_rules_that_change_while_a_stream_runs(spark, tmp_path):
+    """A change between two batches, and a late event: each meets the rule of its time."""
+    folder, known = str(tmp_path / "in"), str(tmp_path / "rules")
+    day = lambda n: datetime.datetime(2024, 1, n)
+    schema = f"{RULE_SCHEMA}, valid_from TIMESTAMP, valid_to TIMESTAMP"
+    first = (0, "old", "pattern", "from", "block", "", 1.0, True, None, 0, None, None)
+    spark.createDataFrame([first], schema).write.parquet(known)
+    for n, rows in enumerate(([(1, day(1))], [(2, day(5)), (3, day(2))], [(4, day(9))])):
+        df = spark.createDataFrame([(i, t, "select a from b") for i, t in rows], "seq BIGINT, ts TIMESTAMP, sql_text STRING")
+        df.coalesce(1).write.mode("append").parquet(folder)
+    seen = {}
+
+    def sink(df, batch_id):
+        seen.update({r.seq: r.decision.rule_id for r in df.collect()})
+        if batch_id == 0:  # from the fourth on another rule is in force
+            rows = [(*first[:-1], day(4)), (1, "new", *first[2:-2], day(4), None)]
+            spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(known)
+
+    job = jobs.decisions_of_their_time(lambda: spark.read.schema(schema).parquet(known), sink)
+    stream = spark.readStream.schema("seq BIGINT, ts TIMESTAMP, sql_text STRING").option("maxFilesPerTrigger", 1).parquet(folder)
+    jobs.run_incremental(stream, job, str(tmp_path / "check"))
+    assert seen == {1: "old", 2: "new", 3: "old", 4: "new"}
