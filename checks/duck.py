@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from checks import views as V
+from stmtgauge.functions.normalizers import HINTS
 
 WS = "' \t\n\r\x0b\x0c'"
 
@@ -55,22 +56,13 @@ SEL = r"(?is)select\s+(.*?)\s+from\s"
 FROM = rf"(?i)from\s+({NAME})"
 
 # -- normalizers: a CASE per kind over cleaned text ------------------------------------------------------------------
+# Country names with their ISO codes.
 _COUNTRIES = {
     "sweden": "SE", "sverige": "SE", "united states": "US", "usa": "US", "united kingdom": "GB", "england": "GB",
     "germany": "DE", "deutschland": "DE", "norway": "NO", "norge": "NO", "denmark": "DK", "danmark": "DK",
     "finland": "FI", "suomi": "FI",
 }
-_HINTS = {
-    "date": "Use ISO dates (YYYY-MM-DD)",
-    "phone": "Include country code (e.g., +46)",
-    "postal": "Use 5 digits without spaces",
-    "email": "Provide a valid email (local@domain)",
-    "country_iso": "Use ISO 3166-1 alpha-2 (e.g., SE)",
-    "orgnr": "Use normalized organisation number format",
-    "decimal": "Use dot as decimal separator (e.g., 1234.56)",
-    "uuid": "Use canonical UUID (8-4-4-4-12, lowercase)",
-    "datetime": "Use ISO 8601 (YYYY-MM-DDTHH:MM:SS)",
-}
+# Forms of date-times.
 _FORMATS = (
     "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M", "%Y-%m-%dT%H:%M:%S.%f",
     "%Y-%m-%d %H:%M:%S.%f", "%d-%m-%Y %H:%M", "%d-%m-%Y %H:%M:%S",
@@ -139,7 +131,7 @@ def suggested(source: str, x: str = "value") -> str:
     each = ", ".join(f"{sql} AS n_{kind}" for kind, sql in columns.items())
     kind = "CASE " + " ".join(f"WHEN n_{k} IS NOT NULL THEN '{k}'" for k in columns) + " END"
     first = "coalesce(" + ", ".join(f"n_{k}" for k in columns) + ")"
-    hint = "CASE kind " + " ".join(f"WHEN '{k}' THEN {q(h)}" for k, h in _HINTS.items()) + " END"
+    hint = "CASE kind " + " ".join(f"WHEN '{k}' THEN {q(h)}" for k, h in HINTS.items()) + " END"
     skip = ", ".join(f"n_{k}" for k in columns)
     return (
         f"SELECT *, {hint} AS hint FROM (SELECT * EXCLUDE ({skip}), {kind} AS kind, {first} AS normalized"

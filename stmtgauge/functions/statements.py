@@ -214,6 +214,7 @@ def rewritten_token(token: Column, value: Column, compat: bool = False) -> Colum
     return F.when(bare_null, token).otherwise(literal(F.coalesce(value, undoubled)))
 
 
+# Frames of statements around what is replaced.
 _INSERT_FRAME = rf"(?isU)(insert\s+into\s+{_NAME}\s*\([^)]+\)\s*values\s*\()([^)]+)(\).*)"
 _ROWS_FRAME = rf"(?isU)(insert\s+into\s+{_NAME}\s*\([^)]+\)\s*values\s*).+"
 _UPDATE_FRAME = rf"(?isU)(update\s+{_NAME}\s+set\s+)(.+?)(\s+where\s.+)"
@@ -222,7 +223,8 @@ _UPDATE_FRAME = rf"(?isU)(update\s+{_NAME}\s+set\s+)(.+?)(\s+where\s.+)"
 def rebuilt_insert(sql: Column, literals: Column) -> Column:
     """INSERT with its first VALUES list replaced; NULL when the statement is no such INSERT."""
     frame = lambda g: F.regexp_extract(sql, _INSERT_FRAME, g)
-    return F.when(sql.rlike(_INSERT_FRAME), F.concat(frame(1), F.array_join(literals, ", "), frame(3)))
+    # The first group is never empty where the frame matches.
+    return let(frame(1), lambda head: F.when(head != "", F.concat(head, F.array_join(literals, ", "), frame(3))))
 
 
 def rebuilt_update(sql: Column, columns: Column, literals: Column) -> Column:
@@ -230,15 +232,13 @@ def rebuilt_update(sql: Column, columns: Column, literals: Column) -> Column:
     frame = lambda g: F.regexp_extract(sql, _UPDATE_FRAME, g)
     pairs = F.zip_with(columns, literals, lambda c, v: F.concat(c, F.lit(" = "), v))
     pairs = F.filter(pairs, lambda p: p.isNotNull())
-    return F.when(sql.rlike(_UPDATE_FRAME), F.concat(frame(1), F.array_join(pairs, ", "), frame(3)))
+    return let(frame(1), lambda head: F.when(head != "", F.concat(head, F.array_join(pairs, ", "), frame(3))))
 
 
 def rebuilt_rows(sql: Column, rows: Column) -> Column:
     """INSERT with all its rows replaced; text behind the rows is not kept."""
     texts = F.transform(rows, lambda row: F.concat(F.lit("("), F.array_join(row, ", "), F.lit(")")))
-    return F.when(
-        sql.rlike(_ROWS_FRAME), F.concat(F.regexp_extract(sql, _ROWS_FRAME, 1), F.array_join(texts, ", "))
-    )
+    return let(F.regexp_extract(sql, _ROWS_FRAME, 1), lambda head: F.when(head != "", F.concat(head, F.array_join(texts, ", "))))
 
 
 # -- remote procedure calls ----------------------------------------------------------------------------------------
