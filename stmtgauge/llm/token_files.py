@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from stmtgauge.llm.common import id_bounds, materialize, partitions, range_of, small, spread, table, texts_of
 from stmtgauge.sources.storage import fresh_folder
@@ -135,9 +135,17 @@ def segments(content: bytes) -> Iterator[Segment]:
 
 # -- encoding --------------------------------------------------------------------------------------------------------
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> tuple[Tokenizer, dict]:
-    with open(path, encoding="utf-8") as f:
-        return Tokenizer.from_file(path), json.load(f)
+def _tokenizer(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def _of_pretokens(path: str) -> Tokenizer:
+    """The tokenizer for texts that are pre-tokens already, normalized and with spaces in between."""
+    bare = Tokenizer.from_file(path)
+    bare.normalizer = normalizers.Sequence([])
+    to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), to_bytes])
+    return bare
 
 
 class Encoder:
@@ -149,22 +157,25 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, spec = _tokenizer(path)
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         suffix = spec["model"].get("end_of_word_suffix")
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and bool(suffix) and steps[0].get("type") == "Split"
+        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and bool(suffix) and [s.get("type") for s in steps] == ["Split", "ByteLevel"]
         if self.by_word:
             self.parted = regex.compile(steps[0]["pattern"]["Regex"] + r"|\n")
             vocab = spec["model"]["vocab"]
-            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.pretokens = _of_pretokens(path)
+            self.ends = np.zeros(self.pretokens.get_vocab_size(), bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
             self.specials = [t["content"].encode() for t in spec["added_tokens"]]
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(_tokenizer(self.path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: Iterable[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -210,7 +221,7 @@ class Encoder:
         learnt: dict[str, bytes] = {"\n": b""}
         for at in range(0, len(new), _CHUNK):
             some = new[at : at + _CHUNK]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.pretokens.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):
                 raw, ends = ids.tobytes(), (4 * ends).tolist()
