@@ -7,7 +7,7 @@ same result:
 * ``join``: each predicate becomes a left join on its key with the first rule per key, so no event is multiplied. The
   rule side is broadcast when its measured size allows, else Spark shuffles both sides and splits skewed keys. Pattern
   rules are a substring test: a list of bounded length is tested in place, a longer one goes through an equi-join on
-  three-letter pieces.
+  pieces of the patterns.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ from pyspark.sql import functions as F
 from stmtgauge.functions.text import let, nonempty
 from stmtgauge.operators.once import once
 from stmtgauge.operators.small import BROADCAST_BYTES, broadcast_if_small, byte_size
+from stmtgauge.sources.storage import materialize
 
 COMPILED_LIMIT = 64
 PATTERN_LIMIT = 4096
 PATTERN_CHARS = 256 * 1024
 #: Patterns in the first list that is tested, characters of each that the expression before it looks at.
 FIRST_LIST, BEGINNING = 8, 8
-#: Characters of the pieces by which long lists of patterns meet texts.
-PIECE = 3
+#: Characters of the pieces by which long lists of patterns meet texts: each pattern has pieces of the largest size that fits.
+PIECES = (1, 2, 3, 6, 12)
 
 # Verdict when no rule matches.
 DEFAULT_ACTION, DEFAULT_REASON, DEFAULT_CONFIDENCE = "allow", "no matching rule", 1.0
@@ -244,38 +245,49 @@ def _literal_match(m) -> Column:
 
 def _pieces(text: Column, size: int) -> Column:
     """Distinct overlapping pieces of ``size`` characters."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))."), F.lit(1)))
 
 
 def _match_by_pieces(df: DataFrame, low: Column, patterns: DataFrame, out: str, small: bool = False) -> DataFrame:
     """First pattern contained in the text, for rule lists too long to test one by one.
 
-    Texts are known by a digest of theirs, so equal texts are looked at once and rows need no key. A text that contains a
-    selector contains each piece of it: every selector of three characters or more is filed under the piece it shares
-    with the fewest others, digests meet selectors on equal pieces, and only then meet the texts again for the test. Texts
-    are never repeated per piece. A selector of one or two characters is a piece itself; the first rule of each decides.
+    Texts are known by a digest of theirs, so equal texts are looked at once and rows need no key. Of equal selectors the
+    first rule stands for all. A text that contains a selector contains each piece of it: every selector is filed under the
+    piece, of the largest of the sizes in ``PIECES`` that fits, which it shares with the fewest others, and digests meet
+    selectors on equal pieces. A selector that is a piece itself is found by that, so what comes out is bounded by the
+    length of the texts however many selectors there are; only longer ones meet the texts again for the test. Texts are
+    never repeated per piece.
     """
     anything = patterns.agg(F.min(F.when(F.col("selector") == "", F.col("m")))).first()[0]
-    long = patterns.where(F.length("selector") >= PIECE)
-    pieces = long.select("m", "selector", F.explode(_pieces(F.col("selector"), PIECE)).alias("piece"))
-    shared = pieces.groupBy("piece").agg(F.count("*").alias("n"))
-    filed = (
-        pieces.join(shared, "piece")
-        .groupBy("m", "selector")
-        .agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
-    )
+    selectors = patterns.where(F.length("selector") > 0).groupBy("selector").agg(F.min("m").alias("m"))
+    fits = F.coalesce(*[F.when(F.length("selector") >= n, F.lit(n)) for n in reversed(PIECES)])
+    # Numbers in the order of the rules, written once so that they hold: a minimum of numbers needs no sort of the matches.
+    selectors = selectors.orderBy("m").select("selector", "m", fits.alias("size"), F.monotonically_increasing_id().alias("n"))
+    selectors = materialize(selectors, "patterns")
+    small = small or byte_size(selectors) <= BROADCAST_BYTES
     few = lambda side: F.broadcast(side) if small else side
     keyed = df.withColumn("__low", low).withColumn("__id", F.md5(F.col("__low").cast("binary")))
-    texts = keyed.where(F.col("__low").isNotNull()).select("__id", "__low").dropDuplicates(["__id"])
-    in_text = lambda size: texts.select("__id", F.explode(_pieces(F.col("__low"), size)).alias("piece"))
-    candidates = in_text(PIECE).join(few(filed), "piece").select("__id", "m", "selector")
-    matched = candidates.join(texts, "__id").where(F.contains("__low", "selector")).select("__id", "m")
-    short = patterns.where(F.length("selector").between(1, PIECE - 1)).groupBy(F.col("selector").alias("piece"))
-    short = short.agg(F.min("m").alias("m"))
-    for size in [r[0] for r in short.select(F.length("piece")).distinct().collect()]:
-        of_size = few(short.where(F.length("piece") == size))
-        matched = matched.unionByName(in_text(size).join(of_size, "piece").select("__id", "m"))
-    first = matched.groupBy("__id").agg(F.min("m").alias(out))
+    # The pieces of a text cost far more than its bytes tell, so the partitions are not merged by their size.
+    spark = df.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = keyed.where(F.col("__low").isNotNull()).select("__id", "__low").repartition(tasks, "__id").dropDuplicates(["__id"])
+    matched = texts.select("__id", F.lit(0).cast("bigint").alias("n")).limit(0)
+    for size, longest in selectors.groupBy("size").agg(F.max(F.length("selector"))).collect():
+        of_size = selectors.where(F.col("size") == size)
+        cut = once(texts, {"pieces": _pieces(F.col("__low"), size)})
+        in_text = cut.select("__id", F.explode("pieces").alias("piece"))
+        whole = of_size.where(F.length("selector") == size).select("n", F.col("selector").alias("piece"))
+        matched = matched.unionByName(in_text.join(few(whole), "piece").select("__id", "n"))
+        if longest > size:
+            of_size = of_size.where(F.length("selector") > size)
+            pieces = of_size.select("n", "selector", F.explode(_pieces(F.col("selector"), size)).alias("piece"))
+            shared = pieces.groupBy("piece").agg(F.count("*").alias("often"))
+            rarest = F.min_by("piece", F.struct("often", "piece")).alias("piece")
+            filed = pieces.join(shared, "piece").groupBy("n", "selector").agg(rarest)
+            candidates = in_text.join(few(filed), "piece").select("__id", "n", "selector")
+            tested = candidates.join(texts, "__id").where(F.contains("__low", "selector"))
+            matched = matched.unionByName(tested.select("__id", "n"))
+    first = matched.groupBy("__id").agg(F.min("n").alias("n")).join(few(selectors.select("n", F.col("m").alias(out))), "n").drop("n")
     joined = keyed.join(first, "__id", "left").drop("__id", "__low")
     if anything is None:
         return joined

@@ -265,3 +265,16 @@ def test_rules_of_their_time(spark, form):
         some = spark.createDataFrame([r for r in rows if r[1] == t], events_.schema)
         want |= {r.seq: r.rule_id for r in policy.decide(some, now, form="compiled").select("seq", "decision.rule_id").collect()}
     assert got == want and len(set(want.values())) > 5
+
+
+def test_selectors_that_are_pieces_need_no_test_of_the_texts(spark, monkeypatch):
+    """Selectors that share their letters with each other but are pieces themselves meet only texts that hold them."""
+    monkeypatch.setattr(policy, "PATTERN_LIMIT", 2)
+    selectors = ["abc" + format(i, "03d") for i in range(40)] + ["abc000", "?bc😀de", "😀"]
+    rules = [rule(i, f"r{i}", "pattern", s) for i, s in enumerate(selectors)]
+    texts = ["xABC039abc007", "abc", "a😀bc😀dex", "?BC😀DE", "ab😀", "", None]
+    table = spark.createDataFrame(rules, RULE_SCHEMA)
+    decided = policy.decide(spark.createDataFrame([(t,) for t in texts], "sql_text STRING"), table, form="join")
+    assert "Contains(" not in decided._jdf.queryExecution().executedPlan().toString()
+    got = {r.sql_text: r.decision.rule_id for r in decided.collect()}
+    assert got == {t: plain_decide(rules, None, t, None, None)[-1] if t else None for t in texts}
