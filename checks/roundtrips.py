@@ -76,13 +76,15 @@ _XML = """
 """
 
 
-#: Events, rules or types in one file.
-_FILE_ROWS = 1000
+#: Rules or types in one file, and events in one of a session.
+_FILE_ROWS, _XML_ROWS = 1000, 5000
 
 
 def _xml_roots(events_: DataFrame) -> DataFrame:
     """Files of the session: each has one root element around some of the events."""
-    parts = events_.groupBy(F.pmod(F.xxhash64("value"), F.lit(-(-max(1, events_.count()) // _FILE_ROWS))).alias("part"))
+    files = -(-max(1, events_.count()) // _XML_ROWS)
+    # As many tasks as files: what a file holds is a single value of many bytes, of which a task writes one.
+    parts = events_.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(files))).repartition(files, "part").groupBy("part")
     roots = parts.agg(F.concat(F.lit("<events>"), F.array_join(F.collect_list("value"), ""), F.lit("</events>")).alias("value"))
     return roots.select("value")
 
@@ -100,13 +102,12 @@ def _(spark, sf_dir):
     return read.select("event", F.col("user").alias("user_name"), "duration_ms", "sql_text", ts)
 
 
-def _read_again(arriving: DataFrame) -> list[DataFrame]:
-    """What a reader of a ring buffer gets turn by turn: some new events, and those of the turn before once more."""
-    ends = arriving.agg(F.percentile_approx("event_id", [i / streams.BATCHES for i in range(1, streams.BATCHES)])).first()[0] or []
-    spans = zip([None, None, *ends], [*ends, None])
-    over = lambda low: F.lit(True) if low is None else F.col("event_id") > low
-    upto = lambda high: F.lit(True) if high is None else F.col("event_id") <= high
-    return [arriving.where(over(low) & upto(high)) for low, high in spans]
+def _read_again(arriving: DataFrame) -> tuple[list[DataFrame], int]:
+    """What a reader of a ring buffer gets turn by turn: some new events, and those of the turn before once more. And the
+    number of files for each turn."""
+    spans, files = streams.turns(arriving)
+    lows = [None, *[low for low, _ in spans]]
+    return [streams.between(arriving, low, high) for low, (_, high) in zip(lows, spans)], 2 * files
 
 
 _STAMPED = """SELECT event_id, concat('{{"timestamp": "', date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS'), '", "event": "', event_type,
@@ -121,9 +122,10 @@ _STAMPED = """SELECT event_id, concat('{{"timestamp": "', date_format(ts, 'yyyy-
 def _(spark, sf_dir):
     """A source that is read again in every turn, through the duplicate state into the sink by day: each event once."""
     raw, out, checkpoint = (fresh_folder(spark, n) for n in ("raw", "days", "checkpoint"))
-    for turn in _read_again(V.sql_view(spark, sf_dir, _STAMPED, "events")):
-        turn.select("value").coalesce(1).write.mode("append").text(raw)
-    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(raw)
+    turns, files = _read_again(V.sql_view(spark, sf_dir, _STAMPED, "events"))
+    for turn in turns:
+        streams.append_files(turn.select("value"), raw, "text", files)
+    lines = spark.readStream.option("maxFilesPerTrigger", files).text(raw)
     arriving = events.parse_json_lines(lines, events.EVENT_FIELDS).withColumn("ts", F.col("timestamp").try_cast("timestamp"))
     events.sink_query_events(events.without_repeats(arriving, "1 minute"), out, checkpoint)
     read = spark.read.schema("event STRING, user STRING, row_count BIGINT, day BIGINT").json(out)
@@ -140,9 +142,11 @@ _XML_AGAIN = """
 def _(spark, sf_dir):
     """Session files that repeat the events of the turn before."""
     raw, out, checkpoint = (fresh_folder(spark, n) for n in ("xml", "days", "checkpoint"))
-    for turn in _read_again(V.sql_view(spark, sf_dir, _XML_AGAIN, "events")):
+    for turn in _read_again(V.sql_view(spark, sf_dir, _XML_AGAIN, "events"))[0]:
         _xml_roots(turn).write.mode("append").option("maxRecordsPerFile", 1).text(raw)
-    arriving = events.read_event_xml(spark, raw, streaming=True, max_files=4)
+    # The number of batches follows the turns and not the events: each takes about as many files as a turn has.
+    most = -(-len(spark.read.text(raw).inputFiles()) // streams.BATCHES)
+    arriving = events.read_event_xml(spark, raw, streaming=True, max_files=most)
     # The files of a turn come in any order, so a turn must fit into the time that is remembered.
     events.sink_query_events(events.without_repeats(arriving, "60 days"), out, checkpoint)
     return spark.read.schema("event STRING, duration_ms BIGINT, day BIGINT").json(out).select("event", "duration_ms")

@@ -7,23 +7,44 @@ from pyspark.sql import functions as F
 
 from checks import views as V
 from stmtgauge.operators import correct
-from stmtgauge.sources.storage import fresh_folder
+from stmtgauge.sources.storage import fresh_folder, if_present
 
 
-#: Micro-batches into which the events are dealt.
-BATCHES = 5
+#: Micro-batches into which the events are dealt, and events in one of their files.
+BATCHES, FILE_ROWS = 5, 20_000
+
+
+def turns(events: DataFrame) -> tuple[list[tuple], int]:
+    """Bounds of ``event_id`` (over, up to) that deal the events into batches, and the number of files of each."""
+    shares = [i / BATCHES for i in range(1, BATCHES)]
+    ends, n = events.agg(F.percentile_approx("event_id", shares), F.count("*")).first()
+    ends = ends or []
+    return list(zip([None, *ends], [*ends, None])), max(1, n // (BATCHES * FILE_ROWS))
+
+
+def between(events: DataFrame, low, high) -> DataFrame:
+    part = events if low is None else events.where(F.col("event_id") > low)
+    return part if high is None else part.where(F.col("event_id") <= high)
+
+
+def append_files(part: DataFrame, folder: str, kind: str, files: int) -> None:
+    """Append exactly so many files, which many tasks write: a stream that takes as many at once gets all of ``part``."""
+    spark = part.sparkSession
+    there = lambda: len(spark.read.format(kind).schema(part.schema).load(folder).inputFiles())
+    before = there() if if_present(lambda: spark.read.format(kind).schema(part.schema).load(folder)) is not None else 0
+    part.repartition(files).write.mode("append").format(kind).save(folder)
+    for _ in range(before + files - there()):  # fewer rows than files
+        part.limit(0).coalesce(1).write.mode("append").format(kind).save(folder)
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as they would arrive: files in order of event id, one per batch."""
+    """The events as they would arrive: files in order of event id, as many to a batch as its events need."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     folder = fresh_folder(spark, "events")
-    ends = events.agg(F.percentile_approx("event_id", [i / BATCHES for i in range(1, BATCHES)])).first()[0] or []
-    for low, high in zip([None, *ends], [*ends, None]):  # one after the other: files are read in order of their age
-        part = events if low is None else events.where(F.col("event_id") > low)
-        part = part if high is None else part.where(F.col("event_id") <= high)
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    spans, files = turns(events)
+    for low, high in spans:  # one after the other: files are read in order of their age
+        append_files(between(events, low, high), folder, "parquet", files)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
