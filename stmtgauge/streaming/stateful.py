@@ -84,21 +84,20 @@ def _joined(patience_ms: int | None):
             held = pd.DataFrame({"seq": seq, "spid": spid, "payload": payload, "eom": 0})
             rows = pd.concat([held, rows], ignore_index=True)
         rows = rows.sort_values("seq", kind="stable", ignore_index=True)
-        ends = np.flatnonzero(rows["eom"].to_numpy() != 0)
-        start, out = 0, []
-        for end in ends + 1:
-            spid = rows["spid"].iloc[end - 1]
-            out.append((key[0], key[1], rows["seq"].iloc[end - 1], spid, b"".join(rows["payload"].iloc[start:end])))
-            start = end
-        rest = rows.iloc[start:]
+        last = np.flatnonzero(rows["eom"].to_numpy() != 0)
+        ends, payload = (last + 1).tolist(), rows["payload"].tolist()
+        whole = [b"".join(payload[start:end]) for start, end in zip([0, *ends], ends)]
+        rest = rows.iloc[ends[-1] if ends else 0 :]
         if len(rest):
             state.update((rest["seq"].tolist(), rest["spid"].tolist(), rest["payload"].tolist()))
             if patience_ms is not None:
                 state.setTimeoutTimestamp(max(int(latest.timestamp() * 1000), state.getCurrentWatermarkMs()) + patience_ms)
         elif state.exists:
             state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=["conn_id", "type", "end_seq", "spid", "payload"])
+        if ends:
+            found = rows.iloc[last]
+            out = {"end_seq": found["seq"].to_numpy(), "spid": found["spid"].to_numpy(), "payload": whole}
+            yield pd.DataFrame({"conn_id": key[0], "type": key[1], **out})
 
     return run
 

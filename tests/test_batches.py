@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from checks import catalog, roundtrips, streams
+from stmtgauge.streaming import stateful
 
 
 @pytest.fixture
@@ -50,3 +55,20 @@ def test_session_files_read_again_take_as_many_batches_as_turns(spark, folder, m
     read = catalog.QUERIES["source_xml_read_again"](spark, folder)
     assert sorted(r.duration_ms for r in read.collect()) == list(range(2000))
     assert begun[0].lastProgress["batchId"] <= streams.BATCHES + 1
+
+
+def test_messages_of_a_busy_connection_are_cut_without_looking_rows_up():
+    class State:
+        exists = hasTimedOut = False
+
+        def update(self, held):
+            self.held = held
+
+    n, state = 100_000, State()
+    rows = pd.DataFrame({"seq": np.arange(n), "spid": 7, "payload": [b"%d;" % i for i in range(n)], "eom": np.arange(n) % 2, "ts": pd.NaT})
+    rows = pd.concat([rows, rows.tail(1).assign(seq=n, eom=0)]).sample(frac=1, random_state=1)
+    begun = time.process_time()
+    (found,) = stateful._joined(None)((0, 1), iter([rows]), state)
+    assert time.process_time() - begun < 2
+    assert found["end_seq"].tolist() == list(range(1, n, 2)) and found["payload"].iloc[1] == b"2;3;"
+    assert state.held == ([n], [7], [b"99999;"])
