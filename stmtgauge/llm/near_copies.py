@@ -1,15 +1,19 @@
 """Near-dedup by the Jaccard similarity of word shingles.
 
-Texts of equal shingle sets are one entry. Entries meet under bands of MinHash values: two sets of similarity ``s`` share
-one of ``BANDS`` bands of ``DEEP`` values with probability 1 - (1 - s^DEEP)^BANDS, which is 0.999997 at 0.8 and rises from
-there. Who meets is verified by the sets themselves, so no link is wrong.
+Texts of equal shingle sets are one entry. Each set has a row of 64-bit SimHash fingerprints, over hashes of different seeds,
+and entries meet in the Gray-order index (``simhash.neighbourhoods``): in some fingerprint a whole block of bits must agree
+and at most ``NEAR`` bits of all may differ. Who meets is verified by the sets themselves, so no link is wrong. Two sets of
+similarity 0.8 differ in a bit with probability 0.15 and so share one fingerprint's block and radius with 0.43 (blocks of 12
+bits), some of 20 with 0.999985; at 0.85 they miss each other once in 60 million. Sets of up to ``FEW`` shingles, where a
+majority is easily turned, have twice as many fingerprints. Blocks are wider for more documents, so that a block's value is
+shared by some hundreds of random entries at most; wider blocks take more fingerprints to be as sure.
 
 A band that many entries share is not compared pair by pair. All meet the one in their midst first, which connects most
 copies of a text. Then entries go that cannot be similar to anybody, because too many of their shingles are their own. The
 rest meets one member outside the first component, and what is apart even then meets in parts of bounded size, where one
 product of matrices gives the overlaps of all pairs and only links that connect something new come out.
 
-Fingerprints of 64 bits cannot find these links: at similarity 0.8 they differ in 10 bits on average and in 17 at times,
+One fingerprint of 64 bits cannot find these links: at similarity 0.8 it differs in 10 bits on average and in 17 at times,
 and blocks of which one must agree would be four bits wide.
 """
 
@@ -27,16 +31,19 @@ from pyspark.sql import functions as F
 
 from stmtgauge.llm.common import materialize, schema_with, short_batches, small, spread, texts_of, with_columns, written
 from stmtgauge.llm.components import components
-from stmtgauge.llm.simhash import _union, without_others
+from stmtgauge.llm.simhash import _mixed, _union, neighbourhoods, without_others
 from stmtgauge.sources.storage import remove
 
 WORDS, LEAST, SEED = 5, 0.8, 42
-BANDS, DEEP = 24, 4
+#: Differing bits up to which fingerprints are near, and the size of sets that have twice as many of them.
+NEAR, FEW = 10, 5
+#: Number of documents up to which blocks have so many bits and a set so many fingerprints.
+BLOCKS = [(1 << 20, 12, 20), (1 << 23, 14, 32), (1 << 63, 16, 43)]
 #: Entries of a band that are compared with each other or with another part in one task.
 PART_ROWS = 512
 _BLOCK, _PACK, _WIDE = 1 << 16, 1 << 20, 1 << 13
-_RANDOM = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * DEEP), np.uint64)
-_FLIP, _ODD = _RANDOM[0], _RANDOM[1] | np.uint64(1)
+_SEEDS = np.random.default_rng(SEED).integers(0, 2**64, 2 * BLOCKS[-1][2], np.uint64)
+_EIGHTH = np.uint64(0x0101010101010101)
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -49,41 +56,45 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(hash64, pieces), np.uint64, len(found) - words + 1))
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """Keys under which a set is filed; none for the empty set."""
+def fingerprints(found: np.ndarray, number: int) -> list[int]:
+    """SimHash of a set by ``number`` seeds, as signed words: bits that over half of the seeded hashes have. None for the
+    empty set."""
     if not len(found):
         return []
-    least = np.empty(BANDS * DEEP, np.uint64)
-    step = max(1, _BLOCK // len(found))
-    for at in range(0, len(least), step):
-        least[at : at + step] = ((found ^ _FLIP[at : at + step, None]) * _ODD[at : at + step, None]).min(axis=1)
-    keys = [xxhash.xxh64_intdigest(x.tobytes(), seed=i) for i, x in enumerate(least.reshape(BANDS, DEEP))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+    number *= 2 if len(found) <= FEW else 1
+    ones, step = np.zeros((number, 8, 8), np.int64), max(255, _BLOCK // number)
+    for at in range(0, len(found), step):
+        h = _mixed(found[None, at : at + step] ^ _SEEDS[:number, None])
+        parts = np.arange(0, h.shape[1], 255)  # eight counters of a byte in a word
+        for bit in range(8):
+            sums = np.add.reduceat((h >> np.uint64(bit)) & _EIGHTH, parts, axis=1)
+            ones[:, bit] += sums.view(np.uint8).reshape(number, len(parts), 8).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * ones.reshape(number, 64) > len(found), axis=1).view(np.int64).ravel().tolist()
 
 
-def _filed(docs: DataFrame, words: int) -> DataFrame:
-    """Add ``__digest`` and size ``__n`` of the shingle set and ``__bands``. No shuffle."""
+def _filed(docs: DataFrame, words: int, number: int) -> DataFrame:
+    """Add ``__digest`` and size ``__n`` of the shingle set and ``__fps``, its fingerprints. No shuffle."""
 
     def run(batches):
         for batch in batches:
-            digest, n, keys = [], [], []
+            digest, n, fps = [], [], []
             for t in texts_of(batch, "text"):
                 found = shingles(t, words)
                 digest.append(xxhash.xxh3_128_digest(found.tobytes()))
                 n.append(len(found))
-                keys.append(bands(found))
+                fps.append(fingerprints(found, number))
             added = {"__digest": pa.array(digest, pa.binary()), "__n": pa.array(n, pa.int64())}
-            yield with_columns(batch, added | {"__bands": pa.array(keys, pa.list_(pa.int64()))})
+            yield with_columns(batch, added | {"__fps": pa.array(fps, pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, schema_with(docs, __digest="binary", __n="bigint", __bands="array<bigint>"))
+    return docs.mapInArrow(run, schema_with(docs, __digest="binary", __n="bigint", __fps="array<bigint>"))
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """``id`` and ``shingles`` (ascending) of the texts. No shuffle."""
+    """``id``, ``n`` and ``shingles`` (ascending) of the texts. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, done, held, size = batch.column("id"), 0, [], 0
+            ids, n, done, held, size = batch.column("id"), batch.column("n"), 0, [], 0
             for t in [*texts_of(batch, "text"), None]:
                 if t is not None:
                     held.append(shingles(t, words).view(np.int64))
@@ -91,10 +102,11 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
                 if held and (t is None or size >= _PACK):
                     ends = pa.array(np.cumsum([0, *map(len, held)]), pa.int32())
                     lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(done, len(held)), lists], ["id", "shingles"])
+                    own = [x.slice(done, len(held)) for x in (ids, n)]
+                    yield pa.RecordBatch.from_arrays([*own, lists], ["id", "n", "shingles"])
                     done, held, size = done + len(held), [], 0
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
+    return texts.select("id", "n", "text").mapInArrow(run, "id bigint, n bigint, shingles array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -147,23 +159,22 @@ def _compared(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 class _Bands:
-    """Who shares a band with whom, and which components are known so far.
+    """Who shares a band with whom, and which components are known so far. Bands are the neighbourhoods in the index.
 
     ``at`` has a row per entry and band it shares with another component: ``id``, ``n`` (size of its set), ``key``,
     ``score`` (members of all its bands, which is largest in the midst of a group of copies), ``c`` (its component).
     """
 
-    def __init__(self, entries: DataFrame, texts: DataFrame, words: int, least: float):
-        self.least, self.spark, self.edges, self.paths = least, entries.sparkSession, None, []
-        at = entries.select("id", "n", F.explode("bands").alias("key"))
-        met = self.keep(at.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "keys")
-        at = self.keep(at.join(small(met, met.count(), 24), "key"), "bands")
+    def __init__(self, near: DataFrame, texts: DataFrame, words: int, least: float):
+        self.least, self.spark, self.edges, self.paths = least, near.sparkSession, None, []
+        at = self.keep(near, "bands")
         score = self.keep(at.groupBy("id").agg(F.sum("m").alias("score")), "scores")
         n = score.count()
         # Texts stay where they are as long as the ids of those needed may be broadcast.
         self.sets = self.keep(_sets(texts.join(small(score.select("id"), n, 16), "id", "left_semi"), words), "sets")
         self.groups = None
-        at = at.join(small(score, n, 24), "id").select("id", "n", "key", "score", F.col("id").alias("c"))
+        known = small(self.sets.select("id", "n").join(score, "id"), n, 32)
+        at = at.select("id", "key").join(known, "id").select("id", "n", "key", "score", F.col("id").alias("c"))
         self.at = self.keep(at, "bands")
 
     def keep(self, df: DataFrame, purpose: str) -> DataFrame:
@@ -233,9 +244,9 @@ class _Bands:
         self.link(found)
 
 
-def _linked(entries: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """``node`` and ``component`` of the entries (``id``, ``n``, ``bands``) that are linked with another one."""
-    bands_ = _Bands(entries, texts, words, least)
+def _linked(near: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """``node`` and ``component`` of the entries that are linked with another one, out of those that share a ``key``."""
+    bands_ = _Bands(near, texts, words, least)
     if bands_.meet_centre(other=False) and bands_.without_loners() and bands_.meet_centre(other=True) and bands_.without_loners():
         bands_.meet_all()
     groups = materialize(bands_.groups, "groups")
@@ -248,21 +259,24 @@ def one_of_each_group(docs: DataFrame, words: int = WORDS, least: float = LEAST)
     if several bear it.
 
     Rows are linked when their sets of ``words``-word shingles (A-Z in lower case) have a Jaccard similarity of ``least``
-    or more; links are followed on. Texts of no words, null ones too, are copies of each other. Recall holds for
-    ``least`` of 0.8 and up. An empty table gives no rows.
+    or more; links are followed on. Texts of no words, null ones too, are copies of each other. Links come from the
+    Gray-order index of SimHash fingerprints and are verified; its recall holds for ``least`` of 0.8 and up. An empty
+    table gives no rows.
     """
     if least < LEAST:
-        raise ValueError(f"the bands are made for similarities of {LEAST} or more")
-    own = ["__row", "__digest", "__n", "__bands"]
+        raise ValueError(f"the fingerprints are made for similarities of {LEAST} or more")
+    own = ["__row", "__digest", "__n", "__fps"]
     names = {c: f"{c}_given" for c in own}
     named = docs.withColumnsRenamed(names).withColumn("__row", F.monotonically_increasing_id())
+    rows = docs.count()
+    _, width, number = next(x for x in BLOCKS if rows <= x[0])
     with short_batches(docs.sparkSession):
-        held = materialize(_filed(spread(named), words), "documents")
+        held = materialize(_filed(spread(named), words, number), "documents")
     first = materialize(held.groupBy("__digest").agg(F.min("__row").alias("id")), "entries")
-    sets = held.select(F.col("__row").alias("id"), F.col("__n").alias("n"), F.col("__bands").alias("bands"))
-    texts = held.select(F.col("__row").alias("id"), "text")
-    entries = sets.join(small(first.select("id"), first.count(), 16), "id", "left_semi")
-    groups = _linked(entries, texts, words, least)
+    entries, texts = first.count(), held.select(F.col("__row").alias("id"), F.col("__n").alias("n"), "text")
+    fps = held.select(F.col("__row").alias("id"), F.col("__fps").alias("fps"))
+    fps = fps.join(small(first.select("id"), entries, 16), "id", "left_semi")
+    groups = _linked(neighbourhoods(fps, entries, number, width, NEAR), texts, words, least)
     roots = first.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
         "__digest", F.coalesce("component", "id").alias("root")
     )

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from stmtgauge.llm import near_copies
+from stmtgauge.llm import near_copies, simhash
 from tests.llm import brute
 
 
@@ -77,3 +77,79 @@ def test_null_ids_and_repeated_rows(spark):
     rows = [(None, "a b c d e f g"), (7, "A b c d e f g"), (7, "a b c d e f g"), (None, "nobody else says this at all")]
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
     assert sorted(str(r.doc_id) for r in near_copies.one_of_each_group(df).collect()) == ["7", "None"]
+
+
+def test_links_come_from_the_gray_order_index(spark, monkeypatch):
+    """What the index does not bring together stays apart, whatever the texts; what it does is verified."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:-1], f"end{i}"])) for i in range(4)] + [(9, "nobody else says this")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, df, "").collect())
+    assert kept() == [0, 9]
+    nobody = lambda fps, *_: fps.selectExpr("id", "id AS key", "2L AS m").limit(0)
+    monkeypatch.setattr(near_copies, "neighbourhoods", nobody)
+    assert kept() == [0, 1, 2, 3, 9]
+    everybody = lambda fps, *_: fps.selectExpr("id", "7L AS key", "5L AS m")
+    monkeypatch.setattr(near_copies, "neighbourhoods", everybody)
+    assert kept() == [0, 9]
+
+
+@pytest.mark.parametrize("split", [40, 200_000])
+@pytest.mark.parametrize("width", [12, 16])
+def test_neighbourhoods_hold_all_near_pairs_and_no_others(spark, monkeypatch, split, width):
+    monkeypatch.setattr(simhash, "SPLIT_ROWS", split)
+    rng = np.random.default_rng(4)
+    base, rows = rng.integers(0, 2**64, (12, 3), np.uint64), []
+    for i in range(240):
+        noise = rng.integers(0, 2**64, (5, 3), np.uint64)
+        rows.append(base[i % 12] ^ np.bitwise_and.reduce(noise[: rng.integers(2, 6)], axis=0))
+    fps = np.array(rows)
+    df = spark.createDataFrame([(1000 + i, x) for i, x in enumerate(fps.view(np.int64).tolist())], "id BIGINT, fps ARRAY<BIGINT>")
+    got = simhash.neighbourhoods(df.union(spark.sql("SELECT 1L, array()")), 241, 3, width, 10).collect()
+    shared, members = set(), {}
+    for r in got:
+        members.setdefault(r.key, []).append(r.id - 1000)
+    for r in got:
+        assert len(members[r.key]) >= 2 and r.m % len(members[r.key]) == 0
+    assert len({tuple(sorted(x)) for x in members.values()}) == len(members)
+    diff = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    block = [(fps[:, None] ^ fps[None, :]) >> np.uint64(width * i) & np.uint64((1 << width) - 1) == 0 for i in range(64 // width)]
+    near = ((diff <= 10) & np.any(block, axis=0)).any(axis=2)
+    for ids in members.values():
+        shared |= {(a, b) for a in ids for b in ids if a < b}
+        seen = {ids[0]}  # each neighbourhood hangs together by near pairs
+        while grown := {b for a in seen for b in ids if near[a, b]} - seen:
+            seen |= grown
+        assert seen == set(ids)
+    wanted = {(a, b) for a in range(240) for b in range(a + 1, 240) if near[a, b]}
+    assert wanted <= shared and 300 < len(wanted) < 240 * 239 / 4
+
+
+@pytest.mark.parametrize("width, number", [x[1:] for x in near_copies.BLOCKS])
+@pytest.mark.parametrize("common, one, two", [(4, 0, 1), (8, 1, 1), (80, 10, 10), (320, 40, 40), (320, 0, 80)])
+def test_fingerprints_of_similar_sets_meet(width, number, common, one, two):
+    """Sets of similarity 0.8 share a block and the radius in more fingerprints than a miss of all allows for."""
+    rng, met, n = np.random.default_rng(5), 0, 40
+    for _ in range(n):
+        found = rng.integers(0, 2**64, common + one + two, np.uint64)
+        a, b = found[: common + one], np.r_[found[:common], found[common + one :]]
+        d = np.array(near_copies.fingerprints(a, number)).view(np.uint64) ^ np.array(near_copies.fingerprints(b, number)).view(np.uint64)
+        same = np.any([d >> np.uint64(width * i) & np.uint64((1 << width) - 1) == 0 for i in range(64 // width)], axis=0)
+        hits = (same & (np.bitwise_count(d) <= near_copies.NEAR)).sum()
+        met += hits / n
+        assert hits
+    assert met > 6  # on average; no hit at all then has a probability of some e^-7 at most
+
+
+def test_fingerprints_are_majorities():
+    found = np.random.default_rng(6).integers(0, 2**64, 5000, np.uint64)
+    for some in (found[:1], found[:7], found):
+        got = np.array(near_copies.fingerprints(some, 3)).view(np.uint64)
+        assert len(got) == (6 if len(some) <= near_copies.FEW else 3) and len(set(got.tolist())) == len(got)
+        for fp, seed in zip(got, near_copies._SEEDS):
+            h = some ^ seed
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+            assert np.bitwise_count(fp) == sum(2 * int((h >> np.uint64(i) & np.uint64(1)).sum()) > len(some) for i in range(64))
+    assert near_copies.fingerprints(found[:0], 3) == []
