@@ -5,8 +5,9 @@ and entries meet in the Gray-order index (``simhash.neighbourhoods``): in some f
 and at most ``NEAR`` bits of all may differ. Who meets is verified by the sets themselves, so no link is wrong. Two sets of
 similarity 0.8 differ in a bit with probability 0.15 and so share one fingerprint's block and radius with 0.43 (blocks of 12
 bits), some of 20 with 0.999985; at 0.85 they miss each other once in 60 million. Sets of up to ``FEW`` shingles, where a
-majority is easily turned, have twice as many fingerprints. Blocks are wider for more documents, so that a block's value is
-shared by some hundreds of random entries at most; wider blocks take more fingerprints to be as sure.
+majority is easily turned, have twice as many fingerprints. Blocks are wider for more documents, so that up to some
+tens of millions of them a block's value is shared by some hundreds of random entries; wider blocks take more fingerprints to
+be as sure.
 
 A band that many entries share is not compared pair by pair. All meet the one in their midst first, which connects most
 copies of a text. Then entries go that cannot be similar to anybody, because too many of their shingles are their own. The
