@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from stmtgauge.llm import line_quality, mixing, near_copies, substring
 from stmtgauge.llm.byte_bpe import encoded
-from stmtgauge.llm.common import spread, table
-from stmtgauge.sources.storage import materialize
+from stmtgauge.llm.common import spread, table, written
+from stmtgauge.sources.storage import remove
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder before the next reads it; what a stage wrote goes when
+    the next one has been written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+        docs, path = written(stage(spark, docs, sf_dir), "stage")
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

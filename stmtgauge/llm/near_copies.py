@@ -90,24 +90,64 @@ def _filed(docs: DataFrame, words: int, number: int) -> DataFrame:
     return docs.mapInArrow(run, schema_with(docs, __digest="binary", __n="bigint", __fps="array<bigint>"))
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """For each value of the lowest bits whether an odd number of members has it; there are more values than members, 64 at
+    least. Sets differ in at least as many members as their sketches in bits."""
+    bits = 1 << max(6, len(found).bit_length())
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(one: bytes, two: bytes) -> int:
+    """Number of members that at least are in only one of two sets, by their sketches; the longer one is folded."""
+    x, y = sorted((np.frombuffer(s, np.uint64) for s in (one, two)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)))).sum())
+
+
 def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """``id``, ``n`` and ``shingles`` (ascending) of the texts. No shuffle."""
+    """``id``, ``n``, ``sketch`` and ``shingles`` (ascending) of the texts. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, n, done, held, size = batch.column("id"), batch.column("n"), 0, [], 0
             for t in [*texts_of(batch, "text"), None]:
                 if t is not None:
-                    held.append(shingles(t, words).view(np.int64))
+                    held.append(shingles(t, words))
                     size += len(held[-1])
                 if held and (t is None or size >= _PACK):
                     ends = pa.array(np.cumsum([0, *map(len, held)]), pa.int32())
-                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held)))
+                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held).view(np.int64)))
                     own = [x.slice(done, len(held)) for x in (ids, n)]
-                    yield pa.RecordBatch.from_arrays([*own, lists], ["id", "n", "shingles"])
+                    own.append(pa.array(map(sketch, held), pa.binary()))
+                    yield pa.RecordBatch.from_arrays([*own, lists], ["id", "n", "sketch", "shingles"])
                     done, held, size = done + len(held), [], 0
 
-    return texts.select("id", "n", "text").mapInArrow(run, "id bigint, n bigint, shingles array<bigint>")
+    return texts.select("id", "n", "text").mapInArrow(run, "id bigint, n bigint, sketch binary, shingles array<bigint>")
+
+
+def _of_pairs(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """``a`` and ``b`` of the pairs with ``column`` of the sets of both, as ``t`` and ``u``. Of the sets only those of the
+    pairs are shuffled, as long as the pairs may be broadcast."""
+    n = pairs.count()
+    met = small(pairs, n, 24).join(sets.select(F.col("id").alias("b"), F.col(column).alias("u")), "b")
+    first = sets.join(small(pairs.select(F.col("a").alias("id")).distinct(), n, 16), "id", "left_semi")
+    return met.join(first.select(F.col("id").alias("a"), F.col(column).alias("t")), "a").select("a", "b", "t", "u")
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sketches do not rule out a similarity of ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for t, u, n in zip(batch.column("t"), batch.column("u"), batch.column("n").to_pylist()):
+                most = (n - apart(t.as_py(), u.as_py())) / 2  # members in common
+                near.append(most >= least * (n - most))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    whole = sets.select("id", F.struct("sketch", "n").alias("s"))
+    met = _of_pairs(pairs, whole, "s").select("a", "b", "t.sketch", F.col("u.sketch").alias("u"), (F.col("t.n") + F.col("u.n")).alias("n"))
+    return met.withColumnRenamed("sketch", "t").mapInArrow(run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -122,9 +162,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 near.append(both >= least * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    met = small(pairs, pairs.count(), 24).join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("u")), "b")
-    met = met.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("t")), "a")
-    return met.select("a", "b", "t", "u").mapInArrow(run, "a bigint, b bigint")
+    return _of_pairs(pairs, sets, "shingles").mapInArrow(run, "a bigint, b bigint")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -145,6 +183,29 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _with_partner(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The rows whose sketches do not rule out a similarity of ``least`` (over a half) to one of another component."""
+    n, label, found = pdf["n"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64), np.zeros(len(pdf), bool)
+    words = np.array([len(s) // 8 for s in pdf["sketch"]])
+    rows = {w: np.flatnonzero(words == w) for w in np.unique(words).tolist()}
+    bits = {w: np.frombuffer(b"".join(pdf["sketch"].iloc[at]), np.uint64).reshape(-1, w) for w, at in rows.items()}
+    for w, one in rows.items():
+        for v in (w, 2 * w):  # sketches of other lengths are of sets more than twice as large
+            if v not in rows:
+                continue
+            two = rows[v]
+            folded = bits[v][:, :w] ^ bits[v][:, w:] if v > w else bits[v]
+            alone = np.zeros((len(one), len(two)), np.int32)
+            for x, y in zip(bits[w].T, folded.T):
+                alone += np.bitwise_count(x[:, None] ^ y[None, :])
+            whole = n[one][:, None] + n[two][None, :]
+            most = (whole - alone) / 2  # members in common
+            near = (most >= least * (whole - most)) & (label[one][:, None] != label[two][None, :])
+            found[one[near.any(axis=1)]] = True
+            found[two[near.any(axis=0)]] = True
+    return pdf.loc[found, ["key", "id", "c", "low", "high"]]
+
+
 def _compared(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     """Links between members of different components that connect all whose sets are similar."""
     ids, label = pdf["id"].to_numpy(np.int64), np.unique(pdf["c"].to_numpy(np.int64), return_index=True, return_inverse=True)
@@ -162,20 +223,20 @@ def _compared(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
 class _Bands:
     """Who shares a band with whom, and which components are known so far. Bands are the neighbourhoods in the index.
 
-    ``at`` has a row per entry and band it shares with another component: ``id``, ``n`` (size of its set), ``key``,
-    ``score`` (members of all its bands, which is largest in the midst of a group of copies), ``c`` (its component).
+    ``at`` has a row per entry and band it shares with another component: ``id``, ``n`` (size of its set), ``key``, ``m``
+    (its members), ``score`` (members of all its bands, which is largest in the midst of a group of copies), ``c`` (its component).
     """
 
     def __init__(self, near: DataFrame, texts: DataFrame, words: int, least: float):
         self.least, self.spark, self.edges, self.paths = least, near.sparkSession, None, []
         at = self.keep(near, "bands")
         score = self.keep(at.groupBy("id").agg(F.sum("m").alias("score")), "scores")
-        n = score.count()
+        self.n = n = score.count()
         # Texts stay where they are as long as the ids of those needed may be broadcast.
         self.sets = self.keep(_sets(texts.join(small(score.select("id"), n, 16), "id", "left_semi"), words), "sets")
         self.groups = None
         known = small(self.sets.select("id", "n").join(score, "id"), n, 32)
-        at = at.select("id", "key").join(known, "id").select("id", "n", "key", "score", F.col("id").alias("c"))
+        at = at.join(known, "id").select("id", "n", "key", "m", "score", F.col("id").alias("c"))
         self.at = self.keep(at, "bands")
 
     def keep(self, df: DataFrame, purpose: str) -> DataFrame:
@@ -189,6 +250,11 @@ class _Bands:
         for path in self.paths:
             remove(self.spark, path)
 
+    def of(self, column: str, members: DataFrame) -> DataFrame:
+        """``id`` and ``column`` of the sets of ``members``; others are not shuffled if the ids may be broadcast."""
+        ids = small(members.select("id").distinct(), self.n, 16)
+        return self.sets.select("id", column).join(ids, "id", "left_semi")
+
     def link(self, found: DataFrame) -> bool:
         """Take up new links; whether bands of several components are left."""
         found = self.keep(found, "links")
@@ -205,8 +271,9 @@ class _Bands:
         self.at = self.keep(at.join(several.select("key"), "key"), "bands")
         return not self.at.isEmpty()
 
-    def meet_centre(self, other: bool) -> bool:
-        """All members of a band meet the one of the largest score, or of those outside its component the one that is."""
+    def meet_centre(self, other: bool = False, once: bool = False) -> bool:
+        """All members of a band meet the one of the largest score, or of those outside its component the one that is. With
+        ``once`` everyone does so in one band only, that of the most members: a row per entry, however many bands it has."""
         rank = F.struct(-F.col("score"), F.xxhash64("id"), "id")
         first = F.min_by(F.struct("id", "n", "c"), rank)
         centre = self.at.groupBy("key").agg(first.alias("o"))
@@ -216,8 +283,12 @@ class _Bands:
         centre = centre.select("key", F.col("o.id").alias("id2"), F.col("o.n").alias("n2"), F.col("o.c").alias("c2"))
         similar = F.least("n", "n2") >= F.lit(self.least) * F.greatest("n", "n2")
         pair = [F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")]
-        pairs = self.at.join(centre, "key").where((F.col("c") != F.col("c2")) & similar).select(*pair).distinct()
-        return self.link(_verified(self.keep(pairs, "pairs"), self.sets, self.least))
+        at = self.at
+        if once:
+            at = at.groupBy("id", "n", "c").agg(F.max_by("key", F.struct("m", "key")).alias("key"))
+        pairs = at.join(centre, "key").where((F.col("c") != F.col("c2")) & similar).select(*pair).distinct()
+        near = self.keep(_possible(self.keep(pairs, "pairs"), self.sets, self.least), "pairs")
+        return self.link(_verified(near, self.sets, self.least))
 
     def without_loners(self) -> bool:
         """Leave entries that hold too many shingles of their own to be similar to any other one of their bands.
@@ -227,7 +298,7 @@ class _Bands:
         """
         sizes = self.at.groupBy("key").agg(F.min("n").alias("low"))
         low = self.at.join(sizes, "key").groupBy("id", "n", "c").agg(F.min("low").alias("low"))
-        own = self.sets.join(low.select("id"), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
+        own = self.sets.join(small(low.select("id"), self.n, 16), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
         own = own.groupBy("s").agg(F.count("*").alias("m"), F.min("id").alias("id")).where("m = 1")
         own = own.groupBy("id").agg(F.count("*").alias("u"))
         low = low.join(own, "id").withColumn("low", F.greatest("low", F.lit(self.least) * F.col("n")))
@@ -235,21 +306,27 @@ class _Bands:
         return self.narrow(self.at.join(self.keep(loners, "loners"), "id", "left_anti"))
 
     def meet_all(self) -> None:
-        """Members of a band that are still apart meet each other, in pairs of parts of bounded size."""
+        """Members of a band that are still apart meet each other, in pairs of parts of bounded size: by their sketches first,
+        then those by their sets that may be similar to one of another component."""
         parts = self.at.groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
         own = F.pmod(F.xxhash64("id"), "parts").cast("int")
-        tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, own), F.greatest(o, own)))
-        dealt = self.at.join(parts, "key").select("key", "id", "c", F.explode(tasks).alias("task")).join(self.sets, "id")
-        least = self.least
-        found = dealt.groupBy("key", "task").applyInPandas(lambda pdf: _compared(pdf, least), "a bigint, b bigint")
+        others = F.sequence(F.lit(0), F.col("parts") - 1)
+        tasks = F.transform(others, lambda o: F.struct(F.least(o, own).alias("low"), F.greatest(o, own).alias("high")))
+        dealt = self.at.join(parts, "key").select("key", "id", "n", "c", F.inline(tasks))
+        least, schema = self.least, "key bigint, id bigint, c bigint, low int, high int"
+        sketched = dealt.join(self.of("sketch", self.at), "id").groupBy("key", "low", "high")
+        near = self.keep(sketched.applyInPandas(lambda pdf: _with_partner(pdf, least), schema), "near")
+        near = near.join(self.of("shingles", near), "id").groupBy("key", "low", "high")
+        found = near.applyInPandas(lambda pdf: _compared(pdf, least), "a bigint, b bigint")
         self.link(found)
 
 
 def _linked(near: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """``node`` and ``component`` of the entries that are linked with another one, out of those that share a ``key``."""
     bands_ = _Bands(near, texts, words, least)
-    if bands_.meet_centre(other=False) and bands_.without_loners() and bands_.meet_centre(other=True) and bands_.without_loners():
-        bands_.meet_all()
+    if bands_.meet_centre(once=True) and bands_.meet_centre() and bands_.without_loners():
+        if bands_.meet_centre(other=True) and bands_.without_loners():
+            bands_.meet_all()
     groups = materialize(bands_.groups, "groups")
     bands_.end()
     return groups

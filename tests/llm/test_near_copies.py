@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -153,3 +154,46 @@ def test_fingerprints_are_majorities():
             h ^= h >> np.uint64(31)
             assert np.bitwise_count(fp) == sum(2 * int((h >> np.uint64(i) & np.uint64(1)).sum()) > len(some) for i in range(64))
     assert near_copies.fingerprints(found[:0], 3) == []
+
+
+def test_sketches_never_rule_out_what_is_similar():
+    rng, ruled_out = np.random.default_rng(7), 0
+    for n in (1, 5, 63, 64, 90, 127, 500, 3000):
+        for share in (0, 0.05, 0.1, 0.12, 0.3, 1):
+            found = rng.integers(0, 2**64, 2 * n, np.uint64)
+            a, b = found[:n], found[int(share * n) : n + int(share * n * rng.random())]
+            both = len(np.intersect1d(a, b))
+            least = near_copies.apart(near_copies.sketch(a), near_copies.sketch(b))
+            assert least <= len(a) + len(b) - 2 * both
+            row = {"key": 1, "low": 0, "high": 0}
+            rows = [row | {"id": i, "n": len(x), "c": i, "sketch": near_copies.sketch(x)} for i, x in enumerate((a, b, a))]
+            kept = near_copies._with_partner(pd.DataFrame(rows), 0.8)["id"].tolist()
+            assert {0, 2} <= set(kept) and (1 in kept or both < 0.8 * (len(a) + len(b) - both))
+            ruled_out += 1 not in kept
+    assert ruled_out > 10
+
+
+def test_many_bands_of_an_entry_give_one_candidate_at_first(spark, monkeypatch):
+    """Bands of near copies are met by a row per entry; the links that this gives leave nothing for the other bands."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:-1], f"end{i}"])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    bands = lambda fps, *_: fps.selectExpr("id", "explode(sequence(1L, 40L)) AS key", "12L AS m")
+    monkeypatch.setattr(near_copies, "neighbourhoods", bands)
+    joined, possible = [], near_copies._possible
+    monkeypatch.setattr(near_copies, "_possible", lambda p, *a: joined.append(p.count()) or possible(p, *a))
+    assert [r.doc_id for r in near_copies.one_of_each_group(df).collect()] == [0]
+    assert joined == [11]
+
+
+def test_the_index_is_shuffled_packed(spark):
+    """A row holds many fingerprints; all of them are there once per block, and hot nodes once per pair of parts."""
+    fps = np.random.default_rng(8).integers(-(2**63), 2**63, (300, 3))
+    df = spark.createDataFrame([(i - 5, x) for i, x in enumerate(fps.tolist())], "id BIGINT, fps ARRAY<BIGINT>").coalesce(1)
+    value = int(np.uint64(fps[0, 1].view(np.uint64)) >> np.uint64(12)) & 0xFFF
+    for hot in ({}, {(5 + 1) << 12 | value: 3}):
+        rows = simhash._filed(df, 12, 2, hot).collect()
+        assert len(rows) < 60
+        got = {(r.slot, i, f) for r in rows for i, f in zip(simhash._words([r.id]).view(np.int64).tolist(), simhash._words([r.fp]).tolist())}
+        assert got == {(5 * k + b, i - 5, int(x[k].view(np.uint64))) for i, x in enumerate(fps) for k in range(3) for b in range(5)}
+        assert sum(r.part < 0 for r in rows) == (3 if hot else 0)
