@@ -9,10 +9,12 @@ majority is easily turned, have twice as many fingerprints. Blocks are wider for
 tens of millions of them a block's value is shared by some hundreds of random entries; wider blocks take more fingerprints to
 be as sure.
 
-A band that many entries share is not compared pair by pair. All meet the one in their midst first, which connects most
-copies of a text. Then entries go that cannot be similar to anybody, because too many of their shingles are their own. The
-rest meets one member outside the first component, and what is apart even then meets in parts of bounded size, where one
-product of matrices gives the overlaps of all pairs and only links that connect something new come out.
+Near copies of a text have up to a hundred neighbourhoods each, of much the same members. Those of one smallest id become one
+band, and that with the bands in which this entry has a smaller one in turn: who has met in a neighbourhood still meets in
+a band, and an entry has a few bands only. A band that many share is not compared pair by pair. Entries go first that cannot be
+similar to anybody, because too many of their shingles are their own; the index says how small the smallest set of a band
+is. The others meet the one in the midst of a band, which connects most copies of a text. The rest meets one member outside the first component, and what is apart even then meets in parts of
+bounded size, where one product of matrices gives the overlaps of all pairs and only links that connect something new come out.
 
 One fingerprint of 64 bits cannot find these links: at similarity 0.8 it differs in 10 bits on average and in 17 at times,
 and blocks of which one must agree would be four bits wide.
@@ -220,24 +222,35 @@ def _compared(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[label[1][apart]], "b": ids[label[1][joined[apart]]]})
 
 
+def _joined(near: DataFrame) -> DataFrame:
+    """``id``, ``key``, ``m`` and ``low`` of bands of joined neighbourhoods: of those of the same smallest id, and then of those
+    whose smallest ids have the same smallest one to share a neighbourhood with. No two that share one are separated."""
+    if "least" not in near.columns:
+        near = near.join(near.groupBy("key").agg(F.min("id").alias("least")), "key").withColumn("low", F.lit(0).cast("bigint"))
+    sums = F.sum("m").alias("m"), F.min("low").alias("low")
+    once = materialize(near.groupBy("id", "least").agg(*sums), "bands")
+    of = once.groupBy(F.col("id").alias("least")).agg(F.min("least").alias("key"))
+    return once.join(small(of, of.count(), 16), "least").groupBy("id", "key").agg(*sums)
+
+
 class _Bands:
-    """Who shares a band with whom, and which components are known so far. Bands are the neighbourhoods in the index.
+    """Who shares a band with whom, and which components are known so far. Bands are the neighbourhoods in the index, joined.
 
     ``at`` has a row per entry and band it shares with another component: ``id``, ``n`` (size of its set), ``key``, ``m``
-    (its members), ``score`` (members of all its bands, which is largest in the midst of a group of copies), ``c`` (its component).
+    (its members), ``low`` (not above the size of the smallest), ``score`` (members of all its bands, which is largest in the
+    midst of a group of copies), ``c`` (its component).
     """
 
     def __init__(self, near: DataFrame, texts: DataFrame, words: int, least: float):
         self.least, self.spark, self.edges, self.paths = least, near.sparkSession, None, []
-        at = self.keep(near, "bands")
+        at = self.keep(_joined(near), "bands")
         score = self.keep(at.groupBy("id").agg(F.sum("m").alias("score")), "scores")
         self.n = n = score.count()
         # Texts stay where they are as long as the ids of those needed may be broadcast.
         self.sets = self.keep(_sets(texts.join(small(score.select("id"), n, 16), "id", "left_semi"), words), "sets")
         self.groups = None
         known = small(self.sets.select("id", "n").join(score, "id"), n, 32)
-        at = at.join(known, "id").select("id", "n", "key", "m", "score", F.col("id").alias("c"))
-        self.at = self.keep(at, "bands")
+        self.at = at.join(known, "id").select("id", "n", "key", "m", "low", "score", F.col("id").alias("c"))
 
     def keep(self, df: DataFrame, purpose: str) -> DataFrame:
         with short_batches(self.spark):
@@ -255,23 +268,22 @@ class _Bands:
         ids = small(members.select("id").distinct(), self.n, 16)
         return self.sets.select("id", column).join(ids, "id", "left_semi")
 
-    def link(self, found: DataFrame) -> bool:
-        """Take up new links; whether bands of several components are left."""
+    def link(self, found: DataFrame) -> None:
+        """Take up new links."""
         found = self.keep(found, "links")
         self.edges = found if self.edges is None else self.edges.unionByName(found)
         self.groups = components(self.edges)
+
+    def narrow(self) -> bool:
+        """Name the components, leave the bands of one, which have nothing more to say; whether others are left."""
         known = small(self.groups.withColumnRenamed("node", "id"), self.groups.count(), 24)
         named = self.at.drop("c").join(known, "id", "left")
-        return self.narrow(named.withColumn("c", F.coalesce("component", "id")).drop("component"))
-
-    def narrow(self, at: DataFrame) -> bool:
-        """Leave the bands of one component, which have nothing more to say."""
-        at = self.keep(at, "bands")
-        several = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+        at = self.keep(named.withColumn("c", F.coalesce("component", "id")).drop("component"), "bands")
+        several = at.groupBy("key").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first <> last")
         self.at = self.keep(at.join(several.select("key"), "key"), "bands")
         return not self.at.isEmpty()
 
-    def meet_centre(self, other: bool = False, once: bool = False) -> bool:
+    def meet_centre(self, other: bool = False, once: bool = False) -> None:
         """All members of a band meet the one of the largest score, or of those outside its component the one that is. With
         ``once`` everyone does so in one band only, that of the most members: a row per entry, however many bands it has."""
         rank = F.struct(-F.col("score"), F.xxhash64("id"), "id")
@@ -288,22 +300,22 @@ class _Bands:
             at = at.groupBy("id", "n", "c").agg(F.max_by("key", F.struct("m", "key")).alias("key"))
         pairs = at.join(centre, "key").where((F.col("c") != F.col("c2")) & similar).select(*pair).distinct()
         near = self.keep(_possible(self.keep(pairs, "pairs"), self.sets, self.least), "pairs")
-        return self.link(_verified(near, self.sets, self.least))
+        self.link(_verified(near, self.sets, self.least))
 
-    def without_loners(self) -> bool:
+    def without_loners(self) -> None:
         """Leave entries that hold too many shingles of their own to be similar to any other one of their bands.
 
         With ``u`` shingles that nobody else has, a set of ``n`` has at most ``n - u`` in common with another, whose size
         is at least ``low``: their similarity is at most (n - u) / (low + u).
         """
-        sizes = self.at.groupBy("key").agg(F.min("n").alias("low"))
-        low = self.at.join(sizes, "key").groupBy("id", "n", "c").agg(F.min("low").alias("low"))
+        low = self.at.groupBy("id", "n").agg(F.min("low").alias("low"))
+        low = self.keep(low.withColumn("low", F.greatest("low", F.lit(self.least) * F.col("n"))), "lows")
         own = self.sets.join(small(low.select("id"), self.n, 16), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
         own = own.groupBy("s").agg(F.count("*").alias("m"), F.min("id").alias("id")).where("m = 1")
         own = own.groupBy("id").agg(F.count("*").alias("u"))
-        low = low.join(own, "id").withColumn("low", F.greatest("low", F.lit(self.least) * F.col("n")))
-        loners = low.where(F.col("n") - F.col("u") < F.lit(self.least) * (F.col("low") + F.col("u"))).select("id")
-        return self.narrow(self.at.join(self.keep(loners, "loners"), "id", "left_anti"))
+        loners = F.col("n") - F.col("u") < F.lit(self.least) * (F.col("low") + F.col("u"))
+        loners = self.keep(low.join(own, "id").where(loners).select("id"), "loners")
+        self.at = self.keep(self.at.join(small(loners, self.n, 16), "id", "left_anti"), "bands")
 
     def meet_all(self) -> None:
         """Members of a band that are still apart meet each other, in pairs of parts of bounded size: by their sketches first,
@@ -324,9 +336,16 @@ class _Bands:
 def _linked(near: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """``node`` and ``component`` of the entries that are linked with another one, out of those that share a ``key``."""
     bands_ = _Bands(near, texts, words, least)
-    if bands_.meet_centre(once=True) and bands_.meet_centre() and bands_.without_loners():
-        if bands_.meet_centre(other=True) and bands_.without_loners():
-            bands_.meet_all()
+    bands_.without_loners()
+    bands_.meet_centre(once=True)
+    if bands_.narrow():
+        bands_.meet_centre()
+        if bands_.narrow():
+            bands_.without_loners()
+            bands_.meet_centre(other=True)
+            if bands_.narrow():
+                bands_.without_loners()
+                bands_.meet_all()
     groups = materialize(bands_.groups, "groups")
     bands_.end()
     return groups
@@ -352,7 +371,7 @@ def one_of_each_group(docs: DataFrame, words: int = WORDS, least: float = LEAST)
         held = materialize(_filed(spread(named), words, number), "documents")
     first = materialize(held.groupBy("__digest").agg(F.min("__row").alias("id")), "entries")
     entries, texts = first.count(), held.select(F.col("__row").alias("id"), F.col("__n").alias("n"), "text")
-    fps = held.select(F.col("__row").alias("id"), F.col("__fps").alias("fps"))
+    fps = held.select(F.col("__row").alias("id"), F.col("__n").alias("n"), F.col("__fps").alias("fps"))
     fps = fps.join(small(first.select("id"), entries, 16), "id", "left_semi")
     groups = _linked(neighbourhoods(fps, entries, number, width, NEAR), texts, words, least)
     roots = first.join(groups.withColumnRenamed("node", "id"), "id", "left").select(

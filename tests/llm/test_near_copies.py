@@ -197,3 +197,45 @@ def test_the_index_is_shuffled_packed(spark):
         got = {(r.slot, i, f) for r in rows for i, f in zip(simhash._words([r.id]).view(np.int64).tolist(), simhash._words([r.fp]).tolist())}
         assert got == {(5 * k + b, i - 5, int(x[k].view(np.uint64))) for i, x in enumerate(fps) for k in range(3) for b in range(5)}
         assert sum(r.part < 0 for r in rows) == (3 if hot else 0)
+
+
+def test_neighbourhoods_of_much_the_same_members_are_one_band(spark, monkeypatch):
+    """Entries that are not similar but share many neighbourhoods have a few rows each; who shares one still meets."""
+    rng, words = np.random.default_rng(9), [f"w{i}" for i in range(90)]
+    rows = [(i, changed(rng, words, range(10 * (i % 4), 10 * (i % 4) + 3 + i // 4, 2))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    bands = lambda fps, *_: fps.selectExpr("id", "explode(sequence(1L, 60L)) AS key", "20L AS m").where("pmod(xxhash64(id, key), 2) = 0")
+    monkeypatch.setattr(near_copies, "neighbourhoods", bands)
+    held, keep = [], near_copies._Bands.keep
+
+    def counted(self, df, purpose):
+        out = keep(self, df, purpose)
+        held.append(out.count() if purpose == "bands" else 0)
+        return out
+
+    monkeypatch.setattr(near_copies._Bands, "keep", counted)
+    assert sorted(r.doc_id for r in near_copies.one_of_each_group(df).collect()) == sorted(set(jaccard_groups(rows).values()))
+    assert 0 < max(held) <= 80
+
+
+def test_bands_keep_all_meetings(spark):
+    """Two rows that share a neighbourhood share a band, of their smallest sizes."""
+    fps = np.random.default_rng(10).integers(-(2**63), 2**63, (20, 4))
+    fps = np.repeat(fps, 15, axis=0) ^ (np.int64(1) << np.random.default_rng(11).integers(0, 62, (300, 4)))
+    data = [(1000 + i, 5 + i % 40, x) for i, x in enumerate(fps.tolist())]
+    df = spark.createDataFrame(data, "id BIGINT, n BIGINT, fps ARRAY<BIGINT>")
+    near = simhash.neighbourhoods(df, 300, 4, 12, 10)
+    members = {}
+    for r in (found := near.collect()):
+        members.setdefault(r.key, []).append(r.id)
+    assert all(r.least == min(members[r.key]) and r.low == min(5 + (i - 1000) % 40 for i in members[r.key]) for r in found)
+    plain = simhash.neighbourhoods(df.drop("n"), 300, 4, 12, 10)
+    assert {(r.id, r.key, r.m) for r in plain.collect()} == {(r.id, r.key, r.m) for r in found}
+    for given in (near, plain):
+        got, low = {}, {}
+        for r in near_copies._joined(given).collect():
+            got.setdefault(r.id, set()).add(r.key)
+            low.setdefault(r.key, []).append((r.low, 5 + (r.id - 1000) % 40))
+        assert all(got[a] & got[b] for ids in members.values() for a in ids for b in ids)
+        assert all(least <= n for x in low.values() for least, _ in x[:1] for _, n in x) or given is near
+        assert len(found) > 3 * sum(map(len, got.values()))
