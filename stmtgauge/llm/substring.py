@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtgauge.llm.common import id_bounds, partitions, range_of, schema_with, spread, table
+from stmtgauge.llm.common import id_bounds, partitions, range_of, schema_with, spread, table, trimmed
 
 WINDOW, PERIOD, COVER = 13, 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
@@ -260,16 +260,16 @@ def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
             out["row"], out["text"] = r.docs["row"].to_numpy(), texts
         return out
 
-    first = ranges.groupBy("part").applyInPandas(anchors, _PACKED)
+    first = ranges.groupBy("part").applyInPandas(lambda pdf: trimmed(anchors, pdf), _PACKED)
     bits1 = first.groupBy("bucket").applyInPandas(lambda pdf: _answers(pdf, 5, 1), _BITS)
-    second = ranges.groupBy("part").cogroup(bits1.groupBy("part")).applyInPandas(windows, _PACKED)
+    second = ranges.groupBy("part").cogroup(bits1.groupBy("part")).applyInPandas(lambda pdf, bits: trimmed(windows, pdf, bits), _PACKED)
     bits2 = second.groupBy("bucket").applyInPandas(lambda pdf: _answers(pdf, 12, 2), _BITS)
     both = bits1.unionByName(bits2)
     out = schema_with(plain.select(F.col("doc_id").cast("bigint").alias("doc_id")), n_words="bigint", n_removed="bigint")
     out = out.add("kept_sha256", "string")
     if with_text:
         out = out.add("row", named.schema["row"].dataType).add("text", "string")
-    done = ranges.groupBy("part").cogroup(both.groupBy("part")).applyInPandas(cut, out)
+    done = ranges.groupBy("part").cogroup(both.groupBy("part")).applyInPandas(lambda pdf, bits: trimmed(cut, pdf, bits), out)
     kept = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in plain.columns]
     done = done.select(*(kept if with_text else ["doc_id"]), *_ADDED)
     return done.unionByName(_nameless(plain.where("doc_id IS NULL"), with_text))
