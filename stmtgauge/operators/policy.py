@@ -28,8 +28,15 @@ PATTERN_LIMIT = 4096
 PATTERN_CHARS = 256 * 1024
 #: Patterns in the first list that is tested, characters of each that the expression before it looks at.
 FIRST_LIST, BEGINNING = 8, 8
-#: Characters of the pieces by which long lists of patterns meet texts: each pattern has pieces of the largest size that fits.
+#: Bytes of the pieces by which long lists of patterns meet texts: each pattern has pieces of the largest size that fits.
 PIECES = (1, 2, 3, 6, 12)
+#: Patterns of a long list that are tested in place first; patterns in the first blocks that go by pieces; so many short ones of
+#: a size in a block are still tested one by one, which costs less than a look at each place of the texts.
+LISTED, FIRST_BLOCKS, FEW = 32, (4096, 65536), 32
+#: Bytes of a block of patterns as broadcast, and of a pattern in it besides its letters.
+BLOCK_BYTES, SELECTOR_BYTES = 48 * 1024 * 1024, 96
+#: Places of a text that are one array.
+SPAN = 16384
 
 # Verdict when no rule matches.
 DEFAULT_ACTION, DEFAULT_REASON, DEFAULT_CONFIDENCE = "allow", "no matching rule", 1.0
@@ -243,55 +250,145 @@ def _literal_match(m) -> Column:
     ).cast(MATCH_TYPE)
 
 
-def _pieces(text: Column, size: int) -> Column:
-    """Distinct overlapping pieces of ``size`` characters."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))."), F.lit(1)))
-
-
 def _match_by_pieces(df: DataFrame, low: Column, patterns: DataFrame, out: str, small: bool = False) -> DataFrame:
     """First pattern contained in the text, for rule lists too long to test one by one.
 
-    Texts are known by a digest of theirs, so equal texts are looked at once and rows need no key. Of equal selectors the
-    first rule stands for all. A text that contains a selector contains each piece of it: every selector is filed under the
-    piece, of the largest of the sizes in ``PIECES`` that fits, which it shares with the fewest others, and digests meet
-    selectors on equal pieces. A selector that is a piece itself is found by that, so what comes out is bounded by the
-    length of the texts however many selectors there are; only longer ones meet the texts again for the test. Texts are
-    never repeated per piece.
+    Of equal selectors the first rule stands for all. Selectors meet the texts in the order of their rules, so a text is done
+    with the first block that has one for it: a short list is tested in place, then blocks of selectors, each of a bounded
+    size, find their texts by pieces. Only texts without a match go on. What is found is known by a digest of
+    the text, so rows need no key.
     """
-    anything = patterns.agg(F.min(F.when(F.col("selector") == "", F.col("m")))).first()[0]
-    selectors = patterns.where(F.length("selector") > 0).groupBy("selector").agg(F.min("m").alias("m"))
-    fits = F.coalesce(*[F.when(F.length("selector") >= n, F.lit(n)) for n in reversed(PIECES)])
-    # Numbers in the order of the rules, written once so that they hold: a minimum of numbers needs no sort of the matches.
-    selectors = selectors.orderBy("m").select("selector", "m", fits.alias("size"), F.monotonically_increasing_id().alias("n"))
-    selectors = materialize(selectors, "patterns")
-    small = small or byte_size(selectors) <= BROADCAST_BYTES
-    few = lambda side: F.broadcast(side) if small else side
-    keyed = df.withColumn("__low", low).withColumn("__id", F.md5(F.col("__low").cast("binary")))
-    # The pieces of a text cost far more than its bytes tell, so the partitions are not merged by their size.
+    selectors = _numbered(patterns)
+    anything = selectors.where(F.length("selector") == 0).first()
+    selectors = selectors.where(F.length("selector") > 0)
     spark = df.sparkSession
+    # The pieces of a text cost far more than its bytes tell, so the partitions are not merged by their size.
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = keyed.where(F.col("__low").isNotNull()).select("__id", "__low").repartition(tasks, "__id").dropDuplicates(["__id"])
-    matched = texts.select("__id", F.lit(0).cast("bigint").alias("n")).limit(0)
-    for size, longest in selectors.groupBy("size").agg(F.max(F.length("selector"))).collect():
-        of_size = selectors.where(F.col("size") == size)
-        cut = once(texts, {"pieces": _pieces(F.col("__low"), size)})
-        in_text = cut.select("__id", F.explode("pieces").alias("piece"))
-        whole = of_size.where(F.length("selector") == size).select("n", F.col("selector").alias("piece"))
-        matched = matched.unionByName(in_text.join(few(whole), "piece").select("__id", "n"))
-        if longest > size:
-            of_size = of_size.where(F.length("selector") > size)
-            pieces = of_size.select("n", "selector", F.explode(_pieces(F.col("selector"), size)).alias("piece"))
-            shared = pieces.groupBy("piece").agg(F.count("*").alias("often"))
-            rarest = F.min_by("piece", F.struct("often", "piece")).alias("piece")
-            filed = pieces.join(shared, "piece").groupBy("n", "selector").agg(rarest)
-            candidates = in_text.join(few(filed), "piece").select("__id", "n", "selector")
-            tested = candidates.join(texts, "__id").where(F.contains("__low", "selector"))
-            matched = matched.unionByName(tested.select("__id", "n"))
-    first = matched.groupBy("__id").agg(F.min("n").alias("n")).join(few(selectors.select("n", F.col("m").alias(out))), "n").drop("n")
-    joined = keyed.join(first, "__id", "left").drop("__id", "__low")
+    keyed = df.withColumn("__low", low).withColumn("__id", F.md5(F.col("__low").cast("binary")))
+    listed = _first_listed(selectors)
+    texts = once(keyed.where(F.col("__low").isNotNull()).select("__id", "__low"), {"__low": F.col("__low").cast("binary")})
+    first = once(texts, {"n": _first_number(F.col("__low"), listed)})
+    first = first.select("__id", "n", F.when(F.col("n").isNull(), F.col("__low")).alias("__low"))
+    first = materialize(first.repartition(tasks).withColumn("__row", F.monotonically_increasing_id()), "texts")
+    found = first.where(F.col("n").isNotNull()).select("__id", "n")
+    texts = first.where(F.col("n").isNull()).drop("n")
+    last = listed[-1].n if listed else -1
+    left = texts.count()
+    for start, end in _blocks(selectors.where(F.col("n") > last)):
+        if not left:
+            break
+        by_pieces = _first_by_pieces(texts, selectors.where(F.col("n").between(start, end)))
+        matched = materialize(by_pieces, "matches")
+        found, done = found.unionByName(matched.select("__id", "n")), matched.count()
+        # Texts are written again only when half of them are done, so all of that together is no more than they were.
+        if 0 < left <= 2 * done:
+            by_row = matched.select("__row").repartition(tasks, "__row")
+            texts = materialize(texts.repartition(tasks, "__row").join(by_row, "__row", "left_anti"), "texts")
+            left -= done
+    first = found.groupBy("__id").agg(F.min("n").alias("n"))
+    rules = selectors.select("n", F.col("m").alias(out))
+    if small:
+        rules = F.broadcast(rules)
+    else:
+        rules = broadcast_if_small(rules.join(first.select("n").distinct(), "n", "left_semi"), BROADCAST_BYTES)
+    joined = keyed.join(first.join(rules, "n").drop("n"), "__id", "left").drop("__id", "__low")
     if anything is None:
         return joined
-    return joined.withColumn(out, F.when(low.isNotNull(), F.least(F.col(out), _literal_match(anything))))
+    return joined.withColumn(out, F.when(low.isNotNull(), F.least(F.col(out), _literal_match(anything.m))))
+
+
+def _numbered(patterns: DataFrame) -> DataFrame:
+    """(n, m, selector as bytes), written once so that the numbers hold: they go up in the order of the rules, and a minimum of
+    numbers needs no sort of the matches."""
+    total = patterns.agg(F.sum(F.octet_length("selector") + SELECTOR_BYTES)).first()[0] or 0
+    # Equal selectors are one entry.
+    selectors = patterns.groupBy("selector").agg(F.min("m").alias("m"))
+    selectors = selectors.repartitionByRange(1 + 8 * total // BLOCK_BYTES, "m").sortWithinPartitions("m")
+    n = F.monotonically_increasing_id().alias("n")
+    return materialize(selectors.select(n, "m", F.col("selector").cast("binary").alias("selector")), "patterns")
+
+
+def _first_listed(selectors: DataFrame) -> list:
+    """The first selectors, as many as make a list of bounded length."""
+    sizes = selectors.select("n", F.octet_length("selector").alias("size")).orderBy("n").limit(LISTED).collect()
+    last, size = -1, 0
+    for r in sizes:
+        size += r["size"]
+        if size > PATTERN_CHARS:
+            break
+        last = r.n
+    return sorted(selectors.where(F.col("n") <= last).select("n", "selector").collect(), key=lambda r: r.n)
+
+
+def _first_number(text: Column, rows: list) -> Column:
+    """Number of the first listed selector in the bytes of a text: no selector behind the first hit is tested."""
+    tests = [F.when(F.contains(text, F.lit(bytes(r.selector))), F.lit(r.n).cast("bigint")) for r in rows]
+    return F.coalesce(F.lit(None).cast("bigint"), *tests)
+
+
+def _blocks(selectors: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of numbers that cut the selectors into blocks: short ones first, as most texts are done with those, and none of
+    more than about ``BLOCK_BYTES``."""
+    part = F.shiftright("n", 33)  # numbers go on inside a written part only
+    size = F.sum(F.octet_length("selector") + SELECTOR_BYTES).alias("size")
+    parts = selectors.groupBy(part.alias("part")).agg(F.min("n").alias("start"), F.max("n").alias("end"), size).orderBy("part")
+    blocks, lengths, begun, rows, room = [], list(FIRST_BLOCKS), None, 0, BLOCK_BYTES
+    for r in parts.collect():
+        at, each = r.start, r["size"] / (r.end - r.start + 1)
+        while at <= r.end:
+            begun = at if begun is None else begun
+            most = min(lengths[0] - rows, int(room / each)) if lengths else int(room / each)
+            take = min(r.end - at + 1, max(most, 0 if rows else 1))
+            at, rows, room = at + take, rows + take, room - take * each
+            if at <= r.end:  # the block is full
+                blocks.append((begun, at - 1))
+                lengths, begun, rows, room = lengths[1:], None, 0, BLOCK_BYTES
+    return [*blocks, (begun, r.end)] if begun is not None else blocks
+
+
+def _windows(df: DataFrame, text: str, size: int) -> DataFrame:
+    """A row per place ``at`` (from 1) in the text where ``size`` bytes begin; a long text is not one long array."""
+    ends = F.octet_length(text) - size + 1
+    spans = df.where(F.octet_length(text) >= size).withColumn("__from", F.explode(F.sequence(F.lit(1), ends, F.lit(SPAN))))
+    upto = F.least(F.col("__from") + (SPAN - 1), ends)
+    return spans.withColumn("at", F.explode(F.sequence("__from", upto))).drop("__from")
+
+
+def _filed(selectors: DataFrame, size: int) -> DataFrame:
+    """Each selector under the piece of ``size`` bytes which it shares with the fewest others: (key, place, n, selector)."""
+    piece = F.substring("selector", F.col("at"), F.lit(size)).alias("piece")
+    pieces = _windows(selectors.select("n", "selector"), "selector", size).select("n", "at", piece)
+    often = pieces.groupBy("piece").agg(F.count("*").alias("often"))
+    rarest = F.min_by(F.struct("piece", F.col("at").alias("place")), F.struct("often", "piece", "at")).alias("rarest")
+    placed = pieces.join(often, "piece").groupBy("n").agg(rarest)
+    return selectors.select("n", "selector").join(placed, "n").select(
+        F.xxhash64("rarest.piece").alias("key"), "rarest.place", "n", "selector"
+    )
+
+
+def _first_by_pieces(texts: DataFrame, selectors: DataFrame) -> DataFrame:
+    """(__row, __id, n) of the texts that contain any of a block of selectors, few enough to be broadcast.
+
+    A text that contains a selector contains each piece of it: every selector is filed under one piece, of the largest of the
+    sizes in ``PIECES`` that fits, and each place of a text looks up the piece that begins there. All is bytes, of which any
+    place in a text is at hand, and a selector found is compared right there: texts are read in place, neither cut into lists
+    of pieces nor repeated.
+    """
+    fits = F.coalesce(*[F.when(F.octet_length("selector") >= n, F.lit(n)) for n in reversed(PIECES)])
+    selectors = selectors.withColumn("size", fits)
+    counts = {r["size"]: r["count"] for r in selectors.groupBy("size").count().collect()}
+    few = [size for size, n in counts.items() if n <= FEW and size < PIECES[-1]]
+    rows = sorted(selectors.where(F.col("size").isin(few)).select("n", "selector").collect(), key=lambda r: r.n) if few else []
+    matched = once(texts.select("__row", "__id", "__low"), {"n": _first_number(F.col("__low"), rows)})
+    matched = matched.where(F.col("n").isNotNull()).select("__row", "__id", "n")
+    for size in sorted(counts.keys() - set(few)):
+        filed = F.broadcast(_filed(selectors.where(F.col("size") == size), size))
+        key = F.xxhash64(F.substring("__low", F.col("at"), F.lit(size)))
+        begins = F.col("at") - F.col("place") + 1
+        there = F.substring("__low", begins, F.octet_length("selector")) == F.col("selector")
+        met = _windows(texts, "__low", size).join(filed, (key == F.col("key")) & (begins > 0) & there)
+        matched = matched.unionByName(met.groupBy("__row", "__id").agg(F.min("n").alias("n")))
+    return matched.groupBy("__row", "__id").agg(F.min("n").alias("n"))
 
 
 def decision_of(*matches: str) -> Column:

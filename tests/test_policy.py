@@ -278,3 +278,34 @@ def test_selectors_that_are_pieces_need_no_test_of_the_texts(spark, monkeypatch)
     assert "Contains(" not in decided._jdf.queryExecution().executedPlan().toString()
     got = {r.sql_text: r.decision.rule_id for r in decided.collect()}
     assert got == {t: plain_decide(rules, None, t, None, None)[-1] if t else None for t in texts}
+
+
+@pytest.mark.parametrize("few", [0, 32])
+def test_long_lists_go_block_by_block(spark, monkeypatch, few):
+    """Texts are done with the first block that has a rule for them, whatever their length and the length of the selectors."""
+    for name, value in {"PATTERN_LIMIT": 2, "LISTED": 3, "FIRST_BLOCKS": (2, 5), "FEW": few, "BLOCK_BYTES": 3000, "SPAN": 4}.items():
+        monkeypatch.setattr(policy, name, value)
+    monkeypatch.setattr(policy, "BROADCAST_BYTES", 0)
+    written, materialize = [], policy.materialize
+
+    def spy(df, purpose="table"):
+        table = materialize(df, purpose)
+        if purpose == "texts":
+            written.append(sorted(bytes(r["__low"]).decode() for r in table.where("__low IS NOT NULL").collect()))
+        return table
+
+    monkeypatch.setattr(policy, "materialize", spy)
+    rng = random.Random(4)
+    word = lambda low, high, letters="abé😀": "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+    selectors = ["zz1", "zz2", "zz3", *("same beginnings " + word(1, 4) for _ in range(12)), *(word(3, 9) for _ in range(60))]
+    texts = [word(0, 30, "abé😀 ").upper() for _ in range(60)] + ["x SAME BEGINNINGS " + word(0, 9) for _ in range(20)]
+    texts += ["zz3" * 9, "ZZ2 and zz1", "same beginnings", "nothing", "nothing", "", None, "é" * 50 + "b" + "é" * 50]
+    rules = [rule(i, f"r{i}", "pattern", s) for i, s in enumerate(selectors)]
+    table = spark.createDataFrame(rules[::-1], RULE_SCHEMA)
+    decided = policy.decide(spark.createDataFrame([(t,) for t in texts], "sql_text STRING"), table, form="join").collect()
+    want = {t: plain_decide(rules, None, t, None, None)[-1] if t else None for t in texts}
+    assert len(decided) == len(texts) and {r.sql_text: r.decision.rule_id for r in decided} == want
+    assert len(set(want.values())) > 10
+    ranks = sorted((int(r[1:]) if (r := want[t]) else 999, t.lower()) for t in texts if t)
+    assert written[0] == sorted(t for rank, t in ranks if rank > 2)
+    assert all(set(later) <= set(earlier) for earlier, later in zip(written, written[1:]))
