@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stmtgauge.operators import metrics, profiles
+from stmtgauge.operators import metrics, packets, profiles
 from stmtgauge.operators import decisions as D
 from stmtgauge.operators.policy import decide, decide_as_of
 from stmtgauge.plans import reports
 from stmtgauge.sources.profiles import PROFILE_SCHEMA
 from stmtgauge.sources.reports import write_report
+from stmtgauge.sources.storage import remove
 from stmtgauge.streaming.state import ChangeLog, kept
 
 Sink = Callable[[DataFrame, int], None]
@@ -54,6 +55,30 @@ def stream_quantile(events: DataFrame, ts: str, col: str, q: float = 0.95, laten
     return metrics.windowed_quantile(events.withWatermark(ts, lateness), ts, col, q)
 
 
+def reassembly(state_path: str, sink: Sink) -> Sink:
+    """For ``foreachBatch`` on arriving packets: messages that end in the batch; other parts wait in a table of the batch.
+
+    A batch reads what the one before it left and replaces what a failed attempt of its own wrote; what only earlier ones read
+    goes. See ``stateful.stream_messages`` for the same with Spark's own state.
+    """
+
+    def folder(batch_id: int) -> str:
+        return f"{state_path.rstrip('/')}/batch={batch_id}"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, parts = batch.sparkSession, packets.message_parts(batch)
+        if batch_id:
+            parts = spark.read.schema(packets.PART_SCHEMA).parquet(folder(batch_id - 1)).unionByName(parts)
+        with kept(packets.number_parts(parts)) as numbered:
+            sink(packets.join_parts(numbered), batch_id)
+            waiting = numbered.where(~F.col("complete")).select(*parts.columns)
+            waiting.write.mode("overwrite").parquet(folder(batch_id))
+        if batch_id > 1:
+            remove(spark, folder(batch_id - 2))
+
+    return run
+
+
 def profile_log(path: str, every: int = 8) -> ChangeLog:
     """Profiles by batch, see :func:`profile_batches`."""
     return ChangeLog(f"{path}/profiles", PROFILE_SCHEMA, profiles.merge_profiles, every)
